@@ -20,6 +20,7 @@ matter. Whole texts are read, of any length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,20 +56,32 @@ def family_of(lang: str) -> str:
 # ---------------------------------------------------------------- features
 
 
-def ngrams(token: str, dims: int, longest: int = 4) -> tuple[list[int], int]:
-    """Hashed n-grams of the letter runs of ``token``, and how many letters it has."""
-    import xxhash
-
-    out, letters, word = [], 0, []
-    for c in token.lower() + " ":
-        if c.isalpha():
-            word.append(c)
-        elif word:
-            letters += len(word)
-            w = "<" + "".join(word) + ">"
-            for n in range(1, longest + 1):
-                out += [xxhash.xxh32_intdigest(w[i : i + n].encode()) % dims for i in range(len(w) - n + 1)]
-            word = []
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+class Grams(dict):
+    """The cell of each letter n-gram; filled as they come."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, gram: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        self[gram] = cell = xxhash.xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % self.dims
+        return cell
+
+
+def ngrams(token: str, grams: Grams, longest: int = 4) -> tuple[list[int], int]:
+    """Cells of the n-grams of the letter runs of ``token``, and how many letters it has."""
+    out, letters = [], 0
+    for run in _LETTERS.findall(token.lower()):
+        letters += len(run)
+        w = f"<{run}>"
+        for n in range(1, longest + 1):
+            out += [grams[w[i : i + n]] for i in range(len(w) - n + 1)]
     return out, letters
 
 
@@ -77,6 +90,7 @@ def sample_counts(docs: DataFrame, dims: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
+        grams = Grams(dims)
         for batch in batches:
             cells, counts = [], []
             for text in batch.column(1):
@@ -85,7 +99,7 @@ def sample_counts(docs: DataFrame, dims: int) -> DataFrame:
                     if token not in known:
                         if len(known) > 100_000:
                             known.clear()
-                        known[token] = ngrams(token, dims)[0]
+                        known[token] = ngrams(token, grams)[0]
                     np.add.at(total, known[token], 1)
                 at = np.flatnonzero(total).astype(np.int32)
                 cells.append(at)
@@ -137,7 +151,7 @@ class LanguageModel:
             level = next(x for x in self.levels[1:] if x[0] == family)
             best, share = self._vote(level, sums[rows])
             labels[rows] = np.array(level[1], dtype=object)[best]
-            score[rows] *= share
+            score[rows] = np.round(score[rows] * share, 9)
         return labels.tolist(), score
 
     @staticmethod
@@ -153,7 +167,7 @@ class LanguageModel:
                 support[:, i] += p
                 support[:, j] += 1 - p
         best = support.argmax(axis=1)
-        return best, support[np.arange(len(sums)), best] / (n * (n - 1) / 2)
+        return best, np.round(support[np.arange(len(sums)), best] / (n * (n - 1) / 2), 9)
 
 
 def train(docs: DataFrame, rows_per_lang: int = 400, dims: int = 1 << 13, cost: float = 10.0) -> LanguageModel | None:
@@ -208,37 +222,43 @@ def train(docs: DataFrame, rows_per_lang: int = 400, dims: int = 1 << 13, cost:
 class TextScorer:
     """Mean classifier values of whole texts; each word is scored once."""
 
-    def __init__(self, model: LanguageModel, max_words: int = 200_000):
-        self.model, self.max_words = model, max_words
+    def __init__(self, model: LanguageModel, max_words: int = 400_000):
+        self.model, self.max_words, self.grams = model, max_words, Grams(model.dims)
         self.at: dict[str, int] = {}
         self.values = np.zeros((1024, model.weights.shape[1] + 2))
 
-    def value(self, token: str) -> np.ndarray:
-        """Sums of weights over the token's n-grams, their number, its letters."""
-        cells, letters = ngrams(token, self.model.dims)
-        sums = self.model.weights[cells].sum(axis=0) if cells else np.zeros(self.model.weights.shape[1])
-        return np.concatenate([sums, [len(cells), letters]])
+    def score(self, tokens: list[str]) -> np.ndarray:
+        """Per token: sums of weights over its n-grams, their number, its letters."""
+        found = [ngrams(t, self.grams) for t in tokens]
+        ends = np.cumsum([len(cells) for cells, _ in found])
+        cells = np.fromiter((c for cells, _ in found for c in cells), dtype=np.int64, count=int(ends[-1]))
+        sums = np.concatenate([np.zeros((1, self.model.weights.shape[1])), np.cumsum(self.model.weights[cells], axis=0)])
+        sums = np.diff(sums[np.concatenate([[0], ends])], axis=0)
+        return np.column_stack([sums, np.diff(ends, prepend=0), [n for _, n in found]])
 
     def learn(self, tokens: list[str]) -> None:
-        for t in tokens:
-            if t not in self.at and len(t) <= LONGEST_KEPT_WORD:
-                if len(self.at) == len(self.values):
-                    self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-                self.values[len(self.at)] = self.value(t)
-                self.at[t] = len(self.at)
+        new = [t for t in dict.fromkeys(tokens) if t not in self.at and len(t) <= LONGEST_KEPT_WORD]
+        if not new:
+            return
+        start = len(self.at)
+        while start + len(new) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[start : start + len(new)] = self.score(new)
+        self.at.update(zip(new, range(start, start + len(new)), strict=True))
 
     def __call__(self, text: str) -> np.ndarray:
         tokens = text.split()
+        if not tokens:
+            return np.zeros(self.values.shape[1])
         try:
-            return self.values[list(map(self.at.__getitem__, tokens))].sum(axis=0) if tokens else np.zeros(self.values.shape[1])
+            return self.values[list(map(self.at.__getitem__, tokens))].sum(axis=0)
         except KeyError:
             if len(self.at) > self.max_words:
                 self.at.clear()
             self.learn(tokens)
             total = self.values[[self.at[t] for t in tokens if t in self.at]].sum(axis=0)
-            for t in tokens:
-                if t not in self.at:
-                    total = total + self.value(t)
+            if long := [t for t in tokens if t not in self.at]:
+                total = total + self.score(long).sum(axis=0)
             return total
 
 

@@ -71,7 +71,7 @@ def clean_preview(df: DataFrame) -> DataFrame:
     empty = reduce(lambda x, y: x & y, [_standard(F.col(c), a).isNull() for c in df.columns])
     counts = df.agg(F.count(F.lit(1)).alias("rows"), trimmed.alias("trimmed_cells"), nulled.alias("standardised_nulls"), F.count_if(empty).alias("empty_rows"))
     kept = df.filter(~empty).select(*std)
-    dup = kept.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    dup = kept.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
     return counts.join(dup, F.lit(True))
 
 

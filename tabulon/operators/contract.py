@@ -135,8 +135,8 @@ def quality_gate(raw: DataFrame, contract: list[ContractColumn], keys: list[str]
     one = raw.agg(*cells, F.count_if(blank).alias("key_null"))
     total = lambda p: reduce(lambda a, b: a + b, [F.col(f"{p}{k}") for k in range(len(contract))])
     empty = reduce(lambda a, b: a + b, [F.when(F.col(f"p{k}") == 0, 1).otherwise(0) for k in range(len(contract))])
-    dup = raw.groupBy(*raw.columns).agg(rows.alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("dup"))
-    twice = raw.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(rows.alias("c")).agg(F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).alias("twice")) if keys else raw.limit(0).agg(F.lit(0).alias("twice"))
+    dup = raw.groupBy(*raw.columns).agg(rows.alias("__c")).agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).alias("dup"))
+    twice = raw.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(rows.alias("__c")).agg(F.coalesce(F.sum(F.when(F.col("__c") > 1, F.col("__c"))), F.lit(0)).alias("twice")) if keys else raw.limit(0).agg(F.lit(0).alias("twice"))
     both = one.join(dup, F.lit(True)).join(twice, F.lit(True))
     bad, share = F.lit(malformed), lambda b, n: F.coalesce(F.try_divide(b, n), F.lit(0.0))
 

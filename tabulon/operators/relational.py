@@ -239,8 +239,8 @@ def count_distinct(df: DataFrame, columns: list[str], approx: bool = False) -> D
 
 
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    groups = df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    groups = df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("__n"))
+    return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def nearest_rank_percentile(df: DataFrame, column: str, shares: list[float]) -> DataFrame:

@@ -76,7 +76,7 @@ def rate_limit_stream(events: DataFrame, limit: int, seconds: float) -> DataFram
             for now in pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6:
                 ok, times = admit(times, now, limit, seconds)
                 out.append(ok)
-            state.update((times,))
+            state.update(([float(x) for x in times],))
             yield pdf.assign(admitted=out)
 
     rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))

@@ -37,24 +37,19 @@ class ContractColumn:
 
 
 def type_probe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column, present, distinct`` and how many values fit each candidate type.
+    """``column, rows, present, distinct`` and how many values fit each candidate type.
 
-    One aggregate for each forty columns, so generated code stays small.
+    Cells are counted in long form, so each distinct value of a column is parsed
+    once and the generated code does not grow with the columns.
     """
     columns = columns or df.columns
-    out = None
-    for at in range(0, len(columns), 40):
-        cells = []
-        for c in columns[at : at + 40]:
-            v = expr.null_if_marker(F.col(c))
-            fits = [F.count(expr.typed(F.col(c), k, t)).alias(t or k) for k, t in LADDER]
-            cells.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("present"), *fits))
-        part = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*cells).alias("cells")).select("rows", F.inline("cells"))
-        out = part if out is None else out.unionByName(part)
-    # Distinct values apart, in long form: one exact count for all columns, by one shuffle.
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), expr.null_if_marker(F.col(c)).alias("v")) for c in columns])
-    values = df.select(F.inline(pairs)).filter("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    return out.join(values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")), "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), expr.null_if_marker(F.col(f"`{c}`")).alias("v")) for c in columns])
+    values = df.select(F.inline(pairs)).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    held = lambda c: F.sum(F.when(c.isNotNull(), F.col("n")))
+    fits = [held(expr.typed(F.col("v"), k, t)).alias(t or k) for k, t in LADDER]
+    found = values.groupBy("column").agg(F.sum("n").alias("rows"), held(F.col("v")).alias("present"), F.count("v").alias("distinct"), *fits)
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(found, "column", "left").na.fill(0)
 
 
 def chosen_types(probe: DataFrame, tolerance: float = 0.05) -> DataFrame:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "analysis")
+MODULES = ("relational", "analysis", "flows")
 
 
 def _modules():

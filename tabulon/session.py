@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,6 +33,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, as ``spark.checkpoint.dir`` names it.
+
+    Only where that is unset, as in local tests, a temporary folder is made and set.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+            known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = known.get()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _shipped: set[str] = set()
 
 

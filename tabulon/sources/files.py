@@ -139,9 +139,12 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("event is not null").withColumn("dt", F.to_date("ts"))
 
 
-def read_load_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """One flat row per load record; nested counts, quality and error are pulled out."""
-    raw = spark.read.schema(LEDGER_SCHEMA).option("multiLine", True).json(path)
+def read_load_ledger(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One flat row per load record; nested counts, quality and error are pulled out.
+
+    A file holds one record, or with ``lines`` one on each line.
+    """
+    raw = spark.read.schema(LEDGER_SCHEMA).option("multiLine", not lines).json(path)
     number = lambda c: F.col(c).try_cast("bigint").alias(c.rpartition(".")[2])
     return raw.filter("load_id is not null").select(
         "load_id", "project_id", "dataset", "mode", "source", "status", "stage",

@@ -128,3 +128,27 @@ def test_every_core_query_has_columns_and_rows(spark):
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.queries()["flagship_monthly_revenue"](spark, "/root/testdata/sf0.001").count() == 25
+
+
+def test_probe_of_an_empty_table_and_odd_names(spark):
+    t = text_table(spark, ["a.b", "rows"], ("1", "x"), (None, "y"))
+    assert [(c.name, c.kind, c.nullable) for c in C.infer_contract(t)] == [("a.b", "int", True), ("rows", "str", False)]
+    assert [c.kind for c in C.infer_contract(t.limit(0))] == ["str", "str"]
+
+
+def test_ledger_lines_and_files(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"load_id": "a", "duration_ms": 5, "counts": {"rows_in": 2}}\n{"load_id": "b", "duration_ms": "x"}\n{"project_id": "p"}\n')
+    got = files.read_load_ledger(spark, f"file://{tmp_path}/l.json", lines=True)
+    assert sorted(values(got, "load_id", "duration_ms", "rows_in")) == [("a", 5, 2), ("b", None, None)]
+    assert values(files.read_load_ledger(spark, f"file://{tmp_path}/l.json"), "load_id") == ["a"]
+
+
+def test_streams_agree_with_batches(spark):
+    from tabulon.plans import flows
+
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    both = lambda df: sorted(map(tuple, df.collect()))
+    assert both(flows.stream_rate_limit(spark, sf)) == both(streams.rate_limit_audit(events, 2, 86_400.0))
+    batch = streams.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.to_date("start"))
+    assert both(flows.stream_daily_counts(spark, sf)) == both(batch)

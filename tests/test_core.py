@@ -152,3 +152,12 @@ def test_streams_agree_with_batches(spark):
     assert both(flows.stream_rate_limit(spark, sf)) == both(streams.rate_limit_audit(events, 2, 86_400.0))
     batch = streams.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.to_date("start"))
     assert both(flows.stream_daily_counts(spark, sf)) == both(batch)
+
+
+def test_grid_and_compaction(spark, tmp_path):
+    grid = spark.createDataFrame([(0, ["id", "name"]), (1, ["1"]), (2, ["2", "b", "more"])], "n int, cells array<string>")
+    assert sorted(values(files.sheet_snapshot(grid, "n", "cells", ["id", "name"]), "id", "name")) == [("1", ""), ("2", "b")]
+    lake = loads.Lake(spark, f"file://{tmp_path}")
+    lake.run_load("t", spark.range(40).selectExpr("cast(id as string) id").repartition(4), "replace", "L1", ["id"])
+    assert lake.compact("t", "C1", min_files=2) and not lake.compact("t", "C2", min_files=2)
+    assert lake.current("t").count() == 40 and lake.expired().count() == 0

@@ -134,7 +134,7 @@ def _walk(level: int, last: bool):
     return run
 
 
-def balanced_sample(rows: DataFrame, seed: int, block_rows: int = 20_000) -> DataFrame:
+def balanced_sample(rows: DataFrame, seed: int, block_rows: int = 4_000) -> DataFrame:
     """``row, taken`` for ``rows (row, grp, rows_in_grp, size, p)``; groups are balanced apart.
 
     The number of blocks of a group follows from its row count, so no task gets
@@ -163,7 +163,7 @@ def balanced_sample(rows: DataFrame, seed: int, block_rows: int = 20_000) -> Dat
     return out
 
 
-def mix_units(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, scale: float = 1.5, cap: float = 2.0, seed: int = 17, block_rows: int = 20_000) -> DataFrame:
+def mix_units(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, scale: float = 1.5, cap: float = 2.0, seed: int = 17, block_rows: int = 4_000) -> DataFrame:
     """``doc_id, key, repeats, size, source_size, target, copies`` for each distinct row.
 
     ``key`` is a hash of id, text and source. The mixture is decided on these

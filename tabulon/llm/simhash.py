@@ -22,7 +22,8 @@ components from rows that grow linearly with the members.
 
 Two bits of 64 are few: texts that share 0.8 of their shingles differ in about
 ten. For a given similarity there is ``similar_components``, with the same code
-over a fingerprint of four lanes, see there.
+over a fingerprint of four lanes; where the distance leaves doubt, the shingles
+themselves decide, see there.
 
 Components come from repeated min-label steps over the links with pointer
 jumping; each round is written to the shared folder.
@@ -31,7 +32,8 @@ Defined cases: null and empty texts have fingerprint zero and are linked like
 any other; a text of fewer words than a shingle is one shingle; repeated rows
 and ids stay rows; null ids are kept and never name a component unless a
 component has no other id; an empty table gives an empty result. Extra columns
-are ignored by the report and kept by the stage.
+are ignored by the report and kept by the stage. The stage tells rows apart by
+id and text, so different texts under one id, or under none, are all kept.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import broadcast_if_small, stage
@@ -99,17 +101,23 @@ def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
     return out
 
 
+def text_key() -> Column:
+    """A hash by which equal texts are known; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
-    """``(doc_id, fp, fp1, ..)``: each lane of the fingerprint as a signed long."""
+    """``(doc_id, text_key, fp, fp1, ..)``: each lane of the fingerprint as a signed long."""
     names = ["fp", *(f"fp{k}" for k in range(1, lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words, lanes) for t in batch.column(1)], dtype=np.uint64).reshape(-1, lanes)
+            fps = np.array([fingerprint(t.as_py(), words, lanes) for t in batch.column(2)], dtype=np.uint64).reshape(-1, lanes)
             columns = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(lanes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return kept.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{n} long" for n in names))
 
 
 # ---------------------------------------------------------------- Golay code
@@ -247,7 +255,7 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, bucket_limit: int
     ``component_id`` is the least id that can be reached over fingerprints
     within two bits.
     """
-    rows = stage(fingerprints(docs, words), "fingerprints")
+    rows = stage(fingerprints(docs, words).drop("text_key"), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     return _component_ids(rows, nodes, fingerprint_links(nodes, bucket_limit))
 
@@ -265,8 +273,10 @@ LANES = 4
 WORDS_PER_TEXT = 10
 #: Share of bits that differ at a Jaccard similarity of 0.8: the angle whose cosine is 2J / (1 + J), over pi.
 DIFFER_AT_08 = float(np.arccos(2 * 0.8 / 1.8) / np.pi)
-#: One standard deviation above the mean, so that most pairs at 0.8 pass; a pair at 0.7 seldom does.
-MAX_DIFFER = round(DIFFER_AT_08 * 64 * LANES + (DIFFER_AT_08 * (1 - DIFFER_AT_08) * 64 * LANES) ** 0.5)
+_SPREAD = (DIFFER_AT_08 * (1 - DIFFER_AT_08) * 64 * LANES) ** 0.5
+#: Up to the distance expected at 0.8 texts are linked at once; up to two standard deviations more, by their shingles.
+SURE_DIFFER = int(DIFFER_AT_08 * 64 * LANES)
+MAX_DIFFER = round(DIFFER_AT_08 * 64 * LANES + 2 * _SPREAD)
 #: The same for the first lane alone, with three standard deviations of room.
 MAX_FIRST = round(64 * DIFFER_AT_08 + 3 * (64 * DIFFER_AT_08 * (1 - DIFFER_AT_08)) ** 0.5)
 
@@ -306,16 +316,67 @@ def wide_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select(*names).mapInArrow(run, "fp long, key long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole fingerprints are within the distance."""
+def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b, differ)`` for the pairs whose whole fingerprints are within ``MAX_DIFFER``."""
     names = ["fp", *(f"fp{k}" for k in range(1, LANES))]
     a, b = (nodes.select(*[F.col(n).alias(f"{side}{n[2:]}") for n in names]) for side in ("a", "b"))
     differ = sum(F.bit_count(F.col(f"a{n[2:]}").bitwiseXOR(F.col(f"b{n[2:]}"))) for n in names)
-    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(differ <= MAX_DIFFER).select("a", "b")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", differ.alias("differ")).filter(F.col("differ") <= MAX_DIFFER)
 
 
-def similar_components(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``doc_id, component_id``: texts linked at an estimated shingle similarity of 0.8 or more.
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``(fp, shingles)``: the distinct shingle hashes of each row of ``texts (fp, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    return texts.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float = 0.8) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts share at least ``least`` of their distinct shingles."""
+    pairs = stage(pairs.select("a", "b"), "unsure-pairs")
+    if not pairs.limit(1).count():
+        return pairs
+    need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    keys = stage(nodes.select("fp", "text_key").join(need.hint("merge"), "fp"), "unsure-texts")
+    texts = docs.select(text_key().alias("text_key"), "text").join(broadcast_if_small(keys, 100_000), "text_key")
+    sets = stage(shingle_sets(texts.dropDuplicates(["text_key"]), words), "shingle-sets")
+    a, b = (sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("a", "b"))
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("a_set", "b_set")))
+    return both.filter(F.col("shared") >= least * (F.size("a_set") + F.size("b_set") - F.col("shared")) - 1e-9).select("a", "b")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``(fp, root)`` of ``roots (fp, root)`` after ``links (a, b)`` between roots."""
+    moved = components(links).withColumnRenamed("root", "least_root")
+    return roots.join(broadcast_if_small(moved, 1_000_000), roots["root"] == moved["node"], "left").select("fp", F.coalesce("least_root", "root").alias("root"))
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(ra, rb, a, b)`` for the pairs between two components."""
+    at = [broadcast_if_small(roots, 1_000_000).select(F.col("fp").alias(side), F.col("root").alias(f"r{side}")) for side in ("a", "b")]
+    both = pairs.join(at[0], "a", "left").join(at[1], "b", "left")
+    return both.select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), "a", "b").filter("ra <> rb")
+
+
+def _root_links(pairs: DataFrame, good: DataFrame) -> DataFrame:
+    """Links between the roots of ``pairs (ra, rb, a, b)`` for those that are in ``good (a, b)``."""
+    return pairs.join(good, ["a", "b"], "left_semi").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+
+def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``rows (doc_id, text_key, fp, ..)`` and ``nodes (fp, least, root)`` of similar texts.
+
+    ``least`` is the least ``(no id, doc_id, text_key)`` at a node. Texts are
+    linked if their fingerprints differ in no more bits than expected at a
+    similarity of 0.8, or in somewhat more and they do share 0.8 of their
+    distinct shingles. The latter is asked only between components.
 
     Every bucket is searched in two steps, without a cap and without all pairs
     of a large group. First each member is compared with the bucket's least
@@ -324,26 +385,43 @@ def similar_components(docs: DataFrame, words: int = 5) -> DataFrame:
     with all of the bucket.
     """
     rows = stage(fingerprints(docs, words, LANES), "fingerprints")
-    rest = [F.min_by(f"fp{k}", F.struct("doc_id", *[f"fp{j}" for j in range(1, LANES)])).alias(f"fp{k}") for k in range(1, LANES)]
-    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *rest), "distinct-fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
+    rest = [F.min_by(f"fp{k}", "text_key").alias(f"fp{k}") for k in range(1, LANES)]
+    nodes = stage(rows.groupBy("fp").agg(least, F.min("text_key").alias("text_key"), *rest), "distinct-fingerprints")
     keyed = wide_rows(nodes)
-    least = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = stage(keyed.join(least.hint("merge"), "key"), "golay-shared")
+    first = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = stage(keyed.join(first.hint("merge"), "key"), "golay-shared")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= MAX_FIRST
     stars = shared.filter((F.col("a") < F.col("fp")) & near).select("a", F.col("fp").alias("b")).distinct()
-    stars = stage(_verified(stars, nodes), "links-to-least")
-    roots = components(stars).select(F.col("node").alias("fp"), "root")
-    placed = shared.select("key", "fp").join(broadcast_if_small(roots, 1_000_000), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = stage(placed, "golay-placed")
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    stars = stage(_distances(stars, nodes), "links-to-least")
+    sure = F.col("differ") <= SURE_DIFFER
+    roots = components(stars.filter(sure).select("a", "b")).select(F.col("node").alias("fp"), "root")
+    unsure = stage(_across(stars.filter(~sure), roots), "unsure-stars")
+    placed = nodes.select("fp").join(broadcast_if_small(roots, 1_000_000), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = stage(_joined(placed, _root_links(unsure, _similar(unsure, nodes, docs, words))), "roots")
+
+    member = stage(shared.select("key", "fp").join(placed.hint("merge"), "fp"), "golay-placed")
+    parts = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    strays = placed.join(mixed.hint("merge"), "key").filter("root <> main").select("key", F.col("fp").alias("x"), F.col("root").alias("xroot"))
-    strays, others = stage(strays, "strays"), placed.select(F.col("key").alias("okey"), F.col("fp").alias("y"), F.col("root").alias("yroot"))
+    strays = member.join(mixed.hint("merge"), "key").filter("root <> main").select("key", F.col("fp").alias("x"), F.col("root").alias("xroot"))
+    strays, others = stage(strays, "strays"), member.select(F.col("key").alias("okey"), F.col("fp").alias("y"), F.col("root").alias("yroot"))
     apart = (F.col("xroot") != F.col("yroot")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= MAX_FIRST)
     late = strays.join(others.hint("merge"), (F.col("key") == F.col("okey")) & apart)
     late = late.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = stars.unionByName(_verified(late, nodes))
-    return _component_ids(rows, nodes, links)
+    late = stage(_distances(late, nodes), "late-links")
+    late_sure = _across(late.filter(sure), placed).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    placed = stage(_joined(placed, late_sure), "roots")
+    unsure = stage(_across(late.filter(~sure), placed), "unsure-late")
+    placed = _joined(placed, _root_links(unsure, _similar(unsure, nodes, docs, words)))
+    return rows, stage(nodes.select("fp", "least").join(placed.hint("merge"), "fp"), "placed-fingerprints")
+
+
+def similar_components(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``doc_id, component_id``: one row per document; the least id among its similar texts."""
+    rows, nodes = similar_nodes(docs, words)
+    ids = nodes.groupBy("root").agg(F.min("least").alias("least")).select("root", F.col("least.doc_id").alias("component_id"))
+    table = stage(nodes.select("fp", "root").join(ids.hint("merge"), "root").select("fp", "component_id"), "fingerprint-components")
+    return rows.join(table.hint("merge"), "fp").select("doc_id", "component_id")
 
 
 def _component_ids(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -359,10 +437,12 @@ def _component_ids(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataF
 def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs`` but for near-duplicates; columns as they came.
 
-    Of each component the row with the least id stays, of rows that repeat that
-    id any one; rows of a component without an id stay as one.
+    Of each component the row with the least id stays, of different texts with
+    that id the one with the least text hash, of equal rows one; a component
+    without an id keeps one row.
     """
-    found = similar_components(docs, words)
-    keepers = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(keepers.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    _, nodes = similar_nodes(docs, words)
+    keepers = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_key"))
+    rows = docs.withColumn("_text_key", text_key())
+    rows = rows.join(keepers.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")

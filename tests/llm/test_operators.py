@@ -135,6 +135,41 @@ def test_near_duplicates_keep_one_and_clean_rows(spark, empty):
     assert simhash.keep_one_of_each(empty).count() == 0 and simhash.simhash_report(empty).count() == 0
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    docs, pairs = [], {}
+    for k in range(60):
+        a = [word() for _ in range(400)]
+        b = a[: 400 - k] + [word() for _ in range(k)]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        pairs[2 * k] = len(x & y) / len(x | y)
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    joined = {k: found[k] == found[k + 1] for k in pairs}
+    assert len(found) == 120 and all(v in (k, k - k % 2) for k, v in found.items())
+    assert all(joined[k] for k, j in pairs.items() if j >= 0.9)
+    close = [joined[k] for k, j in pairs.items() if 0.8 <= j < 0.9]
+    assert sum(close) >= 0.75 * len(close)
+
+
+def test_shingles_decide_between_unsure_pairs(spark):
+    texts = [" ".join(f"w{i}" for i in range(a, b)) for a, b in [(0, 100), (8, 100), (40, 140)]]
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    nodes = docs.select(F.col("doc_id").alias("fp"), simhash.text_key().alias("text_key"))
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (2, 3)], "a long, b long")
+    assert {tuple(r) for r in simhash._similar(pairs, nodes, docs, 5).collect()} == {(0, 1)}
+
+
+def test_near_duplicates_tell_rows_without_an_id_apart(spark):
+    rng = random.Random(11)
+    a, b, c = (" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(100)) for _ in range(3))
+    docs = spark.createDataFrame([(None, a), (None, b), (None, a), (7, b), (8, c), (8, a), (8, c)], "doc_id long, text string")
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted([(7, b), (8, c), (8, a)])
+
+
 def test_decontamination_matches_brute_force(spark, docs, empty):
     rng = random.Random(4)
     texts = [r[1] or "" for r in rows()]

@@ -280,6 +280,9 @@ MAX_DIFFER = round(DIFFER_AT_08 * 64 * LANES + 2 * _SPREAD)
 #: The same for the first lane alone, with three standard deviations of room.
 MAX_FIRST = round(64 * DIFFER_AT_08 + 3 * (64 * DIFFER_AT_08 * (1 - DIFFER_AT_08)) ** 0.5)
 
+#: With how many of its buckets' least members a text is compared first; a text has about 140 buckets.
+FIRST_TRIES = 12
+
 
 def wide_buckets(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of wide fingerprints ``(n, LANES)``: pairs of Golay words, all keys of one with all of the other.
@@ -379,10 +382,10 @@ def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame
     distinct shingles. The latter is asked only between components.
 
     Every bucket is searched in two steps, without a cap and without all pairs
-    of a large group. First each member is compared with the bucket's least
-    member, and components are formed. Members of one component need no more
-    links, so then only those outside the bucket's main component are compared
-    with all of the bucket.
+    of a large group. First each text is compared with the nearest few of its
+    buckets' least members, and components are formed. Members of one component
+    need no more links, so then only those outside the bucket's main component
+    are compared, with all of the bucket. The first step only spares work.
     """
     rows = stage(fingerprints(docs, words, LANES), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
@@ -391,8 +394,9 @@ def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame
     keyed = wide_rows(nodes)
     first = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = stage(keyed.join(first.hint("merge"), "key"), "golay-shared")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= MAX_FIRST
-    stars = shared.filter((F.col("a") < F.col("fp")) & near).select("a", F.col("fp").alias("b")).distinct()
+    off = F.bit_count(F.col("a").bitwiseXOR(F.col("fp")))
+    stars = shared.filter((F.col("a") < F.col("fp")) & (off <= MAX_FIRST)).groupBy(F.col("fp").alias("b")).agg(F.collect_set(F.struct(off.alias("off"), "a")).alias("leasts"))
+    stars = stars.select("b", F.explode(F.slice(F.array_sort("leasts"), 1, FIRST_TRIES)).alias("of")).select("of.a", "b")
     stars = stage(_distances(stars, nodes), "links-to-least")
     sure = F.col("differ") <= SURE_DIFFER
     roots = components(stars.filter(sure).select("a", "b")).select(F.col("node").alias("fp"), "root")
@@ -400,15 +404,18 @@ def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame
     placed = nodes.select("fp").join(broadcast_if_small(roots, 1_000_000), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = stage(_joined(placed, _root_links(unsure, _similar(unsure, nodes, docs, words))), "roots")
 
-    member = stage(shared.select("key", "fp").join(placed.hint("merge"), "fp"), "golay-placed")
+    # Members carry their whole fingerprints, so the join on keys yields only pairs within the distance.
+    lanes = ["fp", *(f"fp{k}" for k in range(1, LANES))]
+    whole = nodes.select(*lanes).join(placed.hint("merge"), "fp")
+    member = stage(shared.select("key", "fp").join(whole.hint("merge"), "fp"), "golay-placed")
     parts = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    strays = member.join(mixed.hint("merge"), "key").filter("root <> main").select("key", F.col("fp").alias("x"), F.col("root").alias("xroot"))
-    strays, others = stage(strays, "strays"), member.select(F.col("key").alias("okey"), F.col("fp").alias("y"), F.col("root").alias("yroot"))
-    apart = (F.col("xroot") != F.col("yroot")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= MAX_FIRST)
-    late = strays.join(others.hint("merge"), (F.col("key") == F.col("okey")) & apart)
-    late = late.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = stage(_distances(late, nodes), "late-links")
+    mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "main")
+    strays = member.join(mixed.hint("merge"), "key").filter("root <> main").select("key", F.col("root").alias("xroot"), *[F.col(n).alias(f"x{n[2:]}") for n in lanes])
+    others = member.select(F.col("key").alias("okey"), F.col("root").alias("yroot"), *[F.col(n).alias(f"y{n[2:]}") for n in lanes])
+    differ = sum(F.bit_count(F.col(f"x{n[2:]}").bitwiseXOR(F.col(f"y{n[2:]}"))) for n in lanes)
+    strays = stage(strays, "strays")
+    late = strays.join(others.hint("merge"), (F.col("key") == F.col("okey")) & (F.col("xroot") != F.col("yroot")) & (differ <= MAX_DIFFER))
+    late = stage(late.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), differ.alias("differ")).distinct(), "late-links")
     late_sure = _across(late.filter(sure), placed).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     placed = stage(_joined(placed, late_sure), "roots")
     unsure = stage(_across(late.filter(~sure), placed), "unsure-late")

@@ -4,7 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``:
 
 1. language identification; documents without a told language go,
-2. SimHash near-duplicates; one document of each component stays,
+2. near-duplicates by shared shingles; one document of each component stays,
 3. benchmark decontamination; documents that hold a benchmark window go,
 4. mixing; documents are dropped or repeated to meet the sources' targets,
 5. token files; the result lists each document as read back from them.

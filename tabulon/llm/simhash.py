@@ -21,9 +21,10 @@ word. All that share one are linked to the least of them, which gives the same
 components from rows that grow linearly with the members.
 
 Two bits of 64 are few: texts that share 0.8 of their shingles differ in about
-ten. For a given similarity there is ``similar_components``, with the same code
-over a fingerprint of four lanes; where the distance leaves doubt, the shingles
-themselves decide, see there.
+ten, and a distance only estimates that share. For a given similarity there is
+``similar_nodes``, which needs no fingerprint: texts are found by a few of their
+distinct shingles and decided by all of them, so no pair is lost and none is
+linked in error.
 
 Components come from repeated min-label steps over the links with pointer
 jumping; each round is written to the shared folder.
@@ -46,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import broadcast_if_small, stage
+from tabulon.llm.common import broadcast_if_small, drop_stage, stage
 
 #: Start and width of the segments of a fingerprint, from the lowest bit.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -268,63 +269,66 @@ def simhash_report(docs: DataFrame, words: int = 3) -> DataFrame:
 
 # ---------------------------------------------------------------- similar texts
 
-#: The fingerprint for similarity: four lanes, of which ten Golay words are cut.
-LANES = 4
-WORDS_PER_TEXT = 10
-#: Share of bits that differ at a Jaccard similarity of 0.8: the angle whose cosine is 2J / (1 + J), over pi.
-DIFFER_AT_08 = float(np.arccos(2 * 0.8 / 1.8) / np.pi)
-_SPREAD = (DIFFER_AT_08 * (1 - DIFFER_AT_08) * 64 * LANES) ** 0.5
-#: Up to the distance expected at 0.8 texts are linked at once; up to two standard deviations more, by their shingles.
-SURE_DIFFER = int(DIFFER_AT_08 * 64 * LANES)
-MAX_DIFFER = round(DIFFER_AT_08 * 64 * LANES + 2 * _SPREAD)
-#: The same for the first lane alone, with three standard deviations of room.
-MAX_FIRST = round(64 * DIFFER_AT_08 + 3 * (64 * DIFFER_AT_08 * (1 - DIFFER_AT_08)) ** 0.5)
+#: Share of the distinct shingles of both texts that similar texts have in common.
+SIMILAR = 0.8
+#: For the order of the shingles the texts of one in so many are read, and those seen in so many of them are common.
+ORDER_SAMPLE, COMMON_SEEN, MAX_COMMON = 16, 3, 200_000
+#: With how many of its buckets' end members a text is compared first.
+FIRST_TRIES = 4
 
-#: With how many of its buckets' least members a text is compared first; a text has about 140 buckets.
-FIRST_TRIES = 12
 
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and their ranks from 1, rarer ones first.
+
+    They only say which shingles become keys. Any order of all shingles finds
+    the same pairs, so the sample and its bounds cost no pair.
+    """
+    sample = docs.select(text_key().alias("fp"), "text").filter(F.pmod("fp", F.lit(ORDER_SAMPLE)) == 0)
+    sets = shingle_sets(sample.dropDuplicates(["fp"]), words)
+    seen = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    top = seen.filter(F.col("n") >= COMMON_SEEN).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).toArrow()
+    shingles = top.column("shingle").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], (len(shingles) - np.arange(len(shingles)))[order]
 
-def wide_buckets(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of wide fingerprints ``(n, LANES)``: pairs of Golay words, all keys of one with all of the other.
 
-    Words that differ in 15% of their bits share a key with a chance of 0.6, so
-    a pair of words with 0.36 and one of five pairs with 0.9; at 10%, with 0.99.
+def prefix_keys(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first of the sorted ``shingles`` in the order of all shingles, as many as two similar texts need to share one.
+
+    Of ``n`` shingles a similar text has ``m = ceil(0.8 n)`` at least, so it has
+    one of any ``n - m + 1``. The first shingle that both have is among the
+    first so many of either.
     """
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-    weight = 1 << np.arange(23)
-    patterns, count = golay_keys()
-    which, keys = [], []
-    for table in range(WORDS_PER_TEXT // 2):
-        a, b = (bits[:, 23 * k : 23 * k + 23] @ weight for k in (2 * table, 2 * table + 1))
-        sa, sb = _remainders(a), _remainders(b)
-        ca, cb = (a[:, None] ^ patterns[sa]) >> 11, (b[:, None] ^ patterns[sb]) >> 11
-        own = (np.arange(6) < count[sa][:, None])[:, :, None] & (np.arange(6) < count[sb][:, None])[:, None, :]
-        both = table << 24 | ca[:, :, None] << 12 | cb[:, None, :]
-        which.append(np.nonzero(own)[0])
-        keys.append(both[own])
-    return np.concatenate(which), np.concatenate(keys)
+    rank = np.zeros(len(shingles), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, ranks[at], 0)
+    n = len(shingles)
+    return shingles[np.argsort(rank, kind="stable")[: n - int(np.ceil(SIMILAR * n - 1e-9)) + 1]]
 
 
-def wide_rows(nodes: DataFrame) -> DataFrame:
-    """``(fp, key)`` for each node, about 140 rows each."""
-    names = ["fp", *(f"fp{k}" for k in range(1, LANES))]
+def keyed_rows(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, text_key, fp, size, keys)``: ``fp`` is a hash of the set of shingles."""
+    import xxhash
+
+    common, ranks = common_shingles(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.stack([c.to_numpy() for c in batch.columns], axis=1).view(np.uint64)
-            for at in range(0, len(fps), 2048):
-                which, keys = wide_buckets(fps[at : at + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(fps[at : at + 2048, 0].view(np.int64)[which]), pa.array(keys)], ["fp", "key"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in part.column(2)]
+                fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], dtype=np.uint64).view(np.int64)
+                keys = pa.array([prefix_keys(np.sort(x), common, ranks) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int32()), keys], ["doc_id", "text_key", "fp", "size", "keys"])
 
-    return nodes.select(*names).mapInArrow(run, "fp long, key long")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return kept.mapInArrow(run, "doc_id long, text_key long, fp long, size int, keys array<long>")
 
 
-def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(a, b, differ)`` for the pairs whose whole fingerprints are within ``MAX_DIFFER``."""
-    names = ["fp", *(f"fp{k}" for k in range(1, LANES))]
-    a, b = (nodes.select(*[F.col(n).alias(f"{side}{n[2:]}") for n in names]) for side in ("a", "b"))
-    differ = sum(F.bit_count(F.col(f"a{n[2:]}").bitwiseXOR(F.col(f"b{n[2:]}"))) for n in names)
-    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", differ.alias("differ")).filter(F.col("differ") <= MAX_DIFFER)
+def _sizes_allow(a: Column, b: Column) -> Column:
+    """False where two sets cannot be similar by their sizes alone."""
+    return F.least(a, b) >= SIMILAR * F.greatest(a, b) - 1e-9
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -340,13 +344,13 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float = 0.8) -> DataFrame:
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float = SIMILAR) -> DataFrame:
     """The pairs ``(a, b)`` whose texts share at least ``least`` of their distinct shingles."""
-    pairs = stage(pairs.select("a", "b"), "unsure-pairs")
+    pairs = stage(pairs.select("a", "b"), "pairs")
     if not pairs.limit(1).count():
         return pairs
     need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    keys = stage(nodes.select("fp", "text_key").join(need.hint("merge"), "fp"), "unsure-texts")
+    keys = stage(nodes.select("fp", "text_key").join(need.hint("merge"), "fp"), "texts-of-pairs")
     texts = docs.select(text_key().alias("text_key"), "text").join(broadcast_if_small(keys, 100_000), "text_key")
     sets = stage(shingle_sets(texts.dropDuplicates(["text_key"]), words), "shingle-sets")
     a, b = (sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("a", "b"))
@@ -361,73 +365,57 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return roots.join(broadcast_if_small(moved, 1_000_000), roots["root"] == moved["node"], "left").select("fp", F.coalesce("least_root", "root").alias("root"))
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(ra, rb, a, b)`` for the pairs between two components."""
-    at = [broadcast_if_small(roots, 1_000_000).select(F.col("fp").alias(side), F.col("root").alias(f"r{side}")) for side in ("a", "b")]
-    both = pairs.join(at[0], "a", "left").join(at[1], "b", "left")
-    return both.select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), "a", "b").filter("ra <> rb")
-
-
-def _root_links(pairs: DataFrame, good: DataFrame) -> DataFrame:
-    """Links between the roots of ``pairs (ra, rb, a, b)`` for those that are in ``good (a, b)``."""
-    return pairs.join(good, ["a", "b"], "left_semi").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-
 def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """``rows (doc_id, text_key, fp, ..)`` and ``nodes (fp, least, root)`` of similar texts.
+    """``rows (doc_id, text_key, fp)`` and ``nodes (fp, least, root)`` of similar texts.
 
-    ``least`` is the least ``(no id, doc_id, text_key)`` at a node. Texts are
-    linked if their fingerprints differ in no more bits than expected at a
-    similarity of 0.8, or in somewhat more and they do share 0.8 of their
-    distinct shingles. The latter is asked only between components.
+    ``least`` is the least ``(no id, doc_id, text_key)`` at a node, which is a
+    set of distinct shingles. Nodes are linked exactly if they share 0.8 of
+    them: two such share one of their keys, see ``prefix_keys``, and the sets
+    themselves decide about all that share one.
 
     Every bucket is searched in two steps, without a cap and without all pairs
-    of a large group. First each text is compared with the nearest few of its
-    buckets' least members, and components are formed. Members of one component
-    need no more links, so then only those outside the bucket's main component
-    are compared, with all of the bucket. The first step only spares work.
+    of a large group. First each node is compared with the end members of those
+    buckets that it shares most with, and components are formed. Members of one
+    component need no more links, so then only those outside the bucket's main
+    component are compared, with all of the bucket. The first step only spares
+    work.
     """
-    rows = stage(fingerprints(docs, words, LANES), "fingerprints")
+    rows = stage(keyed_rows(docs, words), "shingle-keys")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
-    rest = [F.min_by(f"fp{k}", "text_key").alias(f"fp{k}") for k in range(1, LANES)]
-    nodes = stage(rows.groupBy("fp").agg(least, F.min("text_key").alias("text_key"), *rest), "distinct-fingerprints")
-    keyed = wide_rows(nodes)
-    first = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = stage(keyed.join(first.hint("merge"), "key"), "golay-shared")
-    off = F.bit_count(F.col("a").bitwiseXOR(F.col("fp")))
-    stars = shared.filter((F.col("a") < F.col("fp")) & (off <= MAX_FIRST)).groupBy(F.col("fp").alias("b")).agg(F.collect_set(F.struct(off.alias("off"), "a")).alias("leasts"))
-    stars = stars.select("b", F.explode(F.slice(F.array_sort("leasts"), 1, FIRST_TRIES)).alias("of")).select("of.a", "b")
-    stars = stage(_distances(stars, nodes), "links-to-least")
-    sure = F.col("differ") <= SURE_DIFFER
-    roots = components(stars.filter(sure).select("a", "b")).select(F.col("node").alias("fp"), "root")
-    unsure = stage(_across(stars.filter(~sure), roots), "unsure-stars")
+    nodes = stage(rows.groupBy("fp").agg(least, F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct-sets")
+    keyed = nodes.select("fp", "size", F.explode("keys").alias("key"))
+    ends = [f(F.struct("fp", "size")) for f in (F.min, F.max)]
+    ends = keyed.groupBy("key").agg(F.array(*ends).alias("ends"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = stage(keyed.join(ends.hint("merge"), "key"), "shared-keys")
+    stars = shared.select("fp", "size", F.explode("ends").alias("of")).filter((F.col("fp") != F.col("of.fp")) & _sizes_allow(F.col("size"), F.col("of.size")))
+    stars = stars.groupBy("fp", F.col("of.fp").alias("of")).agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.collect_list(F.struct((-F.col("n")).alias("n"), "of")).alias("of"))
+    stars = stars.select("fp", F.explode(F.slice(F.array_sort("of"), 1, FIRST_TRIES)).alias("of")).select(F.least("fp", "of.of").alias("a"), F.greatest("fp", "of.of").alias("b")).distinct()
+    roots = components(_similar(stars, nodes, docs, words)).select(F.col("node").alias("fp"), "root")
     placed = nodes.select("fp").join(broadcast_if_small(roots, 1_000_000), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = stage(_joined(placed, _root_links(unsure, _similar(unsure, nodes, docs, words))), "roots")
+    placed = stage(placed, "roots")
 
-    # Members carry their whole fingerprints, so the join on keys yields only pairs within the distance.
-    lanes = ["fp", *(f"fp{k}" for k in range(1, LANES))]
-    whole = nodes.select(*lanes).join(placed.hint("merge"), "fp")
-    member = stage(shared.select("key", "fp").join(whole.hint("merge"), "fp"), "golay-placed")
+    member = stage(shared.select("key", "fp", "size").join(placed.hint("merge"), "fp"), "placed-keys")
     parts = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "main")
-    strays = member.join(mixed.hint("merge"), "key").filter("root <> main").select("key", F.col("root").alias("xroot"), *[F.col(n).alias(f"x{n[2:]}") for n in lanes])
-    others = member.select(F.col("key").alias("okey"), F.col("root").alias("yroot"), *[F.col(n).alias(f"y{n[2:]}") for n in lanes])
-    differ = sum(F.bit_count(F.col(f"x{n[2:]}").bitwiseXOR(F.col(f"y{n[2:]}"))) for n in lanes)
-    strays = stage(strays, "strays")
-    late = strays.join(others.hint("merge"), (F.col("key") == F.col("okey")) & (F.col("xroot") != F.col("yroot")) & (differ <= MAX_DIFFER))
-    late = stage(late.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), differ.alias("differ")).distinct(), "late-links")
-    late_sure = _across(late.filter(sure), placed).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    placed = stage(_joined(placed, late_sure), "roots")
-    unsure = stage(_across(late.filter(~sure), placed), "unsure-late")
-    placed = _joined(placed, _root_links(unsure, _similar(unsure, nodes, docs, words)))
-    return rows, stage(nodes.select("fp", "least").join(placed.hint("merge"), "fp"), "placed-fingerprints")
+    mixed = stage(member.join(mixed.hint("merge"), "key"), "mixed-keys")
+    x, y = (mixed.select("key", *[F.col(n).alias(f"{side}_{n}") for n in ("fp", "size", "root", "main")]) for side in ("x", "y"))
+    late = x.filter("x_root <> x_main").join(y.hint("merge"), "key").filter((F.col("x_root") != F.col("y_root")) & _sizes_allow(F.col("x_size"), F.col("y_size")))
+    late = late.select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")).distinct()
+    good = _similar(late, nodes, docs, words)
+    at = [placed.select(F.col("fp").alias(side), F.col("root").alias(f"r{side}")) for side in ("a", "b")]
+    both = good.join(at[0].hint("merge"), "a").join(at[1].hint("merge"), "b")
+    placed = _joined(placed, both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    placed = stage(nodes.select("fp", "least").join(placed.hint("merge"), "fp"), "placed-sets")
+    rows = stage(rows.drop("size", "keys"), "rows-of-sets")
+    drop_stage(shared, member, mixed, nodes)
+    return rows, placed
 
 
 def similar_components(docs: DataFrame, words: int = 5) -> DataFrame:
     """``doc_id, component_id``: one row per document; the least id among its similar texts."""
     rows, nodes = similar_nodes(docs, words)
     ids = nodes.groupBy("root").agg(F.min("least").alias("least")).select("root", F.col("least.doc_id").alias("component_id"))
-    table = stage(nodes.select("fp", "root").join(ids.hint("merge"), "root").select("fp", "component_id"), "fingerprint-components")
+    table = stage(nodes.select("fp", "root").join(ids.hint("merge"), "root").select("fp", "component_id"), "set-components")
     return rows.join(table.hint("merge"), "fp").select("doc_id", "component_id")
 
 

@@ -170,6 +170,39 @@ def test_near_duplicates_tell_rows_without_an_id_apart(spark):
     assert sorted(map(tuple, kept.collect())) == sorted([(7, b), (8, c), (8, a)])
 
 
+def similar_pairs(texts):
+    """Pairs of ``texts`` with 0.8 of their distinct shingles in common, and the least member of each one's component."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(range(len(sets)))
+    for _ in sets:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return pairs, root
+
+
+def found_components(spark, texts):
+    found = simhash.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r["component_id"] for r in sorted(found)]
+
+
+def random_words(rng, n):
+    return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+
+
+def test_no_pair_below_the_threshold_is_linked(spark):
+    rng = random.Random(12)
+    line, texts = " ".join(random_words(rng, 12)), []
+    for k in range(30):  # shares of 0.6 to 0.79
+        a = random_words(rng, 300)
+        b = a[: 225 + k] + random_words(rng, 75 - k)
+        texts += [" ".join(a), " ".join(b if k < 29 else a[:230])]
+    for k in (20, 50, 80):
+        texts += [" ".join([*random_words(rng, 200), *[line] * k]) for _ in range(2)]
+    assert not similar_pairs(texts)[0]
+    assert found_components(spark, texts) == list(range(len(texts)))
+
+
 def test_decontamination_matches_brute_force(spark, docs, empty):
     rng = random.Random(4)
     texts = [r[1] or "" for r in rows()]

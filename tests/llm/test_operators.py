@@ -203,6 +203,14 @@ def test_no_pair_below_the_threshold_is_linked(spark):
     assert found_components(spark, texts) == list(range(len(texts)))
 
 
+def test_repeated_lines_hide_no_near_duplicate(spark):
+    rng, texts = random.Random(13), []
+    for k in (1, 5, 10, 20, 40):
+        a = random_words(rng, 312)
+        texts += [" ".join(a), " ".join(a + a[-12:] * k)]
+    assert found_components(spark, texts) == [k - k % 2 for k in range(len(texts))]
+
+
 def test_decontamination_matches_brute_force(spark, docs, empty):
     rng = random.Random(4)
     texts = [r[1] or "" for r in rows()]

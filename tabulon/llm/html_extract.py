@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -53,8 +53,13 @@ CLOSED_BY = {
     "tr": frozenset({"tr", "tbody", "tfoot"}),
     "td": frozenset({"td", "th", "tr"}),
     "th": frozenset({"td", "th", "tr"}),
-    "head": frozenset({"body"}),
 }
+# What may stand in a head; any other element ends it.
+IN_HEAD = frozenset("head html meta link title base basefont bgsound noframes style script noscript template".split())
+# Drawings and formulas, and the HTML elements that cannot stand in one and so end it.
+FOREIGN = frozenset("svg math".split())
+NOT_FOREIGN = frozenset("article aside b blockquote body br center code dd div dl dt em figure footer h1 h2 h3 h4 h5 h6 header hr i img li main nav ol p pre section small span strong sub sup table u ul".split())
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 BOILER_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget\w*|cookies?\w*|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|search|share\w*|social\w*|comments?|comment\w*|disqus|repl(?:y|ies)|respond|related\w*|recommend\w*|pagination|pager|toolbar|copyright|legal|skip)(?:$|[\s_-])",
     re.I,
@@ -99,16 +104,10 @@ class BlockParser(HTMLParser):
         self.blocks: list[Block] = []
         self.now: Block | None = None
         self.skip = self.links = 0
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skip:
-            if tag in DROPPED and tag not in VOID:
-                if tag == self.at.tag or tag not in ("head", "title"):
-                    self._open(tag, {})
-                    self.skip += 1
-            elif tag == "body" and self._inside("head"):
-                self._close("head")
-                self.handle_starttag(tag, attrs)
+        if self.skip and not self._skipped_start(tag):
             return
         while self.at.tag in CLOSED_BY and tag in CLOSED_BY[self.at.tag]:
             self._close(self.at.tag)
@@ -127,21 +126,24 @@ class BlockParser(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag in DROPPED:  # nothing is in it
+            self._leave_skipped(tag)
+            if not self.skip:
+                self._end_block()
+        elif not self.skip or not self._foreign():
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            if self._inside(tag, stop_at_skip=True):
-                self._close(tag)
-            return
-        if tag in BLOCK:
+        if tag in BLOCK and not self.skip:
             self._end_block()
         if self._inside(tag, until=frozenset() if tag in BLOCK else BLOCK - {tag}):
             self._close(tag)
-        elif tag == "br" and self.now:
+        elif tag == "br" and self.now and not self.skip:
             self.now.parts.append(" ")
 
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "head" and not data.isspace():
+            self._close("head")
         if self.skip or not data:
             return
         if not self.now:
@@ -155,6 +157,43 @@ class BlockParser(HTMLParser):
 
     # ------------------------------------------------------------ the tree
 
+    def _foreign(self) -> Node | None:
+        """The drawing or formula that is open where no HTML may stand."""
+        node = self.at if any(self.open[t] for t in FOREIGN) else self.top
+        while node.up is not None and node.tag not in FOREIGN:
+            if node.tag in INTEGRATION:
+                return None
+            node = node.up
+        return node if node.up is not None else None
+
+    def _leave_skipped(self, tag: str) -> None:
+        """Close the dropped elements that a start tag ends."""
+        if self.at.tag == "head" and tag not in IN_HEAD or tag == "body" and self.open["head"]:
+            self._close("head")
+        elif tag in NOT_FOREIGN and (node := self._foreign()):
+            self._close(node.tag)
+        elif tag == self.at.tag and tag in ("button", "option"):
+            self._close(tag)
+
+    def _skipped_start(self, tag: str) -> bool:
+        """A start tag in a dropped element; true if that ends with it.
+
+        All elements are kept on the path here too, so that an end tag is known
+        as that of an element inside or of an ancestor.
+        """
+        self._leave_skipped(tag)
+        if self.skip and tag not in VOID and tag not in ("html", "head", "body"):
+            while self.at.tag in CLOSED_BY and tag in CLOSED_BY[self.at.tag]:
+                self._close(self.at.tag)
+            self._enter(Node(tag, self.at, self.at.depth + 1))
+            self.skip += tag in DROPPED
+            self.links += tag == "a"
+        return not self.skip
+
+    def _enter(self, node: Node) -> None:
+        self.at = node
+        self.open[node.tag] += 1
+
     def _open(self, tag: str, attrs: dict[str, str | None]) -> None:
         up = self.at
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
@@ -165,25 +204,22 @@ class BlockParser(HTMLParser):
         boiler = boiler or hidden or strong and names.strip() != "" and bool(BOILER_NAMES.search(names))
         named = up.named or bool(CONTENT_NAMES.search(names))
         by_form = boiler and (up.by_form or tag == "form" and not up.boiler)
-        self.at = Node(tag, up, up.depth + 1, boiler, by_form, up.content or tag in CONTENT_TAGS or attrs.get("role") == "main", named)
+        self._enter(Node(tag, up, up.depth + 1, boiler, by_form, up.content or tag in CONTENT_TAGS or attrs.get("role") == "main", named))
 
-    def _inside(self, tag: str, until: frozenset[str] = frozenset(), stop_at_skip: bool = False) -> bool:
-        node, left = self.at, self.skip
+    def _inside(self, tag: str, until: frozenset[str] = frozenset()) -> bool:
+        node = self.at if self.open[tag] else self.top
         while node.up is not None:
             if node.tag == tag:
                 return True
             if node.tag in until:
                 return False
-            if stop_at_skip:
-                left -= node.tag in DROPPED
-                if not left:
-                    return False
             node = node.up
         return False
 
     def _close(self, tag: str) -> None:
         while self.at.up is not None:
             gone, self.at = self.at.tag, self.at.up
+            self.open[gone] -= 1
             self.skip -= bool(self.skip) and gone in DROPPED
             self.links -= gone == "a"
             if gone == tag:

@@ -295,6 +295,34 @@ def test_main_text():
     assert html_extract.main_text(None) == html_extract.main_text("<p></p>") == ""
 
 
+ARTICLE = "<article><h1>A title</h1><p>First text of the article, which goes on. It has two sentences.</article>"
+ARTICLE_TEXT = "A title\nFirst text of the article, which goes on. It has two sentences."
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<body><div><button>Share</div>",
+        "<body><div><span><select><option>One<option>Two</span></div>",
+        "<body><div><button><div>Share</div> it</button></div>",
+        "<body><svg class=i />",
+        "<body><a href=x>See<svg class=i><path d=x><g/></a>",
+        "<body><svg><title>t</title><path d=x>",
+        "<body><math/><iframe src=x />",
+        "<html><head><title>t</title><meta charset=x><noscript><img src=x></noscript>",
+        "<html><head><title>t</title><link rel=x><body>",
+        "<div><noscript><p>One<p>Two</noscript><button>x<svg/></button></div>",
+    ],
+)
+def test_unclosed_dropped_elements_swallow_no_article(before):
+    assert html_extract.main_text(before + ARTICLE) == ARTICLE_TEXT
+
+
+def test_text_ends_an_unclosed_head():
+    text = "A text without any tag around it, long enough to be told. It goes on and on."
+    assert html_extract.main_text("<head><title>t</title>" + text) == text
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):

@@ -10,8 +10,11 @@ cut, and the blocks on the source's side are the main text.
 
 Text that can never be shown as an article (scripts, styles, forms' controls,
 comments, templates) is not parsed into blocks. Blocks inside an element that
-declares itself navigation, header, footer, advert, notice or reader comment
-have a cost that no neighbour outweighs.
+declares itself navigation, header, footer, dialog or hidden by its tag, role
+or style have a cost that no neighbour outweighs. A class or id that sounds so
+is only a cost: layout wrappers are named alike, so the cut decides. It does
+not count in the only article or main element within the named one, unless
+another article has no such name around it.
 
 Defined cases: a null or empty page, and one without content, gives an empty
 text; unclosed and misnested tags are closed by their ancestors' ends; ties of
@@ -64,11 +67,14 @@ BOILER_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget\w*|cookies?\w*|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|search|share\w*|social\w*|comments?|comment\w*|disqus|repl(?:y|ies)|respond|related\w*|recommend\w*|pagination|pager|toolbar|copyright|legal|skip)(?:$|[\s_-])",
     re.I,
 )
+# Words of names that say nothing of the element itself: what a page has or lacks, and the heads of content.
+SAYS_LITTLE = re.compile(r"(?<![^\s_-])(?:(?:has|no|with|without)[_-][\w-]*|(?:post|entry|article|story|content|main)[_-]+header)(?![\w-])", re.I)
+HEADER_NAME = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text|prose)(?:$|[\s_-])", re.I)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 
 # Weights of the block classifier, in units of the log-odds of content.
-BIAS, PER_LOG_WORD, LINKED, IN_CONTENT, IN_NAMED, IN_BOILER, TEXT_TAG, SENTENCES, RIGHTS = -2.0, 1.1, -5.0, 4.0, 2.0, -40.0, 1.0, 0.8, -4.0
+BIAS, PER_LOG_WORD, LINKED, IN_CONTENT, IN_NAMED, IN_BOILER, NAMED_BOILER, TEXT_TAG, SENTENCES, RIGHTS = -2.0, 1.1, -5.0, 4.0, 2.0, -40.0, -8.0, 1.0, 0.8, -4.0
 NEXT, SIBLING, COUSIN = 0.9, 0.6, 0.3
 
 _SPACE = re.compile(r"\s+")
@@ -85,6 +91,9 @@ class Node:
     by_form: bool = False
     content: bool = False
     named: bool = False
+    mark: Node | None = None  # the element whose name sounds like boilerplate
+    wholes: int = 0  # articles and main elements directly below such a mark; at the top, articles below none
+    whole: bool = False  # in one of these
 
 
 @dataclass
@@ -93,6 +102,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    marked: bool = False
 
 
 class BlockParser(HTMLParser):
@@ -200,11 +210,33 @@ class BlockParser(HTMLParser):
         whole = tag in CONTENT_TAGS and up.by_form  # an article in a form that wraps the page
         boiler = up.boiler and not whole or tag in BOILER_TAGS and not (tag == "header" and up.content) or (attrs.get("role") or "").lower() in BOILER_ROLES
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
-        strong = tag not in ("html", "body", *CONTENT_TAGS)
-        boiler = boiler or hidden or strong and names.strip() != "" and bool(BOILER_NAMES.search(names))
+        boiler = boiler or hidden
+        content = up.content or tag in CONTENT_TAGS or attrs.get("role") == "main"
         named = up.named or bool(CONTENT_NAMES.search(names))
+        mark, inside = up.mark, up.whole
+        sounds = tag not in ("html", "body") and names.strip() != "" and self._sounds(names, up.content)
+        if sounds and tag not in CONTENT_TAGS:  # what is around it says nothing of what is in it
+            mark, inside, content, named = None, False, False, False
+        elif mark and not inside and not sounds and (tag in CONTENT_TAGS or attrs.get("role") == "main"):
+            mark.wholes += 1
+            inside = True
+        elif sounds and mark and not inside:  # a comment or teaser that is an article of its own
+            content, named = up.content, up.named
+        elif not mark and tag == "article":
+            self.top.wholes += 1
         by_form = boiler and (up.by_form or tag == "form" and not up.boiler)
-        self._enter(Node(tag, up, up.depth + 1, boiler, by_form, up.content or tag in CONTENT_TAGS or attrs.get("role") == "main", named))
+        node = Node(tag, up, up.depth + 1, boiler, by_form, content, named, mark, 0, inside)
+        if sounds and tag not in CONTENT_TAGS:
+            node.mark = node
+        self._enter(node)
+
+    @staticmethod
+    def _sounds(names: str, in_content: bool) -> bool:
+        """True if a class or id sounds like boilerplate."""
+        if not BOILER_NAMES.search(names):
+            return False
+        names = SAYS_LITTLE.sub(" ", names)
+        return bool(BOILER_NAMES.search(HEADER_NAME.sub(" ", names) if in_content else names))
 
     def _inside(self, tag: str, until: frozenset[str] = frozenset()) -> bool:
         node = self.at if self.open[tag] else self.top
@@ -229,7 +261,7 @@ class BlockParser(HTMLParser):
         node = self.at
         while node.up is not None and node.tag not in BLOCK:
             node = node.up
-        return node if node.boiler or not self.at.boiler else self.at
+        return self.at if self.at.boiler > node.boiler or self.at.mark is not node.mark else node
 
     def _end_block(self) -> None:
         self.now = None
@@ -237,6 +269,8 @@ class BlockParser(HTMLParser):
     def finished(self) -> list[Block]:
         for b in self.blocks:
             b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
+            mark = b.node.mark
+            b.marked = mark is not None and not (b.node.whole and mark.wholes == 1 and not self.top.wholes)
         return [b for b in self.blocks if b.text]
 
 
@@ -255,7 +289,7 @@ def content_score(block: Block) -> float:
     words = len(block.text.split())
     node = block.node
     score = BIAS + PER_LOG_WORD * math.log1p(words) + LINKED * min(1.0, block.linked / max(1, words))
-    score += IN_CONTENT * node.content + IN_NAMED * node.named + IN_BOILER * node.boiler + TEXT_TAG * (node.tag in TEXT_TAGS)
+    score += IN_CONTENT * node.content + IN_NAMED * node.named + IN_BOILER * node.boiler + NAMED_BOILER * block.marked + TEXT_TAG * (node.tag in TEXT_TAGS)
     return score + SENTENCES * min(3, len(_SENTENCE.findall(block.text))) + RIGHTS * bool(words < 40 and _RIGHTS.search(block.text))
 
 

@@ -323,6 +323,34 @@ def test_text_ends_an_unclosed_head():
     assert html_extract.main_text("<head><title>t</title>" + text) == text
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<div class='layout has-sidebar'>",
+        "<div id=content class='no-sidebar'>",
+        "<div class='page with_banner'>",
+        "<div class='sidebar-layout'>",
+        "<div class='search-page'><div id=main>",
+    ],
+)
+def test_names_of_wrappers_lose_no_article(start):
+    assert html_extract.main_text(start + ARTICLE) == ARTICLE_TEXT
+
+
+def test_names_are_weighed():
+    title = ARTICLE.replace("<h1>A title</h1>", "<div class='post-header'><h1>A title</h1></div>")
+    assert html_extract.main_text(title) == ARTICLE_TEXT
+    long = " ".join(f"Sentence {k} of a long text that stands in an oddly named element." for k in range(60))
+    assert html_extract.main_text(f"<div class='promo-page'><div id=content><p>{long}</p></div></div>") == long
+    comment = "<p>I like this article very much, thank you for it. I have read it twice. " + "It is good to read. " * 8
+    for rest in (
+        f"<div id=comments>{comment}</div>",
+        f"<div id=comments><article class='comment-body'>{comment}</article></div>",
+        "<div class='related-posts'><article><p>One more to read.</article><article><p>Another one to read.</article></div>",
+    ):
+        assert html_extract.main_text(ARTICLE + rest) == ARTICLE_TEXT
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):

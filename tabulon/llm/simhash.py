@@ -273,8 +273,8 @@ def simhash_report(docs: DataFrame, words: int = 3) -> DataFrame:
 SIMILAR = 0.8
 #: For the order of the shingles the texts of one in so many are read, and those seen in so many of them are common.
 ORDER_SAMPLE, COMMON_SEEN, MAX_COMMON = 16, 3, 200_000
-#: With how many of its buckets' end members a text is compared first.
-FIRST_TRIES = 4
+#: With how many of its buckets' picked members a text is compared first, and the share of its shingles that must be keys it shares with them.
+FIRST_TRIES, FIRST_SHARE = 24, 0.1
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,6 +331,16 @@ def _sizes_allow(a: Column, b: Column) -> Column:
     return F.least(a, b) >= SIMILAR * F.greatest(a, b) - 1e-9
 
 
+def _may_be_similar(a: Column, b: Column, keys: Column) -> Column:
+    """False where two sets of ``a`` and ``b`` shingles with ``keys`` keys in common cannot be similar.
+
+    Of the set whose last key comes first in the order, all shingles in common
+    are common keys or come after its keys, which are ``ceil(0.8 n) - 1``.
+    """
+    rest = F.ceil(SIMILAR * F.greatest(a, b) - 1e-9) - 1
+    return keys + rest >= SIMILAR / (1 + SIMILAR) * (a + b) - 1e-6
+
+
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """``(fp, shingles)``: the distinct shingle hashes of each row of ``texts (fp, text)``."""
 
@@ -356,7 +366,9 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, le
     a, b = (sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("a", "b"))
     both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("a_set", "b_set")))
-    return both.filter(F.col("shared") >= least * (F.size("a_set") + F.size("b_set") - F.col("shared")) - 1e-9).select("a", "b")
+    good = stage(both.filter(F.col("shared") >= least * (F.size("a_set") + F.size("b_set") - F.col("shared")) - 1e-9).select("a", "b"), "similar-pairs")
+    drop_stage(pairs, keys, sets)
+    return good
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -374,8 +386,8 @@ def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame
     themselves decide about all that share one.
 
     Every bucket is searched in two steps, without a cap and without all pairs
-    of a large group. First each node is compared with the end members of those
-    buckets that it shares most with, and components are formed. Members of one
+    of a large group. First each node is compared with a few members picked from
+    its buckets, and components are formed. Members of one
     component need no more links, so then only those outside the bucket's main
     component are compared, with all of the bucket. The first step only spares
     work.
@@ -384,30 +396,35 @@ def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
     nodes = stage(rows.groupBy("fp").agg(least, F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct-sets")
     keyed = nodes.select("fp", "size", F.explode("keys").alias("key"))
-    ends = [f(F.struct("fp", "size")) for f in (F.min, F.max)]
-    ends = keyed.groupBy("key").agg(F.array(*ends).alias("ends"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = stage(keyed.join(ends.hint("merge"), "key"), "shared-keys")
-    stars = shared.select("fp", "size", F.explode("ends").alias("of")).filter((F.col("fp") != F.col("of.fp")) & _sizes_allow(F.col("size"), F.col("of.size")))
-    stars = stars.groupBy("fp", F.col("of.fp").alias("of")).agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.collect_list(F.struct((-F.col("n")).alias("n"), "of")).alias("of"))
-    stars = stars.select("fp", F.explode(F.slice(F.array_sort("of"), 1, FIRST_TRIES)).alias("of")).select(F.least("fp", "of.of").alias("a"), F.greatest("fp", "of.of").alias("b")).distinct()
-    roots = components(_similar(stars, nodes, docs, words)).select(F.col("node").alias("fp"), "root")
+    picks = [F.min(F.struct("fp", "size")), F.min_by(F.struct("fp", "size"), F.xxhash64("fp", "key"))]
+    picks = keyed.groupBy("key").agg(F.array(*picks).alias("picks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = stage(keyed.join(picks.hint("merge"), "key"), "shared-keys")
+    stars = shared.select("fp", "size", F.explode("picks").alias("of")).filter((F.col("fp") != F.col("of.fp")) & _sizes_allow(F.col("size"), F.col("of.size")))
+    stars = stars.groupBy("fp", "size", F.col("of.fp").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    stars = stars.groupBy("fp", "size").agg(F.sum("n").alias("n"), F.collect_list(F.struct((-F.col("n")).alias("n"), "of")).alias("of")).filter(F.col("n") >= FIRST_SHARE * F.col("size"))
+    stars = stars.select("fp", F.explode(F.slice(F.array_sort("of"), 1, FIRST_TRIES)).alias("of")).select("fp", F.col("of.of").alias("of"))
+    stars = stars.select(F.least("fp", "of").alias("a"), F.greatest("fp", "of").alias("b")).distinct()
+    roots = stage(components(_similar(stars, nodes, docs, words)).select(F.col("node").alias("fp"), "root"), "first-roots")
     placed = nodes.select("fp").join(broadcast_if_small(roots, 1_000_000), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = stage(placed, "roots")
 
-    member = stage(shared.select("key", "fp", "size").join(placed.hint("merge"), "fp"), "placed-keys")
+    member = shared.select("key", "fp", "size").join(broadcast_if_small(roots, 1_000_000), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     parts = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "main")
     mixed = stage(member.join(mixed.hint("merge"), "key"), "mixed-keys")
     x, y = (mixed.select("key", *[F.col(n).alias(f"{side}_{n}") for n in ("fp", "size", "root", "main")]) for side in ("x", "y"))
-    late = x.filter("x_root <> x_main").join(y.hint("merge"), "key").filter((F.col("x_root") != F.col("y_root")) & _sizes_allow(F.col("x_size"), F.col("y_size")))
-    late = late.select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")).distinct()
+    once = (F.col("y_root") == F.col("y_main")) | (F.col("x_fp") < F.col("y_fp"))
+    late = x.filter("x_root <> x_main").drop("x_main").join(y.hint("merge"), "key").filter((F.col("x_root") != F.col("y_root")) & once)
+    late = late.filter(_sizes_allow(F.col("x_size"), F.col("y_size")))
+    a, b = F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")
+    late = late.groupBy(a, b).agg(F.min(F.least("x_size", "y_size")).alias("m"), F.max(F.greatest("x_size", "y_size")).alias("n"), F.count(F.lit(1)).alias("keys"))
+    late = late.filter(_may_be_similar(F.col("m"), F.col("n"), F.col("keys"))).select("a", "b")
     good = _similar(late, nodes, docs, words)
     at = [placed.select(F.col("fp").alias(side), F.col("root").alias(f"r{side}")) for side in ("a", "b")]
     both = good.join(at[0].hint("merge"), "a").join(at[1].hint("merge"), "b")
     placed = _joined(placed, both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     placed = stage(nodes.select("fp", "least").join(placed.hint("merge"), "fp"), "placed-sets")
     rows = stage(rows.drop("size", "keys"), "rows-of-sets")
-    drop_stage(shared, member, mixed, nodes)
+    drop_stage(shared, mixed, nodes)
     return rows, placed
 
 

@@ -211,6 +211,21 @@ def test_repeated_lines_hide_no_near_duplicate(spark):
     assert found_components(spark, texts) == [k - k % 2 for k in range(len(texts))]
 
 
+def test_every_pair_at_the_threshold_is_found(spark):
+    rng, texts = random.Random(14), []
+    for k in range(150):  # shares about 0.8
+        a = random_words(rng, 200)
+        texts += [" ".join(a), " ".join(a[: 175 + k % 12] + random_words(rng, 25 - k % 12))]
+    base = random_words(rng, 120)
+    for _ in range(60):  # a group whose members are about as near
+        w = list(base)
+        for i in rng.sample(range(120), 2):
+            w[i] = random_words(rng, 1)[0]
+        texts.append(" ".join(w))
+    pairs, root = similar_pairs(texts)
+    assert len(pairs) > 150 and found_components(spark, texts) == root
+
+
 def test_decontamination_matches_brute_force(spark, docs, empty):
     rng = random.Random(4)
     texts = [r[1] or "" for r in rows()]

@@ -36,6 +36,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,9 @@ FILES_SCHEMA = "file string, part int, docs long, tokens long, bytes long, frame
 
 #: A cut before such a space could part a run of white space.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
+#: A piece of plain words, each with its punctuation, in lines; and its parts.
+_PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]*(?:\n[^\W\d_]+[.,;:!?]*)*")
+_PARTS = re.compile(r"\n?[^\W\d_]+|[.,;:!?]+")
 
 
 class CachedEncoder:
@@ -64,17 +68,19 @@ class CachedEncoder:
 
     The byte-level pre-tokenizer of the vocabulary never joins a space to what
     stands before it unless both are white space, so a text may be cut before
-    each single space and the ids of the pieces joined. Pieces repeat; the
-    library encodes each once, all new ones of a text in one call, and their
-    ids are told apart by the bytes that they stand for. Texts with a run of
-    white space that a cut could part go to the library whole. The result
-    equals ``encode`` on every text (tested).
-
-    Pieces live in two generations; a full one replaces the older, so frequent
-    pieces stay and memory is bounded.
+    each single space and the ids of the pieces joined. A piece of plain words
+    is cut further, before its punctuation and before single line breaks, where
+    the pre-tokenizer cuts as well. Pieces and words repeat; the library encodes
+    each once, all new ones of a text in one call, and their ids are told apart
+    by the bytes that they stand for. Texts with a run of white space that a cut
+    could part go to the library whole. The result equals ``encode`` on every
+    text (tested).
+
+    Pieces and words live in two generations each; a full one replaces the
+    older, so frequent ones stay and memory is bounded.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_400_000):
+    def __init__(self, path: str, max_pieces: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -85,6 +91,7 @@ class CachedEncoder:
         for token, k in vocab.items():
             self.width[k] = len(token)  # one character stands for one byte
         self.half, self.known, self.older = max_pieces // 2, {}, {}
+        self.words, self.older_words = {}, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -94,34 +101,54 @@ class CachedEncoder:
         """Make every piece known, for the time being."""
         if len(self.known) > self.half:
             self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        for p in dict.fromkeys(pieces):
-            if p not in known:
-                if (ids := older.get(p)) is not None:
-                    known[p] = ids
-                elif p and not p[0].isspace() and not p[-1].isspace():
-                    new.append(p)
-                else:
-                    known[p] = self.whole([" " + p])[0]
-        if not new:
-            return
-        line = "".join([" " + p for p in new])
-        ids = np.frombuffer(self.whole([line])[0], dtype="<u4")
-        ends = np.cumsum([1 + len(p.encode("utf-8", "surrogatepass")) for p in new])
-        cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()]
-        raw = ids.tobytes()
-        known.update(zip(new, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-
-    def __call__(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return self.whole([text])[0]
-        first, *rest = text.split(" ")
-        try:
-            body = b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            self.learn(rest)
-            body = b"".join(map(self.known.__getitem__, rest))
-        return self.whole([first])[0] + body if first else body
+        if len(self.words) > self.half:
+            self.words, self.older_words = {}, self.words
+        known, older = self.known, self.older
+        missing = set(pieces).difference(known)
+        again = [p for p in missing if p in older]
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        single, cut = [], {}
+        for p in missing.difference(again):
+            if p.isalpha():
+                single.append(p)
+            elif _PLAIN.fullmatch(p):
+                first, *rest = _PARTS.findall(p)
+                cut[p] = [" " + first, *rest]
+            elif p and not p[0].isspace() and not p[-1].isspace():
+                single.append(p)
+            else:
+                known[p] = self.whole([" " + p])[0]
+        own = [" " + p for p in single]
+        self.learn_words({w for parts in cut.values() for w in parts}.union(own))
+        words = self.words
+        known.update(zip(single, map(words.__getitem__, own), strict=True))
+        for p, parts in cut.items():
+            known[p] = b"".join([words[w] for w in parts])
+
+    def learn_words(self, wanted: set[str]) -> None:
+        words, older = self.words, self.older_words
+        wanted = wanted.difference(words)
+        again = [w for w in wanted if w in older]
+        words.update(zip(again, map(older.__getitem__, again), strict=True))
+        # A word starts with its space or line break, so words may stand side by side; punctuation may not.
+        new, marks = [], []
+        for w in wanted.difference(again):
+            (marks if w[0] in ".,;:!?" else new).append(w)
+        words.update(zip(marks, self.whole(marks), strict=True))
+        if new:
+            ids = np.frombuffer(self.whole(["".join(new)])[0], dtype="<u4")
+            sizes = list(map(len, new)) if "".join(new).isascii() else [len(w.encode("utf-8", "surrogatepass")) for w in new]
+            cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1)).tolist()]
+            raw = ids.tobytes()
+            words.update(zip(new, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        cuts = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
+        self.learn([p for c in cuts if c for p in c[1:]])
+        get = self.known.__getitem__
+        first = iter(self.whole([t if c is None else c[0] for t, c in zip(texts, cuts, strict=True)]))
+        return [next(first) if c is None else next(first) + b"".join(map(get, c[1:])) for c in cuts]
 
 
 @cache
@@ -217,6 +244,17 @@ class FrameReader:
         return np.frombuffer(self.frame(int(e["frame"])), dtype="<u4")[int(e["first"]) : int(e["first"] + e["n"])]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of ``rows`` rows; of one, where such a part has over ``chars`` bytes of text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            if pc.sum(pc.binary_length(part.column(2))).as_py() > chars:
+                yield from (part.slice(k, 1) for k in range(part.num_rows))
+            else:
+                yield part
+
+
 def _open(uri: str):
     from pyarrow import fs
 
@@ -242,7 +280,7 @@ def write_token_files(
     files: int = 16,
     frame_bytes: int = 1 << 20,
     level: int = 3,
-    make_encoder: Callable[[str], Callable[[str], bytes]] = cached_encoder,
+    make_encoder: Callable[[str], Callable[[list[str]], list[bytes]]] = cached_encoder,
 ) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write about ``files`` token files under ``out``.
 
@@ -272,17 +310,17 @@ def write_token_files(
                 schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("frames", pa.int32())]),
             )
 
-        for batch in batches:
-            for k, doc_id, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                if (k := k.as_py()) != now:
+        for batch in _slices(batches):
+            coded = encode(batch.column(2).to_pylist())
+            for k, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), coded, strict=True):
+                if k != now:
                     if file:
                         yield close()
                     now = k
                     names = f"{root}/.part-{k:06d}-{os.urandom(8).hex()}", f"{root}/part-{k:06d}.tok.zst"
                     stream = store.open_output_stream(names[0])
                     file = FrameFile(stream, frame_bytes, level)
-                doc_id = doc_id.as_py()
-                file.add(NULL_ID if doc_id is None else doc_id, encode(text.as_py()) + end)
+                file.add(NULL_ID if doc_id is None else doc_id, ids + end)
         if file:
             yield close()
 

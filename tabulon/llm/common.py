@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     spark.sparkContext.setCheckpointDir(path)
     return shared_dir(spark)
@@ -67,10 +69,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or where ``df`` has such a column, that name with underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; every other code point stays as it is."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, upper, lower)).otherwise(F.lower(c))
 
 
-__all__ = ["WORD", "ascii_lower", "broadcast_if_small", "drop_stage", "new_path", "shared_dir", "small_enough", "stage"]
+__all__ = ["WORD", "ascii_lower", "broadcast_if_small", "drop_stage", "free_name", "new_path", "shared_dir", "small_enough", "stage"]

@@ -3,26 +3,29 @@
 First the family is told, then linear support vector machines, one for each
 pair of languages of that family, vote on the language. Families with one
 learned language need no vote. All classifiers are linear in the counts of
-hashed letter n-grams of the words, divided by the number of n-grams, so the
-score of a text is a sum over its words and a word is scored once per task.
+hashed letter n-grams of the words, divided by the number of n-grams. The
+n-grams of a whole text are hashed at once, as arrays.
 
 Training takes a sample of at most ``rows_per_lang`` rows of each language,
 the ones with the least hash of their id. Rows are reduced to n-gram counts on
-the executors; the driver gets that bounded sample and solves the dual of the
-L2-loss SVM by coordinate descent, in a fixed order.
-
-Defined cases: null texts and texts without a letter are ``und`` with score 0;
-null languages teach nothing; languages without a known family are a family of
-their own; with no labelled row every text is ``und``; ties go to the label
-that sorts first; repeated rows get the same answer; extra columns do not
-matter. Whole texts are read, of any length.
+the executors; the driver gets that bounded sample, some 5 MB a language, and
+solves the dual of the L2-loss SVM by coordinate descent over the counts that
+are not zero, in a fixed order.
+
+Letters are the characters of Unicode category L. Defined cases: null texts and
+texts without a letter are ``und`` with score 0; null languages teach nothing;
+languages without a known family are a family of their own; with no labelled
+row every text is ``und``; ties go to the label that sorts first; repeated rows
+get the same answer; extra columns do not matter and are kept by
+``keep_identified``, whatever their names. Whole texts are read, of any length.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.llm.common import free_name
+
 # Families of ISO 639-1 codes, for the languages most often told apart.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
@@ -46,7 +51,9 @@ FAMILIES = {
 }
 
 UNDETERMINED = "und"
-LONGEST_KEPT_WORD = 48
+LONGEST_GRAM = 4
+#: Characters whose n-grams are counted at once, and rows whose counts are weighed at once.
+BLOCK_CHARS, BLOCK_ROWS = 1 << 18, 64
 
 
 def family_of(lang: str) -> str:
@@ -56,75 +63,96 @@ def family_of(lang: str) -> str:
 # ---------------------------------------------------------------- features
 
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-
-
-class Grams(dict):
-    """The cell of each letter n-gram; filled as they come."""
+@cache
+def letters() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), dtype=bool, count=0x110000)
 
-    def __init__(self, dims: int):
-        self.dims = dims
 
-    def __missing__(self, gram: str) -> int:
-        import xxhash
+def letter_runs(text: str) -> np.ndarray:
+    """Code points of the lower-cased letters, runs parted and enclosed by one space each; empty without letters."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    is_letter = letters()[points]
+    if not is_letter.any():
+        return points[:0]
+    after = np.zeros_like(is_letter)
+    after[1:] = is_letter[:-1]
+    runs = np.where(is_letter, points, 32)[is_letter | after]
+    return np.concatenate([[32], runs, [32] if is_letter[-1] else []]).astype(np.uint64)
 
-        if len(self) > 500_000:
-            self.clear()
-        self[gram] = cell = xxhash.xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % self.dims
-        return cell
 
+def gram_counts(text: str, dims: int) -> np.ndarray:
+    """How many n-grams of 1 to ``LONGEST_GRAM`` characters of the words fall to each of ``dims`` cells.
 
-def ngrams(token: str, grams: Grams, longest: int = 4) -> tuple[list[int], int]:
-    """Cells of the n-grams of the letter runs of ``token``, and how many letters it has."""
-    out, letters = [], 0
-    for run in _LETTERS.findall(token.lower()):
-        letters += len(run)
-        w = f"<{run}>"
-        for n in range(1, longest + 1):
-            out += [grams[w[i : i + n]] for i in range(len(w) - n + 1)]
-    return out, letters
+    A word is taken with the space before and after it; no n-gram spans words.
+    """
+    total, runs = np.zeros(dims, dtype=np.int64), letter_runs(text)
+    step, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - dims.bit_length() + 1)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(runs), BLOCK_CHARS):
+            x = runs[at : at + BLOCK_CHARS + LONGEST_GRAM - 1]
+            here = min(BLOCK_CHARS, len(runs) - at)
+            inner, h = x != 32, np.zeros(len(x), dtype=np.uint64)
+            valid = np.ones(len(x), dtype=bool)
+            for n in range(1, LONGEST_GRAM + 1):
+                m = len(x) - n + 1  # starts of n-grams in the block
+                if m < 1:
+                    break
+                h = (h[:m] + x[n - 1 :]) * step
+                if n == 1:
+                    start = inner
+                else:
+                    valid = valid[:m] & inner[n - 2 : n - 2 + m] if n > 2 else valid[:m]
+                    start = valid
+                cells = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)) >> shift
+                total += np.bincount(cells[:here][start[:here]].astype(np.int64), minlength=dims)
+    return total
 
 
 def sample_counts(docs: DataFrame, dims: int) -> DataFrame:
     """``lang, cells, counts`` of each row: its n-gram counts, without the zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
-        grams = Grams(dims)
         for batch in batches:
             cells, counts = [], []
             for text in batch.column(1):
-                total = np.zeros(dims, dtype=np.int32)
-                for token in (text.as_py() or "").split():
-                    if token not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[token] = ngrams(token, grams)[0]
-                    np.add.at(total, known[token], 1)
-                at = np.flatnonzero(total).astype(np.int32)
-                cells.append(at)
+                total = gram_counts(text.as_py() or "", dims)
+                at = np.flatnonzero(total)
+                cells.append(at.astype(np.int32))
                 counts.append(total[at])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, kind), pa.array(counts, kind)], ["lang", "cells", "counts"])
+            columns = [batch.column(0), pa.array(cells, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "cells", "counts"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, cells array<int>, counts array<int>")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, cells array<int>, counts array<long>")
 
 
 # ---------------------------------------------------------------- model
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float, epochs: int = 40) -> np.ndarray:
-    """Weights of an L2-loss linear SVM (y is +1 or -1) by dual coordinate descent."""
-    q = (x @ x.T) * np.outer(y, y)
-    q[np.diag_indices_from(q)] += 1 / (2 * cost)
-    alpha, grad = np.zeros(len(y)), -np.ones(len(y))
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def fit_svm(rows: list[Row], y: list[float], dims: int, cost: float, epochs: int = 40) -> np.ndarray:
+    """Weights and, last, the bias of an L2-loss linear SVM by dual coordinate descent.
+
+    ``rows`` are ``(cells, values)`` without zeros, ``y`` is +1 or -1. The bias
+    is the weight of one more cell of value 1.
+    """
+    weights, ridge = np.zeros(dims + 1), 1 / (2 * cost)
+    alpha, curve = [0.0] * len(rows), [float(v @ v) + 1 + ridge for _, v in rows]
     for _ in range(epochs):
-        for i in range(len(y)):
-            new = max(0.0, alpha[i] - grad[i] / q[i, i])
-            if new != alpha[i]:
-                grad += q[i] * (new - alpha[i])
-                alpha[i] = new
-    return x.T @ (alpha * y)
+        most = 0.0
+        for i, (cells, values) in enumerate(rows):
+            slope = y[i] * (float(weights[cells] @ values) + weights[-1]) - 1 + ridge * alpha[i]
+            new = max(0.0, alpha[i] - slope / curve[i])
+            step = new - alpha[i]
+            if step:
+                weights[cells] += (step * y[i]) * values
+                weights[-1] += step * y[i]
+                alpha[i], most = new, max(most, abs(step) * curve[i])
+        if most < 1e-4:
+            break
+    return weights
 
 
 @dataclass
@@ -184,16 +212,11 @@ def train(docs: DataFrame, rows_per_lang: int = 400, dims: int = 1 << 13, cost:
     some = labelled.filter(F.pmod("order", F.lit(1 << 30)) / float(1 << 30) <= share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", F.xxhash64("text")))
     some = some.withColumn("rank", rank).filter(F.col("rank") <= rows_per_lang)
-    rows = sample_counts(some, dims).collect()
-    x, y = np.zeros((len(rows), dims + 1)), np.array([r["lang"] for r in rows], dtype=object)
-    for k, r in enumerate(rows):
-        x[k, r["cells"]] = r["counts"]
-        x[k] /= max(1.0, x[k].sum())
-    x[:, -1] = 1.0
-    scale = 1 / np.sqrt((x[:, :-1] ** 2).sum(axis=1).mean() + 1e-12)
-    x[:, :-1] *= scale
-    order = sorted(range(len(rows)), key=lambda k: (y[k], x[k, :-1].tobytes()))  # the same order on every run
-    x, y = x[order], y[order]
+    found = sorted(((r["lang"], r["cells"], r["counts"]) for r in sample_counts(some, dims).toLocalIterator()), key=lambda r: r[:3])  # the same order on every run
+    rows = [(np.array(cells, dtype=np.int32), np.array(n, dtype=np.float32) / max(1, sum(n))) for _, cells, n in found]
+    scale = float(1 / np.sqrt(np.mean([float(v @ v) for _, v in rows]) + 1e-12))
+    rows, y = [(cells, v * np.float32(scale)) for cells, v in rows], np.array([r[0] for r in found], dtype=object)
+    del found
 
     weights, levels = [], []
 
@@ -201,8 +224,8 @@ def train(docs: DataFrame, rows_per_lang: int = 400, dims: int = 1 << 13, cost:
         columns = []
         for i, a in enumerate(classes):
             for b in classes[i + 1 :]:
-                both = (of == a) | (of == b)
-                weights.append(fit_svm(x[both], np.where(of[both] == a, 1.0, -1.0), cost))
+                both = np.flatnonzero((of == a) | (of == b)).tolist()
+                weights.append(fit_svm([rows[k] for k in both], [1.0 if of[k] == a else -1.0 for k in both], dims, cost))
                 columns.append(len(weights) - 1)
         levels.append((name, classes, columns))
 
@@ -219,67 +242,25 @@ def train(docs: DataFrame, rows_per_lang: int = 400, dims: int = 1 << 13, cost:
 # ---------------------------------------------------------------- prediction
 
 
-class TextScorer:
-    """Mean classifier values of whole texts; each word is scored once."""
-
-    def __init__(self, model: LanguageModel, max_words: int = 400_000):
-        self.model, self.max_words, self.grams = model, max_words, Grams(model.dims)
-        self.at: dict[str, int] = {}
-        self.values = np.zeros((1024, model.weights.shape[1] + 2))
-
-    def score(self, tokens: list[str]) -> np.ndarray:
-        """Per token: sums of weights over its n-grams, their number, its letters."""
-        found = [ngrams(t, self.grams) for t in tokens]
-        ends = np.cumsum([len(cells) for cells, _ in found])
-        cells = np.fromiter((c for cells, _ in found for c in cells), dtype=np.int64, count=int(ends[-1]))
-        sums = np.concatenate([np.zeros((1, self.model.weights.shape[1])), np.cumsum(self.model.weights[cells], axis=0)])
-        sums = np.diff(sums[np.concatenate([[0], ends])], axis=0)
-        return np.column_stack([sums, np.diff(ends, prepend=0), [n for _, n in found]])
-
-    def learn(self, tokens: list[str]) -> None:
-        new = [t for t in dict.fromkeys(tokens) if t not in self.at and len(t) <= LONGEST_KEPT_WORD]
-        if not new:
-            return
-        start = len(self.at)
-        while start + len(new) > len(self.values):
-            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[start : start + len(new)] = self.score(new)
-        self.at.update(zip(new, range(start, start + len(new)), strict=True))
-
-    def __call__(self, text: str) -> np.ndarray:
-        tokens = text.split()
-        if not tokens:
-            return np.zeros(self.values.shape[1])
-        try:
-            return self.values[list(map(self.at.__getitem__, tokens))].sum(axis=0)
-        except KeyError:
-            if len(self.at) > self.max_words:
-                self.at.clear()
-            self.learn(tokens)
-            total = self.values[[self.at[t] for t in tokens if t in self.at]].sum(axis=0)
-            if long := [t for t in tokens if t not in self.at]:
-                total = total + self.score(long).sum(axis=0)
-            return total
-
-
-def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``; only ``text`` is looked at."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    docs = docs.select(*kept)
+def predict(docs: DataFrame, model: LanguageModel | None, label: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with the columns ``label`` and ``score``; only ``text`` is looked at."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "lang_score": F.lit(0.0)})
-    at = kept.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+        return docs.withColumns({label: F.lit(UNDETERMINED), score: F.lit(0.0)})
+    names, at = [*docs.columns, label, score], docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
+
+    def told(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        counts = np.array([gram_counts(t or "", model.dims) for t in texts], dtype=float)
+        grams = counts.sum(axis=1)
+        labels, scores = model.predict(counts @ model.weights[:-1] / np.maximum(1, grams)[:, None] + model.weights[-1])
+        return [v if n else UNDETERMINED for v, n in zip(labels, grams, strict=True)], np.where(grams > 0, scores, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = TextScorer(model)
         for batch in batches:
-            sums = np.array([scorer(t.as_py() or "") for t in batch.column(at)]).reshape(batch.num_rows, -1)
-            means = sums[:, :-2] / np.maximum(1, sums[:, -2:-1]) + model.weights[-1]
-            labels, score = model.predict(means)
-            known = sums[:, -1] > 0
-            labels = [v if k else UNDETERMINED for v, k in zip(labels, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(np.where(known, score, 0.0))], [*kept, "lang_pred", "lang_score"])
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                labels, scores = told(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(scores)], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -299,5 +280,6 @@ def language_report(docs: DataFrame, rows_per_lang: int = 400) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.0, rows_per_lang: int = 400) -> DataFrame:
     """The rows whose language is told with at least ``min_score``; columns as they came."""
     model = train(docs.filter(~held_out()), rows_per_lang)
-    found = predict(docs, model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_score))
-    return found.select(*docs.columns)
+    label, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    found = predict(docs, model, label, score).filter((F.col(label) != UNDETERMINED) & (F.col(score) >= min_score))
+    return found.drop(label, score)

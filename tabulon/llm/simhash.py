@@ -22,9 +22,10 @@ components from rows that grow linearly with the members.
 
 Two bits of 64 are few: texts that share 0.8 of their shingles differ in about
 ten, and a distance only estimates that share. For a given similarity there is
-``similar_nodes``, which needs no fingerprint: texts are found by a few of their
-distinct shingles and decided by all of them, so no pair is lost and none is
-linked in error.
+``similar_nodes``: the Golay keys find the closest texts, and keys of min-wise
+hashes, of which two texts at 0.8 share at least one with a probability of
+1 - 3e-6, the others. The distinct shingles of both decide about every pair so
+found, so none is linked in error.
 
 Components come from repeated min-label steps over the links with pointer
 jumping; each round is written to the shared folder.
@@ -47,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import broadcast_if_small, drop_stage, stage
+from tabulon.llm.common import broadcast_if_small, drop_stage, free_name, stage
 
 #: Start and width of the segments of a fingerprint, from the lowest bit.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -72,34 +73,23 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     line = b" ".join(parts)
     ends = (np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))) + np.arange(len(parts))).tolist()
     starts = [0, *(e + 1 for e in ends[: len(parts) - words])]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[words - 1 :], strict=True)], dtype=np.uint64)
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(starts, ends[words - 1 :], strict=True)]), dtype=">u8").astype(np.uint64)
 
 
-def _lane(h: np.ndarray, lane: int) -> np.ndarray:
-    """Hashes for further 64-bit lanes, derived from the shingle's own (lane 0)."""
-    if not lane:
-        return h
-    with np.errstate(over="ignore"):
-        x = h + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
-    """SimHash of ``64 * lanes`` bits: a bit is set if over half of the shingles have it."""
-    h = shingle_hashes(text or "", words)
-    out = []
-    for lane in range(lanes):
-        ones = np.zeros(64, dtype=np.int64)
-        x = _lane(h, lane)
-        for at in range(0, len(x), 255 * 64):  # 255 ones at most fit the byte that counts them
-            bits = np.unpackbits(x[at : at + 255 * 64].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for k in range(0, len(bits), 255):
-                ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
-    return out
+def vote(h: np.ndarray) -> int:
+    """SimHash of 64 bits: a bit is set if over half of the hashes have it."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 255 * 64):  # 255 ones at most fit the byte that counts them
+        bits = np.unpackbits(h[at : at + 255 * 64].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """SimHash of the shingles of ``text``, repeats included."""
+    return vote(shingle_hashes(text or "", words))
 
 
 def text_key() -> Column:
@@ -107,18 +97,15 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
-    """``(doc_id, text_key, fp, fp1, ..)``: each lane of the fingerprint as a signed long."""
-    names = ["fp", *(f"fp{k}" for k in range(1, lanes))]
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, fp)``: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words, lanes) for t in batch.column(2)], dtype=np.uint64).reshape(-1, lanes)
-            columns = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(lanes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", *names])
+            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return kept.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- Golay code
@@ -213,7 +200,9 @@ def fingerprint_links(nodes: DataFrame, bucket_limit: int = 16) -> DataFrame:
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (differ <= MAX_BITS)).select("a", "b")
     crowded = shared.filter(F.col("n") > bucket_limit).select("fp").distinct()
-    return pairs.unionByName(midpoint_links(crowded)).distinct()
+    links = stage(pairs.unionByName(midpoint_links(crowded)).distinct(), "fingerprint-links")
+    drop_stage(rows, shared)
+    return links
 
 
 def midpoint_links(nodes: DataFrame) -> DataFrame:
@@ -244,8 +233,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = stage(step, "labels-step")
         own = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
         jumped = stage(step.join(own.hint("merge"), "next").select("node", F.least("next", "far").alias("root"), (F.col("root") != F.least("next", "far")).alias("moved")), "labels")
+        drop_stage(labels, step)
         labels = jumped.select("node", "root")
         if not jumped.filter("moved").limit(1).count():
+            drop_stage(links)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds on {spark.sparkContext.appName}")
 
@@ -256,7 +247,7 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, bucket_limit: int
     ``component_id`` is the least id that can be reached over fingerprints
     within two bits.
     """
-    rows = stage(fingerprints(docs, words).drop("text_key"), "fingerprints")
+    rows = stage(fingerprints(docs, words), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     return _component_ids(rows, nodes, fingerprint_links(nodes, bucket_limit))
 
@@ -271,74 +262,78 @@ def simhash_report(docs: DataFrame, words: int = 3) -> DataFrame:
 
 #: Share of the distinct shingles of both texts that similar texts have in common.
 SIMILAR = 0.8
-#: For the order of the shingles the texts of one in so many are read, and those seen in so many of them are common.
-ORDER_SAMPLE, COMMON_SEEN, MAX_COMMON = 16, 3, 200_000
-#: With how many of its buckets' picked members a text is compared first, and the share of its shingles that must be keys it shares with them.
-FIRST_TRIES, FIRST_SHARE = 24, 0.1
+#: Keys of a text and the min-wise hashes in each: two texts at 0.8 share no key with a probability of (1 - 0.8**4)**24 = 3e-6.
+KEYS, KEY_HASHES = 24, 4
+#: Bits of the sketch by which pairs far below 0.8 are told before their shingles are read.
+SKETCH_BITS = 512
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
 
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, sorted, and their ranks from 1, rarer ones first.
+@cache
+def multipliers() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors: of the min-wise hashes, and of those that form a key."""
+    odd = np.random.default_rng(42).integers(1, 1 << 63, (2, KEYS * KEY_HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd[0], odd[1].reshape(KEYS, KEY_HASHES)
 
-    They only say which shingles become keys. Any order of all shingles finds
-    the same pairs, so the sample and its bounds cost no pair.
-    """
-    sample = docs.select(text_key().alias("fp"), "text").filter(F.pmod("fp", F.lit(ORDER_SAMPLE)) == 0)
-    sets = shingle_sets(sample.dropDuplicates(["fp"]), words)
-    seen = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    top = seen.filter(F.col("n") >= COMMON_SEEN).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).toArrow()
-    shingles = top.column("shingle").to_numpy()
-    order = np.argsort(shingles)
-    return shingles[order], (len(shingles) - np.arange(len(shingles)))[order]
+
+def min_hash_keys(h: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingle hashes; none of an empty set."""
+    if not len(h):
+        return np.empty(0, dtype=np.int64)
+    factors, mix = multipliers()
+    with np.errstate(over="ignore"):
+        least = np.min([(h[at : at + 2048, None] * factors).min(axis=0) for at in range(0, len(h), 2048)], axis=0)
+        return ((least.reshape(KEYS, KEY_HASHES) * mix).sum(axis=1) ^ mix[:, 0]).view(np.int64)
 
 
-def prefix_keys(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first of the sorted ``shingles`` in the order of all shingles, as many as two similar texts need to share one.
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes, whether an odd number of the set belongs to it; as 8 longs.
 
-    Of ``n`` shingles a similar text has ``m = ceil(0.8 n)`` at least, so it has
-    one of any ``n - m + 1``. The first shingle that both have is among the
-    first so many of either.
+    Only the hashes that one of two sets has and the other lacks make their
+    sketches differ, so the bits that differ tell how many those are.
     """
-    rank = np.zeros(len(shingles), dtype=np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rank = np.where(common[at] == shingles, ranks[at], 0)
-    n = len(shingles)
-    return shingles[np.argsort(rank, kind="stable")[: n - int(np.ceil(SIMILAR * n - 1e-9)) + 1]]
+    odd = np.bincount((h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def keyed_rows(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, text_key, fp, size, keys)``: ``fp`` is a hash of the set of shingles."""
+    """``(doc_id, text_key, fp, size, simhash, keys, s0 ..)``: ``fp`` is a hash of the set of shingles."""
     import xxhash
 
-    common, ranks = common_shingles(docs, words)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in part.column(2)]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t.as_py() or "", words)) for t in part.column(2)]
                 fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], dtype=np.uint64).view(np.int64)
-                keys = pa.array([prefix_keys(np.sort(x), common, ranks) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int32()), keys], ["doc_id", "text_key", "fp", "size", "keys"])
+                votes = np.array([vote(x) for x in sets], dtype=np.uint64).view(np.int64)
+                keys = pa.array([min_hash_keys(x) for x in sets], pa.list_(pa.int64()))
+                sketch = np.array([parity_sketch(x) for x in sets])
+                columns = [part.column(0), part.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int32()), pa.array(votes), keys]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(x)) for x in sketch.T)], names)
 
+    names = ["doc_id", "text_key", "fp", "size", "simhash", "keys", *SKETCH]
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return kept.mapInArrow(run, "doc_id long, text_key long, fp long, size int, keys array<long>")
+    return kept.mapInArrow(run, "doc_id long, text_key long, fp long, size int, simhash long, keys array<long>, " + ", ".join(f"{n} long" for n in SKETCH))
 
 
-def _sizes_allow(a: Column, b: Column) -> Column:
-    """False where two sets cannot be similar by their sizes alone."""
-    return F.least(a, b) >= SIMILAR * F.greatest(a, b) - 1e-9
+def _may_be_similar(a: str, b: str) -> Column:
+    """False where the nodes with columns ``a_size, a_s0 ..`` and ``b_size ..`` cannot be similar.
 
+    Similar sets differ in at most a ninth of the sum of their sizes. Of ``m``
+    bits, ``d`` differences make (1 - exp(-2 d / m)) m / 2 differ on average; the
+    bound lies five standard deviations above.
+    """
+    x, y = F.col(f"{a}_size"), F.col(f"{b}_size")
+    share = (x + y) * ((1 - SIMILAR) / (1 + SIMILAR)) / SKETCH_BITS
+    mean = (1 - F.exp(-2 * share)) * (SKETCH_BITS / 2)
+    spread = (1 - F.exp(-4 * share) * (1 + 4 * share)) * (SKETCH_BITS / 4)
+    differ = sum((F.bit_count(F.col(f"{a}_{n}").bitwiseXOR(F.col(f"{b}_{n}"))) for n in SKETCH), F.lit(0))
+    return (F.least(x, y) >= SIMILAR * F.greatest(x, y) - 1e-9) & (differ <= mean + 5 * F.sqrt(spread) + 1)
 
-def _may_be_similar(a: Column, b: Column, keys: Column) -> Column:
-    """False where two sets of ``a`` and ``b`` shingles with ``keys`` keys in common cannot be similar.
 
-    Of the set whose last key comes first in the order, all shingles in common
-    are common keys or come after its keys, which are ``ceil(0.8 n) - 1``.
-    """
-    rest = F.ceil(SIMILAR * F.greatest(a, b) - 1e-9) - 1
-    return keys + rest >= SIMILAR / (1 + SIMILAR) * (a + b) - 1e-6
+def _side(nodes: DataFrame, side: str, *more: str) -> DataFrame:
+    return nodes.select(*[F.col(n).alias(f"{side}_{n}") for n in ("fp", "size", *SKETCH, *more)])
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -374,7 +369,11 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, le
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``(fp, root)`` of ``roots (fp, root)`` after ``links (a, b)`` between roots."""
     moved = components(links).withColumnRenamed("root", "least_root")
-    return roots.join(broadcast_if_small(moved, 1_000_000), roots["root"] == moved["node"], "left").select("fp", F.coalesce("least_root", "root").alias("root"))
+    return roots.join(broadcast_if_small(moved, BROADCAST_NODES), roots["root"] == moved["node"], "left").select("fp", F.coalesce("least_root", "root").alias("root"))
+
+
+#: Rows of up to three longs that are broadcast.
+BROADCAST_NODES = 300_000
 
 
 def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -382,50 +381,64 @@ def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame
 
     ``least`` is the least ``(no id, doc_id, text_key)`` at a node, which is a
     set of distinct shingles. Nodes are linked exactly if they share 0.8 of
-    them: two such share one of their keys, see ``prefix_keys``, and the sets
-    themselves decide about all that share one.
-
-    Every bucket is searched in two steps, without a cap and without all pairs
-    of a large group. First each node is compared with a few members picked from
-    its buckets, and components are formed. Members of one
-    component need no more links, so then only those outside the bucket's main
-    component are compared, with all of the bucket. The first step only spares
-    work.
+    them, as far as they share a key (see ``KEYS``).
+
+    First each node is compared with the nodes of close fingerprints, found by
+    their Golay keys, and with the least member of each of its buckets, and
+    components are formed. Members of one component need no more links, so then
+    only those outside a bucket's main component are compared, with all of the
+    bucket; a pair is met in the bucket of its first common key only. No bucket
+    is capped.
     """
     rows = stage(keyed_rows(docs, words), "shingle-keys")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
-    nodes = stage(rows.groupBy("fp").agg(least, F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct-sets")
-    keyed = nodes.select("fp", "size", F.explode("keys").alias("key"))
-    picks = [F.min(F.struct("fp", "size")), F.min_by(F.struct("fp", "size"), F.xxhash64("fp", "key"))]
-    picks = keyed.groupBy("key").agg(F.array(*picks).alias("picks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = stage(keyed.join(picks.hint("merge"), "key"), "shared-keys")
-    stars = shared.select("fp", "size", F.explode("picks").alias("of")).filter((F.col("fp") != F.col("of.fp")) & _sizes_allow(F.col("size"), F.col("of.size")))
-    stars = stars.groupBy("fp", "size", F.col("of.fp").alias("of")).agg(F.count(F.lit(1)).alias("n"))
-    stars = stars.groupBy("fp", "size").agg(F.sum("n").alias("n"), F.collect_list(F.struct((-F.col("n")).alias("n"), "of")).alias("of")).filter(F.col("n") >= FIRST_SHARE * F.col("size"))
-    stars = stars.select("fp", F.explode(F.slice(F.array_sort("of"), 1, FIRST_TRIES)).alias("of")).select("fp", F.col("of.of").alias("of"))
-    stars = stars.select(F.least("fp", "of").alias("a"), F.greatest("fp", "of").alias("b")).distinct()
-    roots = stage(components(_similar(stars, nodes, docs, words)).select(F.col("node").alias("fp"), "root"), "first-roots")
-    placed = nodes.select("fp").join(broadcast_if_small(roots, 1_000_000), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-    member = shared.select("key", "fp", "size").join(broadcast_if_small(roots, 1_000_000), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    facts = F.first(F.struct("size", "simhash", "keys", *SKETCH)).alias("facts")
+    nodes = rows.groupBy("fp").agg(least, F.min("text_key").alias("text_key"), facts)
+    nodes = stage(nodes.select("fp", "least", "text_key", "facts.*"), "distinct-sets")
+
+    keyed = nodes.select("fp", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("key", "low")
+    buckets = stage(buckets, "shared-keys")
+    shared = stage(keyed.join(broadcast_if_small(buckets, BROADCAST_NODES), "key"), "nodes-of-keys")
+    by_key = shared.filter("fp > low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    marks = nodes.groupBy("simhash").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    marks = stage(marks.withColumnRenamed("simhash", "mark"), "distinct-fingerprints")
+    same = nodes.select("simhash", "fp").join(broadcast_if_small(marks.filter("low < high"), BROADCAST_NODES), F.col("simhash") == F.col("mark"))
+    same = same.filter("fp > low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    close = fingerprint_links(marks.select(F.col("mark").alias("fp")))
+    end = marks.select("mark", "low")
+    close = close.join(end.toDF("a", "x").hint("merge"), "a").join(end.toDF("b", "y").hint("merge"), "b")
+    close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    stars = stage(by_key.union(same).union(close).distinct(), "first-pairs")
+
+    met = shared.select("fp").union(stars.select("a")).union(stars.select("b")).distinct()
+    met = stage(nodes.drop("least", "simhash").join(met.hint("merge"), "fp"), "nodes-met")
+    pairs = stars.join(_side(met, "x").hint("merge"), F.col("a") == F.col("x_fp")).join(_side(met, "y").hint("merge"), F.col("b") == F.col("y_fp"))
+    linked = _similar(pairs.filter(_may_be_similar("x", "y")), met, docs, words)
+    roots = components(linked).withColumnRenamed("node", "fp")
+    roots = met.select("fp").join(broadcast_if_small(roots, BROADCAST_NODES), "fp", "left")
+    roots = stage(roots.withColumn("root", F.coalesce("root", "fp")), "first-roots")
+
+    member = shared.select("key", "fp").join(roots.hint("merge"), "fp")
     parts = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "main")
     mixed = stage(member.join(mixed.hint("merge"), "key"), "mixed-keys")
-    x, y = (mixed.select("key", *[F.col(n).alias(f"{side}_{n}") for n in ("fp", "size", "root", "main")]) for side in ("x", "y"))
+    mixed = stage(mixed.join(met.hint("merge"), "fp"), "members-of-mixed-keys")
+    x, y = (_side(mixed, side, "root", "keys", "key", "main") for side in ("x", "y"))
     once = (F.col("y_root") == F.col("y_main")) | (F.col("x_fp") < F.col("y_fp"))
-    late = x.filter("x_root <> x_main").drop("x_main").join(y.hint("merge"), "key").filter((F.col("x_root") != F.col("y_root")) & once)
-    late = late.filter(_sizes_allow(F.col("x_size"), F.col("y_size")))
-    a, b = F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")
-    late = late.groupBy(a, b).agg(F.min(F.least("x_size", "y_size")).alias("m"), F.max(F.greatest("x_size", "y_size")).alias("n"), F.count(F.lit(1)).alias("keys"))
-    late = late.filter(_may_be_similar(F.col("m"), F.col("n"), F.col("keys"))).select("a", "b")
-    good = _similar(late, nodes, docs, words)
-    at = [placed.select(F.col("fp").alias(side), F.col("root").alias(f"r{side}")) for side in ("a", "b")]
+    first = F.element_at(F.array_intersect("x_keys", "y_keys"), 1) == F.col("x_key")
+    met_once = (F.col("x_root") != F.col("y_root")) & once & _may_be_similar("x", "y") & first
+    late = x.filter("x_root <> x_main").join(y.hint("merge"), (F.col("x_key") == F.col("y_key")) & met_once)
+    late = late.select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b"))
+    good = _similar(late, met, docs, words)
+    at = [roots.select(F.col("fp").alias(side), F.col("root").alias(f"r{side}")) for side in ("a", "b")]
     both = good.join(at[0].hint("merge"), "a").join(at[1].hint("merge"), "b")
-    placed = _joined(placed, both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    placed = stage(nodes.select("fp", "least").join(placed.hint("merge"), "fp"), "placed-sets")
-    rows = stage(rows.drop("size", "keys"), "rows-of-sets")
-    drop_stage(shared, mixed, nodes)
-    return rows, placed
+    found = stage(_joined(roots, both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()), "last-roots")
+    placed = nodes.select("fp", "least").join(broadcast_if_small(found, BROADCAST_NODES), "fp", "left")
+    placed = stage(placed.withColumn("root", F.coalesce("root", "fp")), "placed-sets")
+    kept = stage(rows.select("doc_id", "text_key", "fp"), "rows-of-sets")
+    drop_stage(rows, nodes, buckets, shared, marks, stars, met, linked, roots, mixed, good, found)
+    return kept, placed
 
 
 def similar_components(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -451,10 +464,21 @@ def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Of each component the row with the least id stays, of different texts with
     that id the one with the least text hash, of equal rows one; a component
-    without an id keeps one row.
+    without an id keeps one row. Rows to drop are few, so they are what the
+    texts are joined to.
     """
-    _, nodes = similar_nodes(docs, words)
-    keepers = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_key"))
-    rows = docs.withColumn("_text_key", text_key())
-    rows = rows.join(keepers.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    rows, nodes = similar_nodes(docs, words)
+    keepers = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("keep_id"), F.col("least.text_key").alias("keep_key"))
+    times = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
+    times = times.join(keepers.hint("merge"), stays, "left").withColumn("stays", F.col("keep_key").isNotNull())
+    marked = times.filter(~F.col("stays") | (F.col("n") > 1))
+    mark, key = free_name(docs, "_marked"), free_name(docs, "_text_key")
+    marked = stage(marked.select(F.col("doc_id").alias("marked_id"), F.col("text_key").alias("marked_key"), F.col("stays").alias("again")), "rows-marked")
+    drop_stage(rows, nodes)
+    near = broadcast_if_small(marked.select(F.struct("marked_id", "marked_key", "again").alias(mark)), BROADCAST_NODES)
+    both = docs.withColumn(key, text_key()).join(near, F.col("doc_id").eqNullSafe(F.col(f"{mark}.marked_id")) & (F.col(key) == F.col(f"{mark}.marked_key")), "left")
+    single = both.filter(F.col(mark).isNull()).drop(mark, key)
+    if not marked.filter("again").limit(1).count():
+        return single
+    return single.unionByName(both.filter(f"{mark}.again").drop(mark).dropDuplicates(["doc_id", key]).drop(key))

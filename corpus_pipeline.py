@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``:
 
 1. language identification; documents without a told language go,
-2. near-duplicates by shared shingles; one document of each component stays,
+2. near-duplicates by SimHash, Golay keys and min-wise keys, verified by their
+   shingles; one document of each component stays,
 3. benchmark decontamination; documents that hold a benchmark window go,
 4. mixing; documents are dropped or repeated to meet the sources' targets,
 5. token files; the result lists each document as read back from them.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm import decontaminate, langid, mixing, simhash, token_files
-from tabulon.llm.common import stage
+from tabulon.llm.common import drop_stage, stage
 from tabulon.llm.queries import tokenizer_path
 
 
@@ -53,6 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, step) in enumerate(STAGES[:-1]):
+        before, docs = docs, stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            drop_stage(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -77,7 +77,7 @@ class CachedEncoder:
     text (tested).
 
     Pieces and words live in two generations each; a full one replaces the
-    older, so frequent ones stay and memory is bounded.
+    older, so frequent ones stay and memory is bounded. ``forget`` gives it back.
     """
 
     def __init__(self, path: str, max_pieces: int = 600_000):
@@ -90,8 +90,11 @@ class CachedEncoder:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, k in vocab.items():
             self.width[k] = len(token)  # one character stands for one byte
-        self.half, self.known, self.older = max_pieces // 2, {}, {}
-        self.words, self.older_words = {}, {}
+        self.half = max_pieces // 2
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.older, self.words, self.older_words = {}, {}, {}, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -153,7 +156,7 @@ class CachedEncoder:
 
 @cache
 def cached_encoder(path: str) -> CachedEncoder:
-    """One encoder for all tasks of a Python worker."""
+    """One encoder for all tasks of a Python worker; each task leaves it empty."""
     return CachedEncoder(path)
 
 
@@ -323,6 +326,8 @@ def write_token_files(
                 file.add(NULL_ID if doc_id is None else doc_id, ids + end)
         if file:
             yield close()
+        if hasattr(encode, "forget"):
+            encode.forget()
 
     listed = rows.mapInArrow(write, FILES_SCHEMA)
     listed.write.parquet(f"{out}/_files")

@@ -59,6 +59,14 @@ def drop_stage(*frames: DataFrame) -> None:
             fs.delete(path, True)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows will go to Python in batches of 1,000 at most, as whole texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= 1000:
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` has at most ``max_rows`` rows; counts no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -83,4 +91,4 @@ def ascii_lower(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, upper, lower)).otherwise(F.lower(c))
 
 
-__all__ = ["WORD", "ascii_lower", "broadcast_if_small", "drop_stage", "free_name", "new_path", "shared_dir", "small_enough", "stage"]
+__all__ = ["WORD", "ascii_lower", "broadcast_if_small", "drop_stage", "free_name", "new_path", "shared_dir", "small_enough", "stage", "text_batches"]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import free_name
+from tabulon.llm.common import free_name, text_batches
 
 # Families of ISO 639-1 codes, for the languages most often told apart.
 FAMILIES = {
@@ -123,7 +123,7 @@ def sample_counts(docs: DataFrame, dims: int) -> DataFrame:
             columns = [batch.column(0), pa.array(cells, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "cells", "counts"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, cells array<int>, counts array<long>")
+    return text_batches(docs.select("lang", "text")).mapInArrow(run, "lang string, cells array<int>, counts array<long>")
 
 
 # ---------------------------------------------------------------- model
@@ -262,7 +262,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, label: str = "lang_pre
                 labels, scores = told(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(scores)], names)
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import broadcast_if_small, drop_stage, free_name, stage
+from tabulon.llm.common import broadcast_if_small, drop_stage, free_name, stage, text_batches
 
 #: Start and width of the segments of a fingerprint, from the lowest bit.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(text_batches).mapInArrow(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- Golay code
@@ -314,7 +314,7 @@ def keyed_rows(docs: DataFrame, words: int) -> DataFrame:
 
     names = ["doc_id", "text_key", "fp", "size", "simhash", "keys", *SKETCH]
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return kept.mapInArrow(run, "doc_id long, text_key long, fp long, size int, simhash long, keys array<long>, " + ", ".join(f"{n} long" for n in SKETCH))
+    return text_batches(kept).mapInArrow(run, "doc_id long, text_key long, fp long, size int, simhash long, keys array<long>, " + ", ".join(f"{n} long" for n in SKETCH))
 
 
 def _may_be_similar(a: str, b: str) -> Column:
@@ -346,7 +346,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
 
-    return texts.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+    return text_batches(texts.select("fp", "text")).mapInArrow(run, "fp long, shingles array<long>")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float = SIMILAR) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import new_path
+from tabulon.llm.common import new_path, text_batches
 
 # Fixed values of the public seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -77,10 +77,10 @@ class CachedEncoder:
     text (tested).
 
     Pieces and words live in two generations each; a full one replaces the
-    older, so frequent ones stay and memory is bounded. ``forget`` gives it back.
+    older, so frequent ones stay and memory is bounded.
     """
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -90,11 +90,8 @@ class CachedEncoder:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, k in vocab.items():
             self.width[k] = len(token)  # one character stands for one byte
-        self.half = max_pieces // 2
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.older, self.words, self.older_words = {}, {}, {}, {}
+        self.half, self.known, self.older = max_pieces // 2, {}, {}
+        self.words, self.older_words = {}, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -156,7 +153,7 @@ class CachedEncoder:
 
 @cache
 def cached_encoder(path: str) -> CachedEncoder:
-    """One encoder for all tasks of a Python worker; each task leaves it empty."""
+    """One encoder for all tasks of a Python worker."""
     return CachedEncoder(path)
 
 
@@ -326,10 +323,8 @@ def write_token_files(
                 file.add(NULL_ID if doc_id is None else doc_id, ids + end)
         if file:
             yield close()
-        if hasattr(encode, "forget"):
-            encode.forget()
 
-    listed = rows.mapInArrow(write, FILES_SCHEMA)
+    listed = text_batches(rows).mapInArrow(write, FILES_SCHEMA)
     listed.write.parquet(f"{out}/_files")
     return docs.sparkSession.read.schema(FILES_SCHEMA).parquet(f"{out}/_files")
 

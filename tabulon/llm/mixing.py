@@ -6,14 +6,15 @@ probability ``r - floor(r)``. Which ones is decided by the cube method: the
 vector of probabilities moves at random through the null space of the balancing
 constraints (words and documents of the source keep their expected totals)
 until a component reaches 0 or 1; that document is decided, and the walk goes
-on with the next. At most as many documents as there are constraints stay
-undecided.
+on. Each step takes the direction that moves the longest open document most
+and lets all the others make up for it, so long documents are decided first,
+while many are left to balance them, and the short ones last.
 
 The walk runs in blocks of rows within a source, so a source that holds a third
-of all rows is many tasks. Each block leaves at most two open documents; they
-meet in blocks of the next level, a few thousand times fewer each time, until
-one block per source is left. There the landing drops constraints one by one
-(documents first) and rounds what is left.
+of all rows is many tasks. Each block leaves its shortest 50 documents open;
+they meet in blocks of the next level, 80 times fewer each time, until one block
+per source is left. There the landing drops the constraint on documents, goes on
+to the shortest one, and rounds that.
 
 Targets: total times ``scale`` is shared by weight; no target exceeds ``cap``
 times its source's size, and the excess is shared again by weight.
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import WORD, broadcast_if_small, stage
+from tabulon.llm.common import WORD, broadcast_if_small, free_name, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BROADCAST_SOURCES = 100_000
@@ -73,89 +74,80 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, scale
 # ---------------------------------------------------------------- the cube method
 
 
-def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray, balance: int = 2) -> np.ndarray:
-    """Move probabilities until at most ``balance`` of them lie strictly between 0 and 1.
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave: int, documents: bool = True) -> np.ndarray:
+    """Decide documents, the longest first, until ``leave`` of them lie strictly between 0 and 1.
 
-    ``balance`` 2 keeps the sums of ``size`` and of 1; 1 keeps the sum of
-    ``size``. ``draw`` has a uniform number for each element, used once its
-    turn to enter the walk comes.
+    Each step moves the longest open document; all other open ones make up for
+    it, each by an amount that is linear in its size, so that the sum of sizes
+    and, with ``documents``, the sum of probabilities stay. It goes up or down
+    as far as the first document reaches 0 or 1, with odds that keep every
+    probability on average.
     """
-    p = p.astype(float).tolist()
-    x, u = size.astype(float).tolist(), draw.tolist()
-    tiny = 1e-9
-    live: list[int] = []
-    for k in range(len(p)):
-        if tiny < p[k] < 1 - tiny:
-            live.append(k)
-        if len(live) <= balance:
-            continue
-        if balance == 2:
-            a, b, c = (x[i] for i in live)
-            d = [b - c, c - a, a - b]
-            if not any(d):
-                d = [1.0, -1.0, 0.0]
+    tiny, p = 1e-9, p.astype(float).copy()
+    p[p < tiny], p[p > 1 - tiny] = 0.0, 1.0
+    live = np.flatnonzero((p > 0) & (p < 1))
+    live = live[np.argsort(size[live], kind="stable")]  # the last one is the longest
+    while len(live) > max(leave, 1):
+        q, x = p[live], size[live].astype(float)
+        others, n = x[:-1], len(live) - 1
+        s1, s2 = others.sum(), (others * others).sum()
+        spread = n * s2 - s1 * s1
+        d = np.ones(n + 1)
+        if documents and spread > 1e-9 * n * s2:
+            slope = (s1 - n * x[-1]) / spread
+            d[:-1] = slope * others - (1 + slope * s1) / n
         else:
-            a, b = (x[i] for i in live)
-            d = [b, -a] if a or b else [1.0, 1.0]
-        ups = [((1 - p[i]) / v if v > 0 else -p[i] / v) for i, v in zip(live, d, strict=True) if v]
-        downs = [(p[i] / v if v > 0 else (p[i] - 1) / v) for i, v in zip(live, d, strict=True) if v]
-        up, down = min(ups), min(downs)
-        step = up if u[k] * (up + down) < down else -down
-        for i, v in zip(live, d, strict=True):
-            p[i] += step * v
-        left = []
-        for i in live:
-            if p[i] <= tiny:
-                p[i] = 0.0
-            elif p[i] >= 1 - tiny:
-                p[i] = 1.0
-            else:
-                left.append(i)
-        live = left
-    return np.array(p)
-
-
-def landing(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Decide the last few: keep the words balanced, then round."""
-    p = flight(p, size, draw, balance=1)
-    return np.where(p <= 1e-9, 0.0, np.where(p >= 1 - 1e-9, 1.0, (draw < p).astype(float)))
-
-
-def _walk(level: int, last: bool):
+            d[:-1] = -x[-1] / s1 if s1 > 0 else -1 / n
+        with np.errstate(divide="ignore"):
+            up = np.min(np.where(d > tiny, (1 - q) / d, np.where(d < -tiny, -q / d, np.inf)))
+            down = np.min(np.where(d > tiny, q / d, np.where(d < -tiny, (q - 1) / d, np.inf)))
+        q = q + d * (up if rng.random() * (up + down) < down else -down)
+        q[q < tiny], q[q > 1 - tiny] = 0.0, 1.0
+        p[live] = q
+        live = live[(q > 0) & (q < 1)]
+    return p
+
+
+def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide the last few: keep the words balanced to the shortest one, then round it."""
+    p = flight(p, size, rng, 1, documents=False)
+    return np.where((p > 0) & (p < 1), (rng.random(len(p)) < p).astype(float), p)
+
+
+def _walk(level: int, last: bool, leave: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "order", "row"], ascending=[False, True, True], kind="stable")  # the open ones are small
-        p, x, u = (pdf[c].to_numpy() for c in ("p", "size", "draw"))
-        u = u * (1 + level * 977.0) % 1.0  # other numbers at other levels
-        p = flight(p, x, u)
-        if last:
-            p = landing(p, x, np.roll(u, 1))
-        return pdf.assign(p=p)
+        pdf = pdf.sort_values(["size", "order", "row"], kind="stable")  # the same order on every run
+        p, x, order = (pdf[c].to_numpy() for c in ("p", "size", "order"))
+        rng = np.random.default_rng([level, len(pdf), int(order.min()) & (2**63 - 1)])
+        p = flight(p, x, rng, leave)
+        return pdf.assign(p=landing(p, x, rng) if last else p)
 
     return run
 
 
-def balanced_sample(rows: DataFrame, seed: int, block_rows: int = 4_000) -> DataFrame:
+def balanced_sample(rows: DataFrame, seed: int, block_rows: int = 4_000, leave: int = 50) -> DataFrame:
     """``row, taken`` for ``rows (row, grp, rows_in_grp, size, p)``; groups are balanced apart.
 
     The number of blocks of a group follows from its row count, so no task gets
-    more than about ``block_rows`` rows. Levels follow from the largest group.
+    more than about ``block_rows`` rows; each leaves ``leave`` open ones to the
+    next level. Levels follow from the largest group.
     """
-    schema = "row long, grp long, blocks long, block long, size long, p double, order long, draw double"
+    schema = "row long, grp long, blocks long, block long, size long, p double, order long"
+    leave = min(leave, block_rows // 4)  # each level is a fraction of the one before
     order = F.xxhash64("row", F.lit(seed))
-    uniform = F.pmod(F.xxhash64("row", F.lit(seed + 1)), F.lit(1 << 52)) / float(1 << 52)
-    work = rows.withColumn("order", order).withColumn("draw", uniform)
+    work = rows.withColumn("order", order)
     work = work.withColumn("blocks", F.ceil(F.col("rows_in_grp") / block_rows))
     work = work.withColumn("block", F.pmod("order", F.col("blocks"))).drop("rows_in_grp")
     most = rows.agg(F.max("rows_in_grp")).first()[0] or 0
     levels, left = 1, math.ceil(most / block_rows)
     while left > 1:
-        levels, left = levels + 1, math.ceil(2 * left / block_rows)
+        levels, left = levels + 1, math.ceil(leave * left / block_rows)
     done = []
     for k in range(levels):
-        work = work.groupBy("grp", "block").applyInPandas(_walk(k, k == levels - 1), schema)
+        work = work.groupBy("grp", "block").applyInPandas(_walk(k, k == levels - 1, leave), schema)
         work = stage(work, "cube-level")
         done.append(work.filter("p = 0 or p = 1").select("row", (F.col("p") == 1).alias("taken")))
-        work = work.filter("p > 0 and p < 1").withColumn("blocks", F.ceil(2 * F.col("blocks") / block_rows))
+        work = work.filter("p > 0 and p < 1").withColumn("blocks", F.ceil(leave * F.col("blocks") / block_rows))
         work = work.withColumn("block", F.pmod("order", F.col("blocks")))
     out = done[0]
     for more in done[1:]:
@@ -199,7 +191,9 @@ def mixing_report(docs: DataFrame, **options) -> DataFrame:
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row as often as it is taken, columns as they came."""
-    units = mix_units(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_row_key", row_key())
-    rows = keyed.join(units, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")))
-    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    units = mix_units(docs, **options).filter("copies > 0")
+    mix, key, nth = (free_name(docs, n) for n in ("_mix", "_row_key", "_nth"))
+    units = units.select(F.struct("doc_id", "key", F.col("copies").cast("int").alias("copies")).alias(mix))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{mix}.doc_id")) & (F.col(key) == F.col(f"{mix}.key"))
+    rows = docs.withColumn(key, row_key()).join(units, same)
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(f"{mix}.copies")))).select(*[f"`{c}`" for c in docs.columns])

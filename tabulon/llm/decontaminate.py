@@ -20,8 +20,8 @@ lengths is taken from the documents.
 
 Defined cases: null and empty texts have no words; items without words match
 nothing; repeated items all count; repeated document ids are told apart by
-text; a null item id counts as an item but is not named. Extra columns do not
-matter. Everything here is DataFrame code.
+text, as are documents without an id; a null item id counts as an item but is
+not named. Extra columns do not matter and are kept, whatever their names. Everything here is DataFrame code.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import ascii_lower, broadcast_if_small, small_enough, stage
+from tabulon.llm.common import ascii_lower, broadcast_if_small, free_name, small_enough, stage
 
 #: Separators between words: everything below 0x80 that is no letter or digit.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -128,19 +128,21 @@ def words_hit(windows: DataFrame, key: list[str]) -> DataFrame:
     return ends.groupBy(*key).agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.col("from"))).cast("long").alias("n_hit"))
 
 
+def _unit() -> Column:
+    """What tells documents apart: id and text, also where the id is null."""
+    return F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
 def decontamination_report(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
     """One row per document: words, words hit, items found, whether it is contaminated."""
-    key = ["doc_id", "text_hash"]
-    docs = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    windows = stage(hit_windows(docs, items, window, gram, ["text_hash"]).distinct(), "hit-windows")
-    named = windows.select(*key, "item_id").distinct().groupBy(*key).agg(
+    docs = docs.select("doc_id", "text", _unit().alias("unit"))
+    windows = stage(hit_windows(docs, items, window, gram, ["unit"]).drop("doc_id").distinct(), "hit-windows")
+    named = windows.select("unit", "item_id").distinct().groupBy("unit").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ","), 256).alias("items_sha256"),
     )
-    hit = words_hit(windows, key).join(named, key)
-    hit = broadcast_if_small(stage(hit.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash"), "documents-hit"), BROADCAST_ROWS)
-    sized = docs.select(*key, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    both = sized.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    hit = broadcast_if_small(stage(words_hit(windows, ["unit"]).join(named, "unit"), "documents-hit"), BROADCAST_ROWS)
+    both = docs.select("doc_id", "unit", F.size(words_of(F.col("text"))).cast("long").alias("n_words")).join(hit, "unit", "left")
     return both.select(
         "doc_id",
         "n_words",
@@ -153,14 +155,13 @@ def decontamination_report(docs: DataFrame, items: DataFrame, window: int = 10,
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5, share: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose share of words hit is at most ``share``; all columns kept."""
-    key = ["doc_id", "text_hash"]
-    source = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    windows = stage(hit_windows(source.select("doc_id", "text", "text_hash"), items, window, gram, ["text_hash"]).drop("item_id").distinct(), "hit-windows")
-    hit = words_hit(windows, key)
+    unit = free_name(docs, "unit")
+    keyed = docs.withColumn(unit, _unit())
+    narrow = keyed.select("doc_id", "text", F.col(unit).alias("unit"))
+    windows = stage(hit_windows(narrow, items, window, gram, ["unit"]).drop("item_id", "doc_id").distinct(), "hit-windows")
+    hit = words_hit(windows, ["unit"])
     if share > 0:
-        size = source.select(*key, F.size(words_of(F.col("text"))).alias("n")).distinct()
-        hit = hit.join(size, key).filter(F.col("n_hit") > share * F.col("n"))
-    hit = stage(hit.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")), "documents-hit")
-    hit = broadcast_if_small(hit, BROADCAST_ROWS)
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
-    return source.join(hit, same, "left_anti").drop("text_hash")
+        size = narrow.select("unit", F.size(words_of(F.col("text"))).alias("n")).distinct()
+        hit = hit.join(size, "unit").filter(F.col("n_hit") > share * F.col("n"))
+    hit = broadcast_if_small(stage(hit.select(F.col("unit").alias(unit)), "documents-hit"), BROADCAST_ROWS)
+    return keyed.join(hit, unit, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -8,7 +8,8 @@ that join is read by bucket and never shuffled again.
 
 Defined cases: a null text counts as empty text; several rows with equal text
 form one group whatever their other columns hold; rows with a null id take part
-and lose against any id; an empty batch appends nothing. Further columns, also
+and lose against any id; of rows that share text and id, or text and having no
+id, one stays; an empty batch appends nothing. Further columns, also
 ones named like the outputs, are ignored by the index and by the report.
 Everything here is DataFrame code.
 """
@@ -73,14 +74,16 @@ class DigestIndex:
         again, so the join to the rows has a plain exchange on both sides and a
         hot digest is split by the adaptive skew join.
         """
-        sizes = batch.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+        # Rows of one id and digest are alike; they are counted, told apart by number, and the first may stay.
+        units = stage(batch.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("rows")), "digest-rows")
+        sizes = units.groupBy("digest").agg(F.sum("rows").alias("group_size"))
         groups = stage(sizes.join(self.rows().hint("merge"), "digest"), "digest-groups")
-        same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-        return batch.join(groups.hint("merge"), "digest").select(
+        each = units.join(groups.hint("merge"), "digest").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+        return each.select(
             "doc_id",
             "keep_id",
             "group_size",
-            same.alias("kept"),
+            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 

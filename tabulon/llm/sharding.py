@@ -88,11 +88,12 @@ def shard_report(docs: DataFrame, shards: int = 8, seed: int = 23, bucket_rows:
 
 
 def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 23, bucket_rows: int = 50_000) -> DataFrame:
-    """All columns of ``docs`` with ``shard`` and ``slot``; equal rows are interchangeable."""
-    keep = [c for c in docs.columns if c not in ("shard", "slot", "tie", "place", "n_rows")]
-    tied = docs.select(*keep).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """All columns of ``docs`` but ones named like them, with ``shard`` and ``slot``; equal rows are interchangeable."""
+    keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    packed = docs.select("doc_id", "source", tie.alias("tie"), F.struct(*[f"`{c}`" for c in keep]).alias("user_row"))
     shard, slot = shard_of(F.col("place"), F.col("n_rows"), shards)
-    return interleave(tied, seed, bucket_rows).select(*keep, shard.alias("shard"), slot.alias("slot"))
+    return interleave(packed, seed, bucket_rows).select("user_row.*", shard.alias("shard"), slot.alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 23, files_per_shard: int = 1) -> None:

@@ -46,6 +46,12 @@ def test_exact_dedup_matches_brute_force(docs, empty):
     assert exact_dedup.dedup_report(empty, 4).count() == 0
 
 
+def test_exact_dedup_keeps_one_of_equal_rows(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "a"), (3, "b"), (3, "b"), (2, "b"), (None, "b")], "doc_id long, text string")
+    got = exact_dedup.dedup_report(docs, 2).collect()
+    assert sorted((r["keep_id"] or 0, r["group_size"], r["kept"]) for r in got) == sorted([(0, 2, True), (0, 2, False), (3, 4, True)] + [(3, 4, False)] * 3)
+
+
 def test_index_appends_only_new_digests(spark, docs):
     index = exact_dedup.DigestIndex(spark, "digest_index_test", 4)
     index.drop()
@@ -249,6 +255,57 @@ def test_decontamination_matches_brute_force(spark, docs, empty):
     assert decontaminate.decontamination_report(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_of_rows_without_an_id(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(None, text, "k"), (None, "clean", "k"), (5, text, "k"), (5, text, "k"), (5, "other", "k")], "doc_id long, text string, text_hash string")
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.decontamination_report(docs, bench).collect())
+    assert got == [(0, 1, 0, 0, False), (0, 11, 11, 1, True), (5, 1, 0, 0, False), (5, 11, 11, 1, True), (5, 11, 11, 1, True)]
+    for share in (0.0, 0.5):
+        assert sorted((r[0] or 0, *r[1:]) for r in decontaminate.drop_contaminated(docs, bench, share=share).collect()) == [(0, "clean", "k"), (5, "other", "k")]
+
+
+def test_language_letters_and_clashing_columns(spark):
+    data = [(k, t, lang, "mine", 7) for k, (t, lang) in enumerate([("der und die das", "de"), ("the and of to", "en")] * 20 + [("½ ² Ⅷ ① 12_", "en")])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, lang_pred string, lang_score int")
+    assert langid.language_report(docs).filter("doc_id = 40").first()["lang_pred"] == "und"
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(data[:40])
+
+
+def test_language_grams_match_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choices("abcdé ß.1\n", k=rng.randrange(30)))
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        grams = [f" {w} "[i : i + n] for w in words for n in (1, 2, 3, 4) for i in range(len(w) + 3 - n)]
+        want = sum(g != " " for g in grams)
+        assert langid.gram_counts(text, 256).sum() == want
+    long = "ab cde " * 60_000
+    assert (langid.gram_counts(long, 256) == 60_000 * langid.gram_counts("ab cde ", 256)).all()
+
+
+def test_simhash_report_matches_brute_force(spark):
+    import xxhash
+
+    rng = random.Random(15)
+    texts = [" ".join(random_words(rng, rng.randrange(0, 9))) for _ in range(60)] + ["A b C d", "a B c D", None, "", " \x0b "]
+    texts += [f"{texts[3]} tail", *texts[:5], "x y " * 300]
+    prints = []
+    for t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if x]
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(prints):
+            for j in range(i):
+                if (a ^ prints[j]).bit_count() <= 2:
+                    root[i] = root[j] = min(root[i], root[j])
+    got = simhash.simhash_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(k, f"{p:016x}", root[k]) for k, p in enumerate(prints)}
+
+
 def test_language_is_told_on_held_out_rows(spark, empty):
     rng = random.Random(2)
     vocab = {"en": "the and of to in that with for".split(), "de": "der und die das nicht mit für ein".split(), "fr": "le la et des que pour dans une".split(), "es": "el los que por para una con del".split()}
@@ -271,17 +328,47 @@ def test_mix_meets_targets(spark, docs, empty):
     source = {k: s for k, _, s in data}
     for s in {*source.values()}:
         own = [r for r in a if source[r[0]] == s]
-        assert abs(sum(r[4] for r in own) - own[0][3]) <= 60 and all(r[4] <= 2 * r[1] for r in own)
+        assert abs(sum(r[4] for r in own) - own[0][3]) <= 5 and all(r[4] <= 2 * r[1] for r in own)
     total = sum(r[1] for r in a)
     assert abs(sum({source[r[0]]: r[3] for r in a}.values()) - 1.5 * total) < 1e-6 * total
+    assert [r[:2] for r in a] == [(k, len(t.split())) for k, t, _ in data]
     assert mixing.mixing_report(empty).count() == 0 and mixing.take_mix(empty).count() == 0
 
 
-def test_cube_keeps_totals():
+def test_mix_of_skewed_sizes_comes_near_its_targets(spark):
+    rng = np.random.default_rng(6)
+    sizes = np.minimum(20_000, rng.lognormal(5, 1.3, 1500)).astype(int) + 1
+    docs = spark.createDataFrame([(k, "w " * int(n), f"s{k % 6}") for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.mixing_report(docs, block_rows=100).collect()
+    for s in range(6):
+        own = [r for r in got if r["doc_id"] % 6 == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(3 * min(r["size"] for r in own), 0.01 * own[0]["target"])
+
+
+def test_mix_of_odd_rows(spark):
+    odd = [(None, "a b", None, "x"), (None, "a b", None, "y"), (1, None, "s", "z"), (1, "", "s", "z"), (2, "c d e", "s", "z")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, source string, _copies string")
+    got = mixing.mixing_report(docs).collect()
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in got) == [(-1, 2), (-1, 2), (1, 0), (1, 0), (2, 3)]
+    assert all(r["taken"] <= 2 * r["size"] for r in got) and mixing.take_mix(docs).columns == docs.columns
+
+
+def test_cube_keeps_totals_and_probabilities():
     rng = np.random.default_rng(1)
     size, p = rng.integers(1, 100, 500), np.full(500, 0.3)
-    q = mixing.flight(p, size, rng.random(500))
-    assert ((q > 0) & (q < 1)).sum() <= 2 and abs(q.sum() - 150) < 1e-6 and abs(q @ size - p @ size) < 1e-4
+    q = mixing.flight(p, size, rng, 20)
+    assert ((q > 0) & (q < 1)).sum() <= 20 and abs(q.sum() - 150) < 1e-6 and abs(q @ size - p @ size) < 1e-4
+    few, p = np.array([5000, 700, 600, 300, 200, 100, 50, 20, 10]), np.full(9, 0.3)
+    mean = np.mean([mixing.landing(mixing.flight(p, few, g, 4), few, g) for g in map(np.random.default_rng, range(4000))], axis=0)
+    assert np.abs(mean - 0.3).max() < 0.03
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = "rank share mixed slice bucket n_source source_key place user_row".split()
+    docs = spark.createDataFrame([(k, "t", "s", *[f"{k}{n}" for n in names]) for k in range(20)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = sharding.shard_rows(docs, 4)
+    assert got.columns == [*docs.columns, "shard", "slot"]
+    assert sorted(map(tuple, got.drop("shard", "slot").collect())) == sorted(map(tuple, docs.collect()))
 
 
 def test_shards_are_even_and_proportional(docs, empty):

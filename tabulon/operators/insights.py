@@ -15,9 +15,14 @@ def breakdown(df: DataFrame, measure: str, dim: str, op: str = "sum", top: int =
     label = expr.strip(F.col(dim).cast("string"))
     g = df.filter(~expr.is_blank(F.col(dim)) & v.isNotNull()).groupBy(label.alias("label")).agg(F.sum(v).alias("total"), F.count(v).alias("rows"))
     value = F.col("total") if op == "sum" else F.col("total") / F.col("rows")
-    ranked = g.withColumn("value", value).withColumn("rn", F.row_number().over(Window.orderBy(F.desc("value"), "label")))
-    shown = ranked.withColumn("label", F.when(F.col("rn") <= top, F.col("label")).otherwise("Other")).withColumn("place", F.least("rn", F.lit(top + 1)))
-    out = shown.groupBy("place", "label").agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("values"))
+    g = g.withColumn("value", value)
+    # Only the top values meet in one task; the others are what the sum of all leaves.
+    best = g.orderBy(F.desc("value"), "label").limit(top)
+    best = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "label")))
+    first = best.select("place", "label", "total", "rows", F.lit(1).cast("long").alias("values"))
+    sums = [F.sum("total").alias("total"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("values")]
+    rest = g.join(F.broadcast(first.select(F.col("label").alias("shown"))), F.col("label") == F.col("shown"), "left_anti").agg(*sums).filter("values > 0")
+    out = first.unionByName(rest.select(F.lit(top + 1).alias("place"), F.lit("Other").alias("label"), "total", "rows", "values"))
     value = F.col("total") if op == "sum" else F.col("total") / F.col("rows")
     share = F.round(F.try_divide(F.col("total"), F.sum("total").over(Window.partitionBy())) * 100, 2)
     return out.select("place", "label", F.round(value, 2).alias("value"), "rows", "values", share.alias("share_pct"))
@@ -41,9 +46,9 @@ def trend(df: DataFrame, measure: str, date: str) -> DataFrame:
 def ranking(df: DataFrame, measure: str, entity: str, top: int = 10) -> DataFrame:
     """The top entities with their shares; empty if there are fewer than three."""
     g = df.filter(~expr.is_blank(F.col(entity))).groupBy(F.col(entity).cast("string").alias("entity")).agg(F.sum(R._numeric(df, measure)).alias("v")).filter("v is not null")
-    every = Window.partitionBy()
-    r = g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), "entity"))).withColumn("n", F.count(F.lit(1)).over(every)).withColumn("all", F.sum("v").over(every))
-    return r.filter((F.col("rank") <= top) & (F.col("n") >= 3)).select("rank", "entity", F.round("v", 2).alias("value"), F.round(F.try_divide(F.col("v"), F.col("all")) * 100, 2).alias("share_pct"))
+    best = g.orderBy(F.desc("v"), "entity").limit(top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), "entity")))
+    r = best.join(F.broadcast(g.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("all"))), F.lit(True))  # one row
+    return r.filter("n >= 3").select("rank", "entity", F.round("v", 2).alias("value"), F.round(F.try_divide(F.col("v"), F.col("all")) * 100, 2).alias("share_pct"))
 
 
 def distribution(df: DataFrame, measure: str, bins: int = 10) -> DataFrame:
@@ -76,7 +81,7 @@ def quality_flags(df: DataFrame, columns: list[str], measures: list[str], least:
 
 def cross_table_breakdown(fact: DataFrame, key: str, dim: DataFrame, dim_key: str, measure: str, attributes: list[str]) -> DataFrame:
     """The measure by each attribute of a lookup table, with shares; null attribute: not found."""
-    t = R.lookup_join_aggregate(fact, key, dim, dim_key, measure, attributes[:3])
+    t = R.lookup_join_aggregate(fact, key, dim, dim_key, measure, attributes)
     share = F.round(F.try_divide(F.col("total"), F.sum("total").over(Window.partitionBy("attribute"))) * 100, 2)
     return t.select("attribute", "label", F.round("total", 2).alias("total"), "rows", share.alias("share_pct"))
 
@@ -107,7 +112,11 @@ def dedupe_findings(found: DataFrame) -> DataFrame:
 
 
 def auto_insights(df: DataFrame, columns: DataFrame, top: int = 8, max_groups: int = 2000) -> dict[str, DataFrame]:
-    """Findings for one table, chosen by the scores of its `column_table` rows."""
+    """Findings for one table, chosen by the scores of its `column_table` rows.
+
+    Columns of over ``max_groups`` values (as estimated) get none; ``skipped``
+    lists them with that number.
+    """
     c = columns.orderBy("position").collect()
     best = lambda f: [r["column"] for r in sorted((r for r in c if r[f]), key=lambda r: -r[f])]
     measures, dims = best("measure_score"), best("dimension_score")
@@ -119,4 +128,6 @@ def auto_insights(df: DataFrame, columns: DataFrame, top: int = 8, max_groups: i
     sizes = df.agg(*[F.approx_count_distinct(d).alias(d) for d in [*dims, *entities]]).first().asDict() if dims or entities else {}
     out = {f"breakdown:{d}": breakdown(df, m, d, op, top) for d in dims if sizes[d] <= max_groups}
     out |= {f"trend:{d}": trend(df, m, d) for d in dates} | {f"ranking:{e}": ranking(df, m, e) for e in entities if sizes[e] <= max_groups}
+    skipped = [(c, int(n)) for c, n in sizes.items() if n > max_groups]
+    out["skipped"] = df.sparkSession.createDataFrame(skipped, "column string, values long")
     return out | {f"distribution:{m}": distribution(df, m)}

@@ -178,22 +178,54 @@ class Lake:
         return old.filter(F.col("created_at") < F.current_timestamp() - F.expr(f"interval {days} days")).select("dataset", "version").distinct().join(live, "version", "left_anti")
 
 
-def load_report(ledger: DataFrame, duration: str = "duration_ms", rows: str = "rows_out") -> DataFrame:
-    """``metric, value`` over all loads: totals, rates, nearest-rank percentiles, throughput."""
-    done = F.col("status").isin("succeeded", "failed", "quarantined", "rolled_back")
+def load_report(ledger: DataFrame, until: Column | None = None) -> DataFrame:
+    """``metric, value`` over all loads.
+
+    Rates are of finished loads (succeeded, quarantined or failed). Rows,
+    durations, nearest-rank percentiles and throughput are of succeeded loads;
+    rejected rows and raw bytes are of all. ``loads_24h`` counts the day before
+    ``until``, by default now.
+    """
+    until = F.current_timestamp() if until is None else until
+    ok = F.col("status") == "succeeded"
+    kinds = ("succeeded", "quarantined", "failed", "rolled_back")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     s = ledger.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("status") == "succeeded").alias("succeeded"),
-        F.count_if(F.col("status") == "quarantined").alias("quarantined"),
-        F.count_if(F.col("status") == "failed").alias("failed"),
-        F.count_if(done).alias("finished"),
-        F.coalesce(F.sum(rows), F.lit(0)).alias("rows"),
-        F.avg(duration).alias("avg_ms"),
-        F.max(duration).alias("max_ms"),
-        F.try_divide(F.sum(F.col(rows) * 1000), F.sum(F.when(F.col(duration) > 0, F.col(duration)))).alias("rows_per_s"),
+        F.count(F.lit(1)).alias("loads_total"),
+        F.count_if(F.col("created_at") >= until - F.expr("interval 1 day")).alias("loads_24h"),
+        *[F.count_if(F.col("status") == k).alias(k) for k in kinds],
+        F.count_if(~F.col("status").isin(*kinds)).alias("other_status"),
+        total(F.when(ok, F.col("rows_out"))).alias("rows_loaded"),
+        total("rows_rejected").alias("rows_rejected"),
+        total("raw_bytes").alias("raw_bytes"),
+        F.floor(F.avg(F.when(ok, F.coalesce("duration_ms", F.lit(0))))).alias("avg_ms"),
+        F.max(F.when(ok, F.coalesce("duration_ms", F.lit(0)))).alias("max_ms"),
+        F.round(F.try_divide(total(F.when(ok, F.col("rows_out"))) * 1000, F.sum(F.when(ok, F.col("duration_ms")))), 1).alias("rows_per_s"),
     )
-    rate = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("finished")), F.lit(0.0)), 4)
+    rate = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("succeeded") + F.col("quarantined") + F.col("failed")), F.lit(0.0)), 4)
     s = s.withColumns({"quarantine_rate": rate("quarantined"), "failure_rate": rate("failed")})
-    flat = s.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("double"), 4).alias("value")) for c in s.columns])))
-    p = R.nearest_rank_percentile(ledger, duration, [0.5, 0.95]).select(F.concat(F.lit("p"), (F.col("share") * 100).cast("int").cast("string")).alias("metric"), F.col("value").cast("double").alias("value"))
+    flat = s.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in s.columns])))
+    done = ledger.filter(ok).select(F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"))
+    p = R.nearest_rank_percentile(done, "duration_ms", [0.5, 0.95]).select(F.concat(F.lit("p"), (F.col("share") * 100).cast("int").cast("string")).alias("metric"), F.col("value").cast("double").alias("value"))
     return flat.unionByName(p)
+
+
+def loads_by_dataset(ledger: DataFrame) -> DataFrame:
+    """Per dataset: loads by status, the last load, and the rows of the last one that succeeded."""
+    ok, order = F.col("status") == "succeeded", F.struct("created_at", "load_id")
+    last = lambda c: F.max_by(c, order)
+    return ledger.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("loads"),
+        *[F.count_if(F.col("status") == k).alias(k) for k in ("succeeded", "quarantined", "failed")],
+        last("load_id").alias("last_load_id"),
+        last("status").alias("last_status"),
+        last("mode").alias("last_mode"),
+        last("finished_at").alias("last_finished_at"),
+        F.max_by(F.when(ok, F.col("rows_out")), F.when(ok, order)).alias("rows_current"),
+        F.max_by(F.when(ok, F.col("quality_status")), F.when(ok, order)).alias("quality_status"),
+    )
+
+
+def recent_loads(ledger: DataFrame, n: int = 20) -> DataFrame:
+    """The newest ``n`` loads."""
+    return ledger.orderBy(F.desc("created_at"), F.desc("load_id")).limit(n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,24 +53,39 @@ def recent_window(mart: DataFrame, until: Column, days: int = 30, project: str |
     return (rows.filter(F.col("project_id") == project) if project else rows).orderBy("dt")
 
 
+def _counted(df: DataFrame, c: str, name: str, most: int | None = None) -> DataFrame:
+    """One row: ``name``, an array of ``(value, n)``, most frequent first."""
+    top = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+    pairs = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "value", "n")))
+    return (top.limit(most) if most else top).agg(F.transform(pairs, lambda p: F.struct(p["value"].alias("value"), p["n"].alias("n"))).alias(name))
+
+
 def run_metrics(runs: DataFrame) -> DataFrame:
-    """One row: rates, averages and totals of runs, failure categories and top tools as maps."""
+    """One row of rates, averages and totals; models, failures and top tools as arrays of ``(value, n)``.
+
+    Completed runs are ``finished`` or ``text``. Verified counts among the
+    completed, positive among the rated; a rate of nothing is null.
+    """
     n = F.count(F.lit(1))
+    completed = F.col("status").isin("finished", "text")
+    share = lambda part, whole: F.round(F.try_divide(F.count_if(part), F.count_if(whole)), 3)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     s = runs.agg(
         n.alias("runs"),
-        rate(F.count_if(F.col("status") == "succeeded"), n).alias("success_rate"),
-        rate(F.count_if(F.col("verified")), n).alias("verified_rate"),
-        rate(F.count_if(F.col("feedback") > 0), F.count_if(F.col("feedback") != 0)).alias("positive_rate"),
-        F.round(F.avg("turns"), 4).alias("avg_turns"),
-        F.round(F.avg("duration_ms"), 2).alias("avg_ms"),
+        F.count_if(completed).alias("completed"),
+        F.round(F.try_divide(F.count_if(completed), n), 3).alias("success_rate"),
+        share(completed & F.coalesce("verified", F.lit(False)), completed).alias("verified_rate"),
+        share(F.col("feedback") == "up", F.col("feedback").isin("up", "down")).alias("positive_rate"),
+        F.round(F.avg("turns"), 2).alias("avg_turns"),
+        F.round(F.avg("tool_calls"), 2).alias("avg_tool_calls"),
+        F.round(F.avg("duration_ms")).cast("long").alias("avg_ms"),
+        *map(total, ("retries", "self_corrections", "input_tokens", "output_tokens")),
+        F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"),
     )
-
-    def counted(df: DataFrame, c: str, most: int) -> DataFrame:
-        top = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), c).limit(most)
-        return top.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(c), "n")))).alias(f"{c}s"))
-
     tools = runs.select(F.explode("trace").alias("step")).select(F.col("step.tool").alias("tool"))
-    return s.join(counted(runs, "error_type", 20), F.lit(True)).join(counted(tools, "tool", 5), F.lit(True))
+    models = runs.select(F.coalesce("model_name", F.lit("unknown")).alias("model"))
+    parts = (_counted(runs, "error_type", "failures"), _counted(models, "model", "models"), _counted(tools, "tool", "top_tools", 5))
+    return reduce(lambda a, b: a.join(b, F.lit(True)), parts, s)  # one row each
 
 
 def subsequence(wanted: Column, found: Column) -> Column:
@@ -77,48 +94,135 @@ def subsequence(wanted: Column, found: Column) -> Column:
     return F.aggregate(found, F.lit(0), step) == F.size(wanted)
 
 
-def verify_runs(runs: DataFrame) -> DataFrame:
-    """``request_id, passed, score, failed_checks``: the fixed checks of each run."""
-    tools = F.transform("trace", lambda t: t["tool"])
-    checks = {
-        "finished": F.col("status") == "succeeded",
-        "has_steps": F.size("trace") > 0,
-        "ends_with_finish": F.try_element_at(tools, F.lit(-1)) == "finish",
-        "no_failed_last_step": F.coalesce(F.try_element_at("trace", F.lit(-1))["status"] != "error", F.lit(False)),
-        "turns_counted": F.col("turns") >= 1,
+# Words of a request for data, and those that name an aggregate.
+DATA_INTENT = ("average", "avg", "count", "data", "filter", "group", "highest", "join", "lowest", "maximum", "minimum", "rows", "show", "sum", "table", "top", "total")
+AGGREGATES = {"avg": ("average", "avg", "mean"), "sum": ("total", "sum"), "min": ("minimum", "min"), "max": ("maximum", "max")}
+
+
+def _checks(rules: dict[str, tuple[Column, Column]]) -> Column:
+    """Names and outcomes of the rules ``name: (applies, passed)`` that apply."""
+    found = [F.when(applies, F.struct(F.lit(name).alias("name"), F.coalesce(passed, F.lit(False)).alias("passed"))) for name, (applies, passed) in rules.items()]
+    return F.filter(F.array(*found), lambda c: c.isNotNull())
+
+
+def _run_rules(most_rows: int) -> dict[str, tuple[Column, Column]]:
+    """The required checks of a run by its status, the kind of its result and its request."""
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce("query", F.lit("")), "_", " ")), F.lit("([a-z]+)"))
+    says = lambda names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
+    wanted = F.lit(None).cast("string")
+    for op, names in reversed(AGGREGATES.items()):
+        wanted = F.when(says(names), op).otherwise(wanted)
+    finished, kind = F.col("status") == "finished", F.col("result_kind")
+    value, has = F.col("result_value"), F.col("result_kind").isNotNull()
+    return {
+        "finish_selected": (finished, F.array_contains(F.transform("trace", lambda t: t["tool"]), "finish")),
+        "named_result": (finished, has),
+        "bounded_output": (finished & has, F.col("result_rows").isNull() | (F.col("result_rows") <= most_rows) | kind.isin("dataframe", "aggregate")),
+        "columns_present": (finished & kind.isin("table", "dataframe", "aggregate"), F.col("result_columns") > 0),
+        "aggregate_operation": (finished & (kind == "aggregate") & wanted.isNotNull(), F.col("result_operation") == wanted),
+        "finite_number": (finished & (kind == "number"), value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))),
+        "text_is_appropriate": (F.col("status") == "text", ~says(DATA_INTENT)),
     }
-    array = F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(c, F.lit(False)).alias("ok")) for k, c in checks.items()])
-    failed = F.transform(F.filter(array, lambda x: ~x["ok"]), lambda x: x["name"])
-    return runs.select("request_id", (F.size(failed) == 0).alias("passed"), F.round(1 - F.size(failed) / len(checks), 4).alias("score"), failed.alias("failed_checks"))
 
 
-def evaluate_suite(cases: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each case against its run: tools in order, none forbidden, within limits, answer as expected."""
-    j = cases.join(runs, "case_id", "left")
+def _graded(checks: Column) -> dict[str, Column]:
+    """Passed if there are checks and none fails; the score is the share that passes."""
+    good = F.size(F.filter(checks, lambda c: c["passed"]))
+    failed = F.transform(F.filter(checks, lambda c: ~c["passed"]), lambda c: c["name"])
+    return {"passed": (F.size(checks) > 0) & (good == F.size(checks)), "score": F.round(F.coalesce(F.try_divide(good, F.size(checks)), F.lit(0.0)), 3), "failed": failed}
+
+
+def verify_runs(runs: DataFrame, most_rows: int = 25) -> DataFrame:
+    """``request_id, passed, score, failed, tool_failed``: the fixed checks of each run.
+
+    Which checks apply follows from the run's status and result. A step that
+    ended in an error is told by ``tool_failed`` but decides nothing.
+    """
+    errors = F.coalesce(F.exists("trace", lambda t: t["status"] == "error"), F.lit(False))
+    checked = runs.withColumn("checks", _checks(_run_rules(most_rows)))
+    return checked.select("request_id", *[c.alias(n) for n, c in _graded(F.col("checks")).items()], errors.alias("tool_failed"))
+
+
+def evaluate_suite(cases: DataFrame, runs: DataFrame, most_rows: int = 25) -> DataFrame:
+    """``case_id, passed, score, failed``: each case against its run.
+
+    To the run's own checks come those of the case: tools in order, none
+    forbidden, kind of result, limits of turns and calls, the answer, and a
+    correction. What a case leaves null or empty is not asked for; a case
+    without a run fails.
+    """
     tools = F.coalesce(F.transform("trace", lambda t: t["tool"]), F.array().cast("array<string>"))
-    ok = {
-        "ran": F.col("request_id").isNotNull(),
-        "sequence": subsequence(F.col("expected_tools"), tools),
-        "forbidden": ~F.arrays_overlap(F.col("forbidden_tools"), tools),
-        "turns_ok": F.coalesce(F.col("turns") <= F.col("max_turns"), F.lit(False)),
-        "answer_ok": F.coalesce(F.lower("answer") == F.lower("expected_answer"), F.col("expected_answer").isNull()),
+    asked = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    given = lambda c: F.col(c).isNotNull()
+    rules = _run_rules(most_rows) | {
+        "ran": (F.col("request_id").isNull(), F.lit(False)),
+        "expected_tool_sequence": (asked(F.col("expected_tools")), subsequence(F.col("expected_tools"), tools)),
+        "forbidden_tools": (asked(F.col("forbidden_tools")), ~F.arrays_overlap("forbidden_tools", tools)),
+        "result_kind": (given("expected_kind"), F.col("result_kind") == F.col("expected_kind")),
+        "turn_efficiency": (given("max_turns"), F.col("turns") <= F.col("max_turns")),
+        "tool_efficiency": (given("max_tool_calls"), F.col("tool_calls") <= F.col("max_tool_calls")),
+        "answer_accuracy": (given("expected_answer"), F.col("answer") == F.col("expected_answer")),
+        "self_correction_success": (F.coalesce("required_correction", F.lit(False)), (F.col("status") == "finished") & (F.col("self_corrections") > 0)),
     }
-    out = j.select("case_id", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in ok.items()])
-    return out.withColumn("passed", F.expr(" and ".join(ok)))
+    checked = cases.join(runs, "case_id", "left").withColumn("checks", _checks(rules))
+    return checked.select("case_id", *[c.alias(n) for n, c in _graded(F.col("checks")).items()])
+
+
+def suite_metrics(evaluated: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: passed and failed cases, mean score, rates, retries, latency, tokens and cost of their runs."""
+    j = evaluated.join(runs, "case_id", "left")
+    corrected, finished, n = F.coalesce(F.col("self_corrections") > 0, F.lit(False)), F.coalesce(F.col("status") == "finished", F.lit(False)), F.count(F.lit(1))
+    third = lambda a, b: F.round(F.try_divide(a, b), 3)
+    return j.agg(
+        F.count_if("passed").alias("passed"),
+        F.count_if(~F.col("passed")).alias("failed"),
+        F.round(F.avg("score"), 3).alias("average_score"),
+        third(F.count_if(finished), n).alias("execution_success_rate"),
+        third(F.count_if("passed"), n).alias("answer_accuracy_rate"),
+        third(F.count_if(corrected & finished), F.count_if(corrected)).alias("self_correction_success_rate"),
+        F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"),
+        F.round(F.avg("duration_ms")).cast("long").alias("average_latency_ms"),
+        F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.lit(0)).alias("tokens"),
+        F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"),
+    )
 
 
-def similar_texts(queries: DataFrame, history: DataFrame, k: int = 3, bonus: str | None = None) -> DataFrame:
-    """``query_id, item_id, score, rank``: the k most similar past texts of each query by Jaccard.
+def similar_runs(targets: DataFrame, runs: DataFrame, k: int = 3, last: int = 100, schema_words: tuple[str, ...] = ()) -> DataFrame:
+    """``id, request_id, score, rank``: past runs to learn from, for each target ``(id, user_id, goal)``.
 
-    Both sides are ``(id, tokens)``; candidates share a token. Shared tokens are
-    counted by an equi-join of distinct tokens, so no pair without one is made.
+    Candidates are the ``last`` newest runs of the user that completed, were not
+    rated down, have steps and did not fail their verification; so a target is
+    compared with ``last`` runs at most. The score is the Jaccard similarity of
+    the goals' signatures, and 0.15 more where rated up; newer runs win ties.
+    Of runs without any similarity only a first one is given.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.size("tokens").alias("qn"), F.explode("tokens").alias("t"))
-    h = history.select(F.col("id").alias("item_id"), F.size("tokens").alias("hn"), (F.col(bonus) if bonus else F.lit(0.0)).alias("bonus"), F.explode("tokens").alias("t"))
-    g = q.join(h, "t").groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("both"), F.first("qn").alias("qn"), F.first("hn").alias("hn"), F.first("bonus").alias("bonus"))
-    score = F.round(F.col("both") / (F.col("qn") + F.col("hn") - F.col("both")) + F.col("bonus"), 6)
-    ranked = g.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "item_id", "score", "rank")
+    fit = F.col("status").isin("finished", "text") & (F.coalesce("feedback", F.lit("")) != "down") & F.coalesce("verified", F.lit(True)) & (F.size("trace") > 0)
+    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("request_id")))
+    recent = runs.filter(F.col("status").isin("finished", "text") & (F.coalesce("feedback", F.lit("")) != "down")).withColumn("age", newest).filter(F.col("age") <= last)
+    past = recent.filter(fit).select("user_id", "request_id", "age", "feedback", expr.goal_words(F.col("goal"), schema_words).alias("then"))
+    now = targets.select("id", "user_id", expr.goal_words(F.col("goal"), schema_words).alias("now"))
+    score = expr.jaccard(F.col("now"), F.col("then")) + F.when(F.col("feedback") == "up", 0.15).otherwise(0.0)
+    both = now.join(past, "user_id").withColumn("score", F.round(score, 6))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "age")))
+    return ranked.filter((F.col("rank") <= k) & ((F.col("score") > 0) | (F.col("rank") == 1))).select("id", "request_id", "score", "rank")
+
+
+def daily_agent(runs: DataFrame) -> DataFrame:
+    """Runs by day and project: success, verification, advanced tier, tokens, cost, durations."""
+    n, finished = F.count(F.lit(1)), F.count_if(F.col("status") == "finished")
+    return runs.groupBy("dt", "project_id").agg(
+        n.alias("runs"),
+        finished.alias("finished"),
+        F.round(finished / n, 4).alias("success_rate"),
+        F.round(F.avg(F.when(F.col("verified"), 1).otherwise(0)), 4).alias("verification_pass_rate"),
+        F.count_if(F.col("routing_tier") == "advanced").alias("advanced_runs"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+        F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        F.round(F.avg("duration_ms")).alias("avg_duration_ms"),
+        F.percentile("duration_ms", 0.95).alias("p95_duration_ms"),
+        F.round(F.avg("tool_calls"), 2).alias("avg_tool_calls"),
+    )
 
 
 def request_cap(events: DataFrame, cap: int) -> DataFrame:
@@ -133,5 +237,3 @@ def token_cap(events: DataFrame, cap: float, tokens: str) -> DataFrame:
     return events.withColumn("admitted", F.coalesce(F.sum(tokens).over(w), F.lit(0)) < cap)
 
 
-def goal_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), expr.redact_literals(F.col(text_col)).alias("tokens"))

@@ -30,8 +30,9 @@ def missingness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return unpivot_row(row, [(c, [("missing", F.col(f"m{k}")), ("rate", rate(k))]) for k, c in enumerate(columns)])
 
 
-def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, invalid, quartiles, moments (population) and zeros of each column. One pass."""
+def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 4) -> DataFrame:
+    """Count, invalid, quartiles, moments (population) and zeros of each column, in one pass; rounded to ``digits`` unless None."""
+    shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     cells, parts = [], []
     for k, c in enumerate(columns):
         v = R._numeric(df, c)
@@ -51,7 +52,7 @@ def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
         cells += [x.alias(f"{n}{k}") for n, x in calls.items()]
         skew = F.when((F.col(f"count{k}") > 2) & (F.col(f"std{k}") > 0), F.round(finite_or_null(F.col(f"m3{k}")), 4))
         plain = [(n, F.col(f"{n}{k}")) for n in ("count", "invalid", "zeros")]
-        parts.append((c, [*plain, *[(n, F.round(F.col(f"{n}{k}"), 4)) for n in ("min", "q1", "median", "mean", "q3", "max", "std")], ("skewness", skew)]))
+        parts.append((c, [*plain, *[(n, shown(F.col(f"{n}{k}"))) for n in ("min", "q1", "median", "mean", "q3", "max", "std")], ("skewness", skew)]))
     return unpivot_row(df.agg(*cells), parts)
 
 
@@ -61,7 +62,7 @@ def finite_or_null(c: Column) -> Column:
 
 def iqr_outliers(df: DataFrame, columns: list[str], least: int = 30) -> DataFrame:
     """Values beyond 1.5 IQR of the quartiles and a label of the tails; needs ``least`` values."""
-    q = numeric_summary(df, columns).select("column", "count", "q1", "q3", "skewness")
+    q = numeric_summary(df, columns, digits=None).select("column", "count", "q1", "q3", "skewness")
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), R._numeric(df, c).alias("v")) for c in columns])
     span = F.col("q3") - F.col("q1")
     out = F.count_if((F.col("v") < F.col("q1") - 1.5 * span) | (F.col("v") > F.col("q3") + 1.5 * span))
@@ -102,8 +103,7 @@ def time_summary(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
-    """Pearson's r of each pair of columns over rows that hold both; constants have none."""
-    columns = columns[:12]
+    """Pearson's r of each pair of columns over rows that hold both; constants have none. The ``top`` strongest, by default ten."""
     cells, parts = [], []
     for k, (a, b) in enumerate(combinations(columns, 2)):
         x, y = R._numeric(df, a), R._numeric(df, b)

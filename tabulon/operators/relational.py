@@ -31,10 +31,10 @@ def project(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def select_columns(df: DataFrame, columns: list[str], limit: int = 25) -> DataFrame:
-    """Strict projection of the first rows; an unknown column raises."""
+    """Strict projection of the first ``limit`` rows, in no order; an unknown column raises."""
     if unknown := [c for c in columns if c not in df.columns]:
         raise ValueError(f"unknown columns: {unknown}")
-    return df.select(*columns).limit(min(limit, 25))
+    return df.select(*columns).limit(limit)
 
 
 def _literal_date(value: object):
@@ -325,9 +325,13 @@ def period_change(df: DataFrame, period: str, value: str) -> DataFrame:
 def concentration(df: DataFrame, entity: str, measure: str, top: int = 10, share: float = 0.2) -> DataFrame:
     """Share of the top entities and of the top fifth of them (Pareto), in one row."""
     totals = df.filter(~expr.is_blank(F.col(entity))).groupBy(entity).agg(F.sum(_numeric(df, measure)).alias("v")).filter("v is not null")
-    ranked = totals.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("v"), entity))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    part = lambda cond: F.round(F.try_divide(F.sum(F.when(cond, F.col("v"))), F.sum("v")) * 100, 2)
-    out = ranked.agg(F.count(F.lit(1)).alias("entities"), part(F.col("rn") <= top).alias("top_share_pct"), part(F.col("rn") <= F.ceil(F.col("n") * share)).alias("pareto_share_pct"))
+    # Entities of one value are one row: the running sums go over distinct values, and a value on the edge counts in part.
+    values = totals.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+    upto = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.withColumn("before", F.coalesce(F.sum("k").over(upto), F.lit(0))).withColumn("n", F.sum("k").over(Window.partitionBy()))
+    held = lambda most: F.greatest(F.lit(0), F.least(F.col("k"), most - F.col("before"))) * F.col("v")
+    part = lambda most: F.round(F.try_divide(F.sum(held(most)), F.sum(F.col("k") * F.col("v"))) * 100, 2)
+    out = ranked.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("entities"), part(F.lit(top)).alias("top_share_pct"), part(F.ceil(F.col("n") * share)).alias("pareto_share_pct"))
     return out.withColumn("concentrated", F.col("pareto_share_pct") >= 60)
 
 

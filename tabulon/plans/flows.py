@@ -100,47 +100,143 @@ r.add(
     max(load_id) FILTER (status = 'succeeded') AS load_id, arg_max(dt, load_id) FILTER (status = 'succeeded') AS last_day, arg_max(rows_out, load_id) FILTER (status = 'succeeded') AS last_rows FROM l GROUP BY 1, 2""",
     "orders",
 )(lambda o: marts.dataset_health(_ledger(o)).select("project_id", "dataset", "loads", "not_succeeded", "rows_out", "load_id", F.to_date("last_success_at").alias("last_day"), "last_rows"))
-r.add("load_report", None, "orders")(lambda o: loads.load_report(_ledger(o)))
+_DONE = "count(*) FILTER (status IN ('succeeded', 'quarantined', 'failed'))"
+r.add(
+    "load_report",
+    f"""WITH {_LOADS}, s AS (SELECT * FROM l WHERE status = 'succeeded'), p AS (SELECT duration_ms, row_number() OVER (ORDER BY duration_ms) - 1 AS pos, count(*) OVER () - 1 AS n FROM s),
+    a AS (SELECT count(*) AS loads_total, count(*) FILTER (dt >= DATE '1998-01-01') AS loads_24h, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'failed') AS failed, 0 AS rolled_back, 0 AS other_status,
+      sum(rows_out) FILTER (status = 'succeeded') AS rows_loaded, 0 AS rows_rejected, 0 AS raw_bytes, floor(avg(duration_ms) FILTER (status = 'succeeded')) AS avg_ms, max(duration_ms) FILTER (status = 'succeeded') AS max_ms,
+      round(sum(rows_out) FILTER (status = 'succeeded') / (sum(duration_ms) FILTER (status = 'succeeded') / 1000), 1) AS rows_per_s, round(count(*) FILTER (status = 'quarantined') / {_DONE}, 4) AS quarantine_rate, round(count(*) FILTER (status = 'failed') / {_DONE}, 4) AS failure_rate,
+      (SELECT max(duration_ms) FROM p WHERE pos = round_even(0.5 * n, 0)) AS p50, (SELECT max(duration_ms) FROM p WHERE pos = round_even(0.95 * n, 0)) AS p95 FROM l)
+    SELECT metric, CAST(value AS DOUBLE) AS value FROM (SELECT {{}} FROM a) UNPIVOT (value FOR metric IN (COLUMNS(*)))""".replace(
+        "{}", ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("loads_total", "loads_24h", "succeeded", "quarantined", "failed", "rolled_back", "other_status", "rows_loaded", "rows_rejected", "raw_bytes", "avg_ms", "max_ms", "rows_per_s", "quarantine_rate", "failure_rate", "p50", "p95"))
+    ),
+    "orders",
+)(lambda o: loads.load_report(_ledger(o), F.lit("1998-01-02").cast("timestamp")))
+r.add(
+    "loads_by_dataset",
+    f"""WITH {_LOADS}, m AS (SELECT *, (dt, load_id) AS o FROM l) SELECT dataset, count(*) AS loads, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'failed') AS failed,
+    arg_max(load_id, o) AS last_load_id, arg_max(status, o) AS last_status, arg_max(rows_out, o) FILTER (status = 'succeeded') AS rows_current FROM m GROUP BY 1""",
+    "orders",
+)(lambda o: loads.loads_by_dataset(_ledger(o)).drop("last_mode", "last_finished_at", "quality_status"))
+r.add("recent_loads", f"WITH {_LOADS} SELECT load_id, dataset, status, rows_out FROM l ORDER BY dt DESC, load_id DESC LIMIT 20", "orders")(lambda o: loads.recent_loads(_ledger(o)).select("load_id", "dataset", "status", "rows_out"))
 
 
 # ---------------------------------------------------------------- runs
 
 
 def _runs(o: DataFrame, li: DataFrame) -> DataFrame:
-    """Orders as runs: their lines are the steps, most end with ``finish``. An order has few lines."""
-    steps = li.groupBy(F.col("l_orderkey").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("lines"))
-    ok = F.lit("ok").alias("status")
-    trace = F.transform("lines", lambda x: F.struct(x["l_returnflag"].alias("tool"), ok))
+    """Orders as runs of an assistant: their lines are the steps, most end with ``finish``. An order has few lines."""
+    failed = (F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 7 == 0)
+    line = F.struct("l_linenumber", F.col("l_returnflag").alias("tool"), F.when(failed, "error").otherwise("ok").alias("status"))
+    steps = li.groupBy(F.col("l_orderkey").alias("request_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
     k = F.col("request_id")
-    head = o.select(F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderstatus") == "F", "succeeded").otherwise("failed").alias("status"), F.col("o_orderstatus").alias("answer"))
-    runs = head.join(steps, "request_id").withColumns({"case_id": k, "turns": k % 9, "verified": k % 2 == 0, "feedback": k % 3 - 1, "duration_ms": k % 100, "error_type": F.when(F.col("status") == "failed", "order_open")})
-    return runs.withColumn("trace", F.when(k % 4 == 0, trace).otherwise(F.concat(trace, F.array(F.struct(F.lit("finish").alias("tool"), ok))))).drop("lines")
+    one_of = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k % len(v) + 1).cast("int"))
+    head = o.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderstatus").alias("answer"), F.col("o_totalprice").alias("price"), F.to_date("o_orderdate").alias("dt"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("user_id"))
+    trace = F.transform("lines", lambda x: F.struct(x["tool"].alias("tool"), x["status"].alias("status")))
+    finish = F.array(F.struct(F.lit("finish").alias("tool"), F.lit("ok").alias("status")))
+    runs = head.join(steps, "request_id").withColumn("trace", F.when(k % 6 == 0, trace).otherwise(F.concat(trace, finish))).drop("lines")
+    kind = one_of(None, "table", "dataframe", "aggregate", "number", "aggregate", "table", "number")
+    runs = runs.withColumns({
+        "case_id": k, "project_id": k % 3, "status": one_of("text", "failed", "finished", "finished", "finished"), "query": one_of("total price of orders", "average price", "hello there", "MAX_price by customer"),
+        "result_kind": kind, "result_rows": k % 50, "result_columns": k % 5, "result_operation": one_of("sum", "avg", "max"), "result_value": F.when(k % 16 == 4, float("nan")).otherwise(F.col("price")),
+        "verified": k % 2 == 0, "feedback": one_of("up", "down", None), "turns": k % 9, "tool_calls": F.size("trace"), "duration_ms": k % 100, "model_name": one_of("m0", "m1", None, "m1"), "routing_tier": one_of("advanced", "basic"),
+        "retries": k % 3, "self_corrections": k % 4, "input_tokens": k % 1000, "output_tokens": k % 100, "cost_usd": (k % 50) / 1000.0,
+    })
+    return runs.withColumn("error_type", F.when(F.col("status") == "failed", one_of("timeout", "no_result")))
+
+
+_RUNS = """t AS (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS has_r, bool_or(l_returnflag = 'A') AS has_a, bool_or(l_linenumber = 1 AND l_orderkey % 7 = 0) AS tool_failed, count(*) AS lines FROM lineitem GROUP BY 1),
+  run AS (SELECT o_orderkey AS k, o_custkey AS user_id, o_orderdate AS created_at, o_orderstatus AS answer, tool_failed, has_r, has_a, CAST(o_orderdate AS DATE) AS dt, o_orderkey % 3 AS project_id, o_orderkey % 6 <> 0 AS finish, lines + CASE WHEN o_orderkey % 6 <> 0 THEN 1 ELSE 0 END AS tool_calls,
+    ['text', 'failed', 'finished', 'finished', 'finished'][o_orderkey % 5 + 1] AS status, o_orderkey % 4 AS query, [NULL, 'table', 'dataframe', 'aggregate', 'number', 'aggregate', 'table', 'number'][o_orderkey % 8 + 1] AS kind,
+    ['up', 'down', NULL][o_orderkey % 3 + 1] AS feedback, ['sum', 'avg', 'max'][o_orderkey % 3 + 1] AS operation FROM orders JOIN t ON l_orderkey = o_orderkey),
+  f AS (SELECT *, status = 'finished' AS fin, ['sum', 'avg', NULL, 'max'][query + 1] AS wanted FROM run),
+  c AS (SELECT *, list_filter([
+      CASE WHEN fin THEN ('finish_selected', finish) END, CASE WHEN fin THEN ('named_result', kind IS NOT NULL) END,
+      CASE WHEN fin AND kind IS NOT NULL THEN ('bounded_output', k % 50 <= 25 OR kind IN ('dataframe', 'aggregate')) END,
+      CASE WHEN fin AND kind IN ('table', 'dataframe', 'aggregate') THEN ('columns_present', k % 5 > 0) END,
+      CASE WHEN fin AND kind = 'aggregate' AND wanted IS NOT NULL THEN ('aggregate_operation', operation = wanted) END,
+      CASE WHEN fin AND kind = 'number' THEN ('finite_number', k % 16 <> 4) END,
+      CASE WHEN status = 'text' THEN ('text_is_appropriate', query NOT IN (0, 1)) END], lambda x: x IS NOT NULL) AS checks FROM f)"""
+_GRADED = """len(checks) > 0 AND len(list_filter(checks, lambda x: NOT x[2])) = 0 AS passed, CASE WHEN len(checks) > 0 THEN round(len(list_filter(checks, lambda x: x[2])) / len(checks), 3) ELSE 0.0 END AS score,
+    array_to_string(list_transform(list_filter(checks, lambda x: NOT x[2]), lambda x: x[1]), ',') AS failed"""
+
+
+def _cases(o: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    words = lambda *w: F.array(*map(F.lit, w))
+    return o.select(
+        k.alias("case_id"), F.when(k % 2 == 0, words("R", "finish")).alias("expected_tools"), F.when(k % 3 == 0, words("A")).alias("forbidden_tools"),
+        F.when(k % 8 == 1, "table").alias("expected_kind"), F.when(k % 4 == 0, 6).alias("max_turns"), F.when(k % 4 == 1, 5).alias("max_tool_calls"), F.when(k % 5 == 2, "F").alias("expected_answer"), (k % 10 == 3).alias("required_correction"),
+    )
 
 
 def _suite(o: DataFrame, li: DataFrame) -> DataFrame:
-    words = lambda *w: F.array(*map(F.lit, w))
-    cases = o.select(F.col("o_orderkey").alias("case_id"), words("R", "finish").alias("expected_tools"), words("A").alias("forbidden_tools"), F.lit(6).alias("max_turns"), F.lit("f").alias("expected_answer"))
-    return marts.evaluate_suite(cases, _runs(o, li))
+    return marts.evaluate_suite(_cases(o), _runs(o, li))
+
 
+_SUITE = f"""{_RUNS}, e AS (SELECT o_orderkey AS case_id, c.* EXCLUDE (checks), CASE WHEN k IS NULL THEN [('ran', false)] ELSE checks || list_filter([
+    CASE WHEN k % 2 = 0 THEN ('expected_tool_sequence', has_r AND finish) END, CASE WHEN k % 3 = 0 THEN ('forbidden_tools', NOT has_a) END, CASE WHEN k % 8 = 1 THEN ('result_kind', kind = 'table') END,
+    CASE WHEN k % 4 = 0 THEN ('turn_efficiency', k % 9 <= 6) END, CASE WHEN k % 4 = 1 THEN ('tool_efficiency', tool_calls <= 5) END, CASE WHEN k % 5 = 2 THEN ('answer_accuracy', answer = 'F') END,
+    CASE WHEN k % 10 = 3 THEN ('self_correction_success', fin AND k % 4 > 0) END], lambda x: x IS NOT NULL) END AS checks FROM orders LEFT JOIN c ON k = o_orderkey)"""
+
+r.add("verify_runs", f"WITH {_RUNS} SELECT k AS request_id, {_GRADED}, tool_failed FROM c", "orders", "lineitem")(lambda o, li: marts.verify_runs(_runs(o, li)).withColumn("failed", F.array_join("failed", ",")))
+r.add("evaluate_suite", f"WITH {_SUITE} SELECT case_id, {_GRADED.replace('checks) > 0 AND', 'checks) > 0 AND k IS NOT NULL AND')} FROM e WHERE k IS NOT NULL", "orders", "lineitem")(
+    lambda o, li: _suite(o, li).join(li.select(F.col("l_orderkey").alias("case_id")).distinct(), "case_id", "left_semi").withColumn("failed", F.array_join("failed", ","))
+)
+r.add(
+    "suite_metrics",
+    f"""WITH {_SUITE}, g AS (SELECT *, {_GRADED} FROM e WHERE k IS NOT NULL) SELECT count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, round(avg(score), 3) AS average_score, round(count(*) FILTER (fin) / count(*), 3) AS execution_success_rate,
+    round(count(*) FILTER (passed) / count(*), 3) AS answer_accuracy_rate, round(count(*) FILTER (fin AND k % 4 > 0) / count(*) FILTER (k % 4 > 0), 3) AS self_correction_success_rate, CAST(sum(k % 3) AS BIGINT) AS retries,
+    CAST(round(avg(k % 100)) AS BIGINT) AS average_latency_ms, CAST(sum(k % 1000 + k % 100) AS BIGINT) AS tokens, round(sum((k % 50) / 1000.0), 6) AS cost_usd FROM g""",
+    "orders",
+    "lineitem",
+)(lambda o, li: marts.suite_metrics(marts.evaluate_suite(_cases(o).join(li.select(F.col("l_orderkey").alias("case_id")).distinct(), "case_id", "left_semi"), _runs(o, li)), _runs(o, li)))
 
+_PAIRS = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws("=", p["value"], p["n"].cast("string"))), ";")
+r.add(
+    "run_metrics",
+    f"""WITH {_RUNS}, d AS (SELECT status IN ('finished', 'text') AS done, * FROM run),
+    m AS (SELECT string_agg(v || '=' || n, ';' ORDER BY n DESC, v) AS s FROM (SELECT ['m0', 'm1', 'unknown', 'm1'][k % 4 + 1] AS v, count(*) AS n FROM d GROUP BY 1)),
+    x AS (SELECT string_agg(v || '=' || n, ';' ORDER BY n DESC, v) AS s FROM (SELECT ['timeout', 'no_result'][k % 2 + 1] AS v, count(*) AS n FROM d WHERE status = 'failed' GROUP BY 1)),
+    u AS (SELECT string_agg(v || '=' || n, ';' ORDER BY n DESC, v) AS s FROM (SELECT v, count(*) AS n FROM (SELECT l_returnflag AS v FROM lineitem JOIN run ON k = l_orderkey UNION ALL SELECT 'finish' FROM run WHERE finish) GROUP BY 1))
+    SELECT count(*) AS runs, count(*) FILTER (done) AS completed, round(count(*) FILTER (done) / count(*), 3) AS success_rate, round(count(*) FILTER (done AND k % 2 = 0) / count(*) FILTER (done), 3) AS verified_rate,
+      round(count(*) FILTER (feedback = 'up') / count(*) FILTER (feedback IS NOT NULL), 3) AS positive_rate, round(avg(k % 9), 2) AS avg_turns, round(avg(tool_calls), 2) AS avg_tool_calls, CAST(round(avg(k % 100)) AS BIGINT) AS avg_ms,
+      CAST(sum(k % 3) AS BIGINT) AS retries, CAST(sum(k % 4) AS BIGINT) AS self_corrections, CAST(sum(k % 1000) AS BIGINT) AS input_tokens, CAST(sum(k % 100) AS BIGINT) AS output_tokens, round(sum((k % 50) / 1000.0), 6) AS cost_usd,
+      (SELECT s FROM x) AS failures, (SELECT s FROM m) AS models, (SELECT s FROM u) AS top_tools FROM d""",
+    "orders",
+    "lineitem",
+)(lambda o, li: marts.run_metrics(_runs(o, li)).withColumns({c: _PAIRS(c) for c in ("failures", "models", "top_tools")}))
 r.add(
-    "verify_runs",
-    """WITH k AS (SELECT o_orderkey, o_orderstatus = 'F' AS a, o_orderkey % 4 <> 0 AS b, o_orderkey % 9 >= 1 AS c FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey))
-    SELECT o_orderkey AS request_id, a AND b AND c AS passed, round(1 - (CAST(NOT a AS INT) + CAST(NOT b AS INT) + CAST(NOT c AS INT)) / 5, 4) AS score,
-    concat_ws(',', CASE WHEN NOT a THEN 'finished' END, CASE WHEN NOT b THEN 'ends_with_finish' END, CASE WHEN NOT c THEN 'turns_counted' END) AS failed_checks FROM k""",
+    "daily_agent",
+    f"""WITH {_RUNS} SELECT dt, project_id, count(*) AS runs, count(*) FILTER (status = 'finished') AS finished, round(count(*) FILTER (status = 'finished') / count(*), 4) AS success_rate, round(avg(CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END), 4) AS verification_pass_rate,
+    count(*) FILTER (k % 2 = 0) AS advanced_runs, CAST(sum(k % 1000) AS BIGINT) AS input_tokens, CAST(sum(k % 100) AS BIGINT) AS output_tokens, round(sum((k % 50) / 1000.0), 6) AS cost_usd, round(avg(k % 100)) AS avg_duration_ms,
+    quantile_cont(k % 100, 0.95) AS p95_duration_ms, round(avg(tool_calls), 2) AS avg_tool_calls FROM run GROUP BY 1, 2""",
     "orders",
     "lineitem",
-)(lambda o, li: marts.verify_runs(_runs(o, li)).withColumn("failed_checks", F.array_join("failed_checks", ",")))
+)(lambda o, li: marts.daily_agent(_runs(o, li)))
+_GOALS = ("total price per customer", "Show the average of 12 orders", "rank 'A B' by price, top 5", "mail me@x.org the trend")
+
+
+def _similar(o: DataFrame, li: DataFrame) -> DataFrame:
+    """For each order as a new request, what to learn from its customer's other orders."""
+    goal = F.element_at(F.array(*map(F.lit, _GOALS)), (F.col("request_id") % 4 + 1).cast("int"))
+    runs = _runs(o, li).withColumn("goal", goal)
+    now = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.element_at(F.array(*map(F.lit, _GOALS)), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("goal"))
+    return marts.similar_runs(now, runs, schema_words=("price", "customer", "orders"))
+
+
 r.add(
-    "evaluate_suite",
-    """WITH l AS (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS has_r, bool_or(l_returnflag = 'A') AS has_a FROM lineitem GROUP BY 1),
-    c AS (SELECT o_orderkey AS case_id, l_orderkey IS NOT NULL AS ran, coalesce(has_r AND o_orderkey % 4 <> 0, false) AS sequence, NOT coalesce(has_a, false) AS forbidden,
-      l_orderkey IS NOT NULL AND o_orderkey % 9 <= 6 AS turns_ok, l_orderkey IS NOT NULL AND o_orderstatus = 'F' AS answer_ok FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
-    SELECT *, ran AND sequence AND forbidden AND turns_ok AND answer_ok AS passed FROM c""",
+    "similar_runs",
+    f"""WITH {_RUNS}, g AS (SELECT [['total', 'price', 'per', 'customer'], ['average', 'number', 'orders'], ['rank', 'value', 'price', 'top', 'number'], ['value', 'trend']] AS w),
+    p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, k DESC) AS age FROM run WHERE status IN ('finished', 'text') AND coalesce(feedback, '') <> 'down'),
+    j AS (SELECT o_orderkey AS id, p.k AS request_id, age, w[o_orderkey % 3 + 1] AS a, w[p.k % 4 + 1] AS b, feedback FROM orders JOIN p ON p.user_id = o_custkey, g WHERE age <= 100 AND p.k % 2 = 0),
+    s AS (SELECT *, round(len(list_intersect(a, b)) / len(list_distinct(a || b)) + CASE WHEN feedback = 'up' THEN 0.15 ELSE 0 END, 6) AS score FROM j),
+    q AS (SELECT id, request_id, score, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, age) AS INT) AS rank FROM s)
+    SELECT * FROM q WHERE rank <= 3 AND (score > 0 OR rank = 1)""",
     "orders",
     "lineitem",
-)(_suite)
-r.add("run_metrics", None, "orders", "lineitem")(lambda o, li: marts.run_metrics(_runs(o, li)))
+)(_similar)
 
 
 # ---------------------------------------------------------------- streams

@@ -70,17 +70,16 @@ class CachedEncoder:
     stands before it unless both are white space, so a text may be cut before
     each single space and the ids of the pieces joined. A piece of plain words
     is cut further, before its punctuation and before single line breaks, where
-    the pre-tokenizer cuts as well. Pieces and words repeat; the library encodes
-    each once, all new ones of a text in one call, and their ids are told apart
-    by the bytes that they stand for. Texts with a run of white space that a cut
-    could part go to the library whole. The result equals ``encode`` on every
-    text (tested).
-
-    Pieces and words live in two generations each; a full one replaces the
-    older, so frequent ones stay and memory is bounded.
+    the pre-tokenizer cuts as well. Words repeat; the library encodes all new ones
+    of some texts in one call, and their ids are told apart by the bytes that
+    they stand for. Texts with a run of white space that a cut could part go to
+    the library whole. The result equals ``encode`` on every text (tested).
+
+    Words that come again are remembered, in two generations; a full one
+    replaces the older, so frequent words stay and memory is bounded.
     """
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -90,25 +89,19 @@ class CachedEncoder:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, k in vocab.items():
             self.width[k] = len(token)  # one character stands for one byte
-        self.half, self.known, self.older = max_pieces // 2, {}, {}
-        self.words, self.older_words = {}, {}
+        self.half, self.words, self.older = max_words // 2, {}, {}
+        self.seen = bytearray(1 << 23)  # by hash: words met once
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Make every piece known, for the time being."""
-        if len(self.known) > self.half:
-            self.known, self.older = {}, self.known
-        if len(self.words) > self.half:
-            self.words, self.older_words = {}, self.words
-        known, older = self.known, self.older
-        missing = set(pieces).difference(known)
-        again = [p for p in missing if p in older]
-        known.update(zip(again, map(older.__getitem__, again), strict=True))
-        single, cut = [], {}
-        for p in missing.difference(again):
+    def piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of the distinct ``pieces`` after a space."""
+        cut: dict[str, list[str]] = {}
+        out: dict[str, bytes] = {}
+        single = []
+        for p in pieces:
             if p.isalpha():
                 single.append(p)
             elif _PLAIN.fullmatch(p):
@@ -117,38 +110,72 @@ class CachedEncoder:
             elif p and not p[0].isspace() and not p[-1].isspace():
                 single.append(p)
             else:
-                known[p] = self.whole([" " + p])[0]
+                out[p] = self.whole([" " + p])[0]
         own = [" " + p for p in single]
-        self.learn_words({w for parts in cut.values() for w in parts}.union(own))
-        words = self.words
-        known.update(zip(single, map(words.__getitem__, own), strict=True))
+        known = self.word_ids({w for parts in cut.values() for w in parts}.union(own))
+        out.update(zip(single, map(known.__getitem__, own), strict=True))
         for p, parts in cut.items():
-            known[p] = b"".join([words[w] for w in parts])
+            out[p] = b"".join([known[w] for w in parts])
+        return list(map(out.__getitem__, pieces))
 
-    def learn_words(self, wanted: set[str]) -> None:
-        words, older = self.words, self.older_words
-        wanted = wanted.difference(words)
-        again = [w for w in wanted if w in older]
+    def word_ids(self, wanted: set[str]) -> dict[str, bytes]:
+        if len(self.words) > self.half:
+            self.words, self.older = {}, self.words
+        words, older, seen = self.words, self.older, self.seen
+        missing = wanted.difference(words)
+        again = [w for w in missing if w in older]
         words.update(zip(again, map(older.__getitem__, again), strict=True))
         # A word starts with its space or line break, so words may stand side by side; punctuation may not.
         new, marks = [], []
-        for w in wanted.difference(again):
+        for w in missing.difference(again):
             (marks if w[0] in ".,;:!?" else new).append(w)
-        words.update(zip(marks, self.whole(marks), strict=True))
+        fresh = dict(zip(marks, self.whole(marks), strict=True))
         if new:
-            ids = np.frombuffer(self.whole(["".join(new)])[0], dtype="<u4")
-            sizes = list(map(len, new)) if "".join(new).isascii() else [len(w.encode("utf-8", "surrogatepass")) for w in new]
+            line = "".join(new)
+            ids = np.frombuffer(self.whole([line])[0], dtype="<u4")
+            sizes = list(map(len, new)) if line.isascii() else [len(w.encode("utf-8", "surrogatepass")) for w in new]
             cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1)).tolist()]
             raw = ids.tobytes()
-            words.update(zip(new, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        cuts = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        self.learn([p for c in cuts if c for p in c[1:]])
-        get = self.known.__getitem__
-        first = iter(self.whole([t if c is None else c[0] for t, c in zip(texts, cuts, strict=True)]))
-        return [next(first) if c is None else next(first) + b"".join(map(get, c[1:])) for c in cuts]
+            fresh.update(zip(new, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        for w, ids in fresh.items():
+            at = hash(w) & 0x7FFFFF
+            if seen[at]:
+                words[w] = ids
+            else:
+                seen[at] = 1
+        held = wanted.difference(fresh)
+        fresh.update(zip(held, map(words.__getitem__, held), strict=True))
+        return fresh
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers.
+
+        Pieces are told apart as arrays, so Python handles each distinct piece
+        of these texts once; the ids of all occurrences are then gathered.
+        """
+        unsafe = np.array([_UNSAFE.search(t) is not None for t in texts.to_pylist()], dtype=bool)
+        out: list[bytes] = [b""] * len(texts)
+        for k in np.flatnonzero(unsafe).tolist():
+            out[k] = self.whole([texts[k].as_py()])[0]
+        rows = np.flatnonzero(~unsafe)
+        if not len(rows):
+            return out
+        parts = pc.split_pattern(texts.take(pa.array(rows)), " ")
+        bounds = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        which, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        firsts = self.whole([pieces[k] for k in which[bounds[:-1]]])  # a first piece has no space before it
+        which[bounds[:-1]] = len(pieces) + np.arange(len(rows))
+        ids = [*self.piece_ids(pieces), *firsts]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        source, starts = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        joined = source[np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[bounds].tolist()
+        for k, a, b in zip(rows.tolist(), cuts, cuts[1:], strict=False):
+            out[k] = joined[a:b].tobytes()
+        return out
 
 
 @cache
@@ -244,13 +271,13 @@ class FrameReader:
         return np.frombuffer(self.frame(int(e["frame"])), dtype="<u4")[int(e["first"]) : int(e["first"] + e["n"])]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of ``rows`` rows; of one, where such a part has over ``chars`` bytes of text."""
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500, chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of ``rows`` rows; of fewer, down to one, where a part has over ``chars`` bytes of text."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            if pc.sum(pc.binary_length(part.column(2))).as_py() > chars:
-                yield from (part.slice(k, 1) for k in range(part.num_rows))
+            if rows > 1 and pc.sum(pc.binary_length(part.column(2))).as_py() > chars:
+                yield from _slices(iter([part]), -(-rows // 8), chars)
             else:
                 yield part
 
@@ -280,7 +307,7 @@ def write_token_files(
     files: int = 16,
     frame_bytes: int = 1 << 20,
     level: int = 3,
-    make_encoder: Callable[[str], Callable[[list[str]], list[bytes]]] = cached_encoder,
+    make_encoder: Callable[[str], Callable[[pa.Array], list[bytes]]] = cached_encoder,
 ) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write about ``files`` token files under ``out``.
 
@@ -311,7 +338,7 @@ def write_token_files(
             )
 
         for batch in _slices(batches):
-            coded = encode(batch.column(2).to_pylist())
+            coded = encode(batch.column(2))
             for k, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), coded, strict=True):
                 if k != now:
                     if file:

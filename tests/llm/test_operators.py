@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
 def test_cached_encoder_equals_the_library(text):
     e = token_files.CachedEncoder(tokenizer_path())
     texts = ["warm up " + text, text, "up.\nwarm, " + text]
-    assert e(texts) == e.whole(texts) == e(texts)
+    assert e(pa.array(texts)) == e.whole(texts) == e(pa.array(texts))
 
 
 def test_damaged_frame_is_noticed(spark, docs, tmp_path):

@@ -90,10 +90,27 @@ r.add("parse_us_date", f"WITH {TEXT_ORDERS} SELECT id, CAST(day AS DATE) AS day
 r.add("parse_unambiguous", f"WITH {TEXT_ORDERS} SELECT id, CASE WHEN month(CAST(day AS DATE)) <> day(CAST(day AS DATE)) AND day(CAST(day AS DATE)) <= 12 THEN NULL ELSE CAST(day AS TIMESTAMP) END AS day FROM text_orders", "orders")(
     lambda o: text_orders(o).select("id", expr.parse_date_unambiguous(F.col("us_day")).alias("day"))
 )
-r.add("contract_types", "SELECT * FROM (VALUES ('id', 'int', NULL, false, true), ('amount', 'float', 'currency', false, false), ('day', 'date', NULL, false, false), ('status', 'str', NULL, true, false), ('paid', 'bool', NULL, false, false), ('grade', 'float', NULL, false, false), ('us_day', 'date', 'date_us', false, false)) t(\"column\", kind, transform, nullable, candidate_key)", "orders")(
+_FITS = {  # how many values of a column are of each type, in the order in which types are tried
+    "bool": "count(*) FILTER (lower(trim(v)) IN ('true', 't', 'yes', 'y', 'false', 'f', 'no', 'n'))",
+    "int": "count(*) FILTER (regexp_full_match(trim(v), '[+-]?[0-9]+'))",
+    "float": "count(*) FILTER (regexp_full_match(trim(v), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)'))",
+    "currency": "count(*) FILTER (regexp_full_match(trim(v), '\\$?[0-9,]+(\\.[0-9]+)?'))",
+    "date": "count(*) FILTER (regexp_full_match(trim(v), '[0-9]{4}-[0-9]{2}-[0-9]{2}'))",
+    "date_us": "count(*) FILTER (regexp_full_match(trim(v), '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}'))",
+}
+r.add(
+    "contract_types",
+    f"""WITH {TEXT_ORDERS}, l AS (UNPIVOT text_orders ON id, amount, day, status, paid, grade, us_day INTO NAME "column" VALUE v),
+    m AS (SELECT "column", CASE WHEN trim(v) = 'n/a' THEN NULL ELSE v END AS v FROM l), c AS (SELECT "column", count(*) AS n, count(v) AS p, count(DISTINCT v) AS d, {", ".join(f"{q} AS {k}_n" for k, q in _FITS.items())} FROM m GROUP BY 1),
+    t AS (SELECT *, CASE WHEN bool_n = p THEN 'bool' WHEN int_n = p THEN 'int' WHEN float_n = p THEN 'float' WHEN date_n = p THEN 'date' WHEN date_us_n = p THEN 'date_us' WHEN currency_n = p THEN 'currency'
+      WHEN float_n >= 0.95 * p THEN 'float' WHEN currency_n >= 0.95 * p THEN 'currency' ELSE 'str' END AS k FROM c)
+    SELECT "column", CASE k WHEN 'date_us' THEN 'date' WHEN 'currency' THEN 'float' ELSE k END AS kind, CASE WHEN k IN ('date_us', 'currency') THEN k END AS transform, p < n AS nullable, p = n AND d = n AND k IN ('int', 'str') AS candidate_key FROM t""",
+    "orders",
+)(
     lambda o: C.chosen_types(C.type_probe(text_orders(o)))
 )
-r.add("simple_types", "SELECT * FROM (VALUES ('id', 'int'), ('amount', 'str'), ('status', 'str')) t(\"column\", kind)", "orders")(lambda o: C.infer_simple_types(text_orders(o).select("id", "amount", "status")))
+_TYPE_OF = "CASE WHEN count(TRY_CAST({0} AS BIGINT)) = count({0}) THEN 'int' WHEN count(TRY_CAST({0} AS DOUBLE)) = count({0}) THEN 'float' ELSE 'str' END"
+r.add("simple_types", f"WITH {TEXT_ORDERS}, n AS (SELECT id, amount, nullif(status, 'n/a') AS status FROM text_orders) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {_TYPE_OF.format(c)} AS kind FROM n" for c in ("id", "amount", "status")), "orders")(lambda o: C.infer_simple_types(text_orders(o).select("id", "amount", "status")))
 _SHAPE = [C.ContractColumn("id", "int"), C.ContractColumn("amount", "float", "currency"), C.ContractColumn("status", "str"), C.ContractColumn("grade", "int")]
 r.add("typed_rows", f"WITH {TEXT_ORDERS} SELECT CAST(id AS BIGINT) AS id, CAST(replace(amount, '$', '') AS DOUBLE) AS amount, CASE WHEN status = 'n/a' THEN NULL ELSE trim(status) END AS status, TRY_CAST(grade AS BIGINT) AS grade, 'L1' AS __load_id FROM text_orders", "orders")(
     lambda o: C.typed_rows(text_orders(o), _SHAPE, "L1").drop("__row_hash", "__loaded_at")

@@ -295,7 +295,7 @@ def _id_bounds(docs: DataFrame, files: int) -> list[int]:
     if files < 2:
         return []
     shares = [k / files for k in range(1, files)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("b")).first()["b"]
+    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * files)).alias("b")).first()["b"]
     return sorted(set(found or []))
 
 
@@ -415,8 +415,8 @@ def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``start``: ids of all documents before each one, over all files.
 
     The file offsets are a running sum over the list of files; within a file a
-    running sum over its documents. Files are bounded, so no window grows with
-    the corpus.
+    running sum over its documents. Their number in a file is bounded by the
+    number of files (``MOST_DOCS``), so no window grows with the corpus.
     """
     offsets = files.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     before = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
@@ -424,10 +424,18 @@ def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(offsets, "part").withColumn("start", F.col("offset") + F.col("before")).drop("offset", "before")
 
 
+#: Documents in a file, about: bounds a file's index to some 28 MB.
+MOST_DOCS = 1_000_000
+
+
 def token_report(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, out: str | None = None, files: int | None = None) -> DataFrame:
-    """Write token files for ``docs`` and report every document as read back from them."""
+    """Write token files for ``docs`` and report every document as read back from them.
+
+    Unless told otherwise there is a file for each shuffle partition, and more
+    where those would hold over ``MOST_DOCS`` documents each.
+    """
     spark: SparkSession = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // MOST_DOCS))
     listed = write_token_files(docs, out or new_path(spark, "tokens"), tokenizer_path, end_id, files)
     rows = with_starts(read_token_files(listed), listed)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "nth")

@@ -271,7 +271,7 @@ class FrameReader:
         return np.frombuffer(self.frame(int(e["frame"])), dtype="<u4")[int(e["first"]) : int(e["first"] + e["n"])]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500, chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``rows`` rows; of fewer, down to one, where a part has over ``chars`` bytes of text."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

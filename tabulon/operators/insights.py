@@ -66,7 +66,8 @@ def distribution(df: DataFrame, measure: str, bins: int = 10) -> DataFrame:
 def distribution_shape(df: DataFrame, measure: str) -> DataFrame:
     """Mean, median, skew label (15 % apart) and rows above twice the mean."""
     v = R._numeric(df, measure)
-    s = df.agg(F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.count(v).alias("n"))
+    middle = R.quantiles(df, {measure: v}, [0.5]).select(F.col("value").alias("median"))
+    s = df.agg(F.avg(v).alias("mean"), F.count(v).alias("n")).join(F.broadcast(middle), F.lit(True), "left")  # one row each
     label = F.when(F.col("mean") > 1.15 * F.col("median"), "right_skewed").when(F.col("mean") < 0.85 * F.col("median"), "left_skewed").otherwise("balanced")
     above = df.select(v.alias("v")).join(F.broadcast(s), F.lit(True)).filter(F.col("v") > 2 * F.col("mean")).agg(F.count(F.lit(1)).alias("above_twice_mean"))
     return s.join(above, F.lit(True)).select("n", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), label.alias("shape"), "above_twice_mean")

@@ -243,17 +243,48 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
-def nearest_rank_percentile(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """``share, value``: the element at index round(share * (n - 1)) of the sorted column.
+def running_totals(counts: DataFrame, by: str, value: str, n: str, ranges: int = 64) -> DataFrame:
+    """``counts`` with ``before``, the sum of ``n`` over smaller values of the same ``by``, and ``total``, that over all.
 
-    Counts per distinct value are summed up, so the sort is over values, not rows.
+    Values are cut into ranges at their quantiles; ranks run within a range and
+    start at the sums of the ranges before, so no task sorts all values. The
+    ends of the ranges are one small row for each ``by``.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    up_to = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("last", F.sum("n").over(up_to)).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
-    at = F.bround(F.col("share") * (F.col("total") - 1))
-    return counts.select("value", "n", "last", "total", wanted).filter((at < F.col("last")) & (at >= F.col("last") - F.col("n"))).select("share", "value")
+    shares = [k / ranges for k in range(1, ranges)]
+    ends = counts.groupBy(by).agg(F.percentile_approx(value, shares).alias("__ends"), F.sum(n).alias("total"))
+    placed = counts.join(F.broadcast(ends), by).withColumn("__range", F.size(F.filter("__ends", lambda e: e < F.col(value)))).drop("__ends")
+    earlier = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(by, "__range").agg(F.sum(n).alias("__sum"))
+    sums = sums.select(by, "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(sums), [by, "__range"])
+    return out.withColumn("before", F.col("__start") + F.coalesce(F.sum(n).over(within), F.lit(0))).drop("__range", "__start")
+
+
+def ranked_values(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``column, value, n, before, total``: how often each distinct value of the named expressions occurs, and its place."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("column"), c.alias("value")) for name, c in columns.items()])
+    counts = df.select(F.inline(pairs)).filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return running_totals(counts, "column", "value", "n")
+
+
+def _element(at: Column) -> Column:
+    """The value at index ``at`` of the sorted rows, of a group of `ranked_values`."""
+    return F.max(F.when((at >= F.col("before")) & (at < F.col("before") + F.col("n")), F.col("value")))
+
+
+def nearest_rank_percentile(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """``share, value``: the element at index round(share * (n - 1)) of the sorted column."""
+    ranked = ranked_values(df, {column: F.col(column)}).withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    return ranked.groupBy("share").agg(_element(F.bround(F.col("share") * (F.col("total") - 1))).alias("value"))
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> DataFrame:
+    """``column, share, value``: exact quantiles, interpolated between the two nearest values."""
+    ranked = ranked_values(df, columns).withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    ranked = ranked.withColumn("at", F.col("share") * (F.col("total") - 1))
+    ends = ranked.groupBy("column", "share").agg(F.max("at").alias("at"), _element(F.floor("at")).alias("low"), _element(F.ceil("at")).alias("high"))
+    return ends.select("column", "share", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))
 
 
 def aggregate_headline(df: DataFrame, label: str, value: str) -> DataFrame:
@@ -326,9 +357,8 @@ def concentration(df: DataFrame, entity: str, measure: str, top: int = 10, share
     """Share of the top entities and of the top fifth of them (Pareto), in one row."""
     totals = df.filter(~expr.is_blank(F.col(entity))).groupBy(entity).agg(F.sum(_numeric(df, measure)).alias("v")).filter("v is not null")
     # Entities of one value are one row: the running sums go over distinct values, and a value on the edge counts in part.
-    values = totals.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-    upto = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("before", F.coalesce(F.sum("k").over(upto), F.lit(0))).withColumn("n", F.sum("k").over(Window.partitionBy()))
+    values = totals.groupBy((-F.col("v")).alias("less"), "v").agg(F.count(F.lit(1)).alias("k"))
+    ranked = running_totals(values.withColumn("all", F.lit(0)), "all", "less", "k").withColumnRenamed("total", "n")
     held = lambda most: F.greatest(F.lit(0), F.least(F.col("k"), most - F.col("before"))) * F.col("v")
     part = lambda most: F.round(F.try_divide(F.sum(held(most)), F.sum(F.col("k") * F.col("v"))) * 100, 2)
     out = ranked.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("entities"), part(F.lit(top)).alias("top_share_pct"), part(F.ceil(F.col("n") * share)).alias("pareto_share_pct"))

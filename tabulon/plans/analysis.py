@@ -43,7 +43,23 @@ r.add(
 _COR = "SELECT '{a}' AS \"column\", '{b}' AS other, count(*) AS n, round(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})), 6) AS r FROM lineitem"
 r.add("correlations", " UNION ALL ".join(_COR.format(a=a, b=b) for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))), "lineitem")(lambda li: profile.correlations(li, ["l_quantity", "l_extendedprice", "l_discount"]))
 r.add("missingness_patterns", "SELECT 'price' AS target, 'o_orderstatus' AS group_col, 1.0::DOUBLE AS strength", "orders")(lambda o: profile.missingness_patterns(_holes(o), ["price"], ["o_orderstatus", "o_orderpriority"]))
-r.add("report_findings", None, "lineitem")(lambda li: profile.findings(li, ["l_quantity", "l_extendedprice", "l_discount"], ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]))
+_FOUND_IN = ("price", "net", "tail")
+_TAILS = "SELECT '{0}' AS c, count(*) FILTER ({0} < a - 1.5 * (b - a) OR {0} > b + 1.5 * (b - a)) AS n FROM x, (SELECT quantile_cont({0}, 0.25) AS a, quantile_cont({0}, 0.75) AS b FROM x)"
+_PAIR = "SELECT '{0}' AS a, '{1}' AS b, covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) AS r FROM x"
+r.add(
+    "report_findings",
+    f"""WITH x AS (SELECT l_extendedprice AS price, l_extendedprice * (1 - l_discount) AS net, power(l_quantity, 4) AS tail, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag FROM lineitem),
+    m AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(*) FILTER ({c} IS NULL) AS n FROM x" for c in (*_FOUND_IN, "flag"))}), d AS (SELECT CAST(sum(n - 1) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM x GROUP BY price, net, tail, flag)),
+    t AS ({" UNION ALL ".join(map(_TAILS.format, _FOUND_IN))}), c AS ({" UNION ALL ".join(_PAIR.format(*p) for p in (("price", "net"), ("price", "tail"), ("net", "tail")))})
+    SELECT 'missing' AS kind, c || ' is missing in ' || n || ' rows' AS finding FROM (SELECT * FROM m WHERE n > 0 ORDER BY n DESC, c LIMIT 3) UNION ALL SELECT 'duplicates', n || ' rows repeat another' FROM d WHERE n > 0
+    UNION ALL SELECT 'tails', c || ' has ' || n || ' values in its tails' FROM t WHERE n > 0 UNION ALL SELECT 'correlation', a || ' and ' || b || ' move together' FROM c WHERE abs(r) >= 0.8""",
+    "lineitem",
+)(
+    lambda li: profile.findings(
+        li.select(F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), F.pow("l_quantity", F.lit(4)).alias("tail"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag")),
+        list(_FOUND_IN),
+    )
+)
 
 r.add(
     "breakdown",
@@ -51,7 +67,13 @@ r.add(
     SELECT place, label, round(t, 2) AS value, CAST(n AS BIGINT) AS rows, c AS values, round(t / sum(t) OVER () * 100, 2) AS share_pct FROM p""",
     "part",
 )(lambda p: insights.breakdown(p, "p_retailprice", "p_brand").withColumn("place", F.col("place").cast("bigint")))
-r.add("takeaway", None, "part")(lambda p: insights.takeaway(insights.breakdown(p, "p_retailprice", "p_brand")))
+r.add(
+    "takeaway",
+    """WITH g AS (SELECT p_brand AS k, sum(p_retailprice) AS t FROM part GROUP BY 1), s AS (SELECT k, round(t, 2) AS v, round(t / sum(t) OVER () * 100, 2) AS p, row_number() OVER (ORDER BY t DESC, k) AS rn FROM g),
+    o AS (SELECT max(k) FILTER (rn = 1) AS leader, max(p) FILTER (rn = 1) AS share, max(v) FILTER (rn = 1) AS a, max(v) FILTER (rn = 2) AS b FROM s)
+    SELECT leader, share, CASE WHEN share >= 50 THEN 'dominates' WHEN a < 1.1 * b THEN 'neck_and_neck' ELSE 'leads' END AS takeaway FROM o""",
+    "part",
+)(lambda p: insights.takeaway(insights.breakdown(p, "p_retailprice", "p_brand")))
 r.add("trend", "SELECT strftime(o_orderdate, '%Y-%m') AS period, round(sum(o_totalprice), 2) AS value, count(*) AS rows FROM orders GROUP BY 1", "orders")(lambda o: insights.trend(o, "o_totalprice", "o_orderdate"))
 r.add("ranking", "WITH g AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, sum(o_totalprice) AS v FROM orders GROUP BY 1) SELECT row_number() OVER (ORDER BY v DESC, entity) AS rank, entity, round(v, 2) AS value, round(v / sum(v) OVER () * 100, 2) AS share_pct FROM g QUALIFY rank <= 10", "orders")(
     lambda o: insights.ranking(o, "o_totalprice", "o_custkey").withColumn("rank", F.col("rank").cast("bigint"))
@@ -156,6 +178,15 @@ r.add("token_cap", "SELECT event_id, coalesce(sum(CAST(round(value) AS BIGINT))
 r.add("rate_limit_audit", None, "events")(lambda e: streams.rate_limit_audit(e, 2, 86_400.0))
 r.add("unique_violations", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1", "lineitem")(lambda li: C.expect_unique(li, ["l_orderkey"]))
 r.add("accepted_violations", "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O')", "orders")(lambda o: C.expect_accepted(o, "o_orderstatus", ["F", "O"]).select("o_orderkey"))
-r.add("goal_signature", None, "conversations")(lambda c: c.withColumn("signature", expr.redact_literals(F.col("text"))))
+_KNOWN = ", ".join(f"'{w}'" for w in ("[value]", "[number]", *sorted({*expr.INTENT_WORDS} - {*expr.STOP_WORDS})))
+r.add(
+    "goal_signature",
+    rf"""WITH a AS (SELECT *, regexp_replace(lower(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '\b[\w.+-]+@[\w.-]+\.[a-z]{{2,}}\b', ' [value] ', 'g') AS t FROM conversations),
+    b AS (SELECT * EXCLUDE (t), regexp_replace(regexp_replace(t, 'https?://\S+', ' [value] ', 'g'), '"[^"]*"|''[^'']*''', ' [value] ', 'g') AS t FROM a),
+    c AS (SELECT * EXCLUDE (t), regexp_extract_all(regexp_replace(t, '\b[-+]?\d+(?:\.\d+)?\b', ' [number] ', 'g'), '[a-z_][a-z0-9_]{{1,63}}|\[(?:value|number)\]') AS w FROM b),
+    d AS (SELECT * EXCLUDE (w), left(array_to_string([x FOR x IN w IF x IN ({_KNOWN})][1:80], ' '), 800) AS s FROM c)
+    SELECT * EXCLUDE (s), CASE WHEN s = '' THEN 'unspecified goal' ELSE s END AS signature FROM d""",
+    "conversations",
+)(lambda c: c.withColumn("signature", expr.redact_literals(F.col("text"))))
 
 QUERIES, SQL = r.queries, r.sql

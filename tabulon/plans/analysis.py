@@ -181,12 +181,12 @@ r.add("accepted_violations", "SELECT o_orderkey FROM orders WHERE o_orderstatus
 _KNOWN = ", ".join(f"'{w}'" for w in ("[value]", "[number]", *sorted({*expr.INTENT_WORDS} - {*expr.STOP_WORDS})))
 r.add(
     "goal_signature",
-    rf"""WITH a AS (SELECT *, regexp_replace(lower(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '\b[\w.+-]+@[\w.-]+\.[a-z]{{2,}}\b', ' [value] ', 'g') AS t FROM conversations),
+    rf"""WITH a AS (SELECT *, regexp_replace(lower(regexp_replace('Top ' || turn || ' rows grouped by "' || role || '" for a.b@c.org: ' || coalesce(text, ''), '\s+', ' ', 'g')), '\b[\w.+-]+@[\w.-]+\.[a-z]{{2,}}\b', ' [value] ', 'g') AS t FROM conversations),
     b AS (SELECT * EXCLUDE (t), regexp_replace(regexp_replace(t, 'https?://\S+', ' [value] ', 'g'), '"[^"]*"|''[^'']*''', ' [value] ', 'g') AS t FROM a),
     c AS (SELECT * EXCLUDE (t), regexp_extract_all(regexp_replace(t, '\b[-+]?\d+(?:\.\d+)?\b', ' [number] ', 'g'), '[a-z_][a-z0-9_]{{1,63}}|\[(?:value|number)\]') AS w FROM b),
     d AS (SELECT * EXCLUDE (w), left(array_to_string([x FOR x IN w IF x IN ({_KNOWN})][1:80], ' '), 800) AS s FROM c)
     SELECT * EXCLUDE (s), CASE WHEN s = '' THEN 'unspecified goal' ELSE s END AS signature FROM d""",
     "conversations",
-)(lambda c: c.withColumn("signature", expr.redact_literals(F.col("text"))))
+)(lambda c: c.withColumn("signature", expr.redact_literals(F.concat(F.lit("Top "), "turn", F.lit(' rows grouped by "'), "role", F.lit('" for a.b@c.org: '), F.coalesce("text", F.lit(""))))))
 
 QUERIES, SQL = r.queries, r.sql

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,25 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; allocators of C libraries keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; once each is worked off, freed memory goes back.
+
+    A Python worker outlives its task and waits for the next one, so what it
+    keeps would be missing in the stages that follow.
+    """
+    for batch in batches:
+        yield batch
+        del batch
+        release_memory()
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` has at most ``max_rows`` rows; counts no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -91,4 +113,4 @@ def ascii_lower(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, upper, lower)).otherwise(F.lower(c))
 
 
-__all__ = ["WORD", "ascii_lower", "broadcast_if_small", "drop_stage", "free_name", "new_path", "shared_dir", "small_enough", "stage", "text_batches"]
+__all__ = ["WORD", "ascii_lower", "broadcast_if_small", "drop_stage", "free_name", "new_path", "release_memory", "released", "shared_dir", "small_enough", "stage", "text_batches"]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import free_name, text_batches
+from tabulon.llm.common import free_name, released, text_batches
 
 # Families of ISO 639-1 codes, for the languages most often told apart.
 FAMILIES = {
@@ -113,7 +113,7 @@ def sample_counts(docs: DataFrame, dims: int) -> DataFrame:
     """``lang, cells, counts`` of each row: its n-gram counts, without the zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             cells, counts = [], []
             for text in batch.column(1):
                 total = gram_counts(text.as_py() or "", dims)
@@ -256,7 +256,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, label: str = "lang_pre
         return [v if n else UNDETERMINED for v, n in zip(labels, grams, strict=True)], np.where(grams > 0, scores, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for start in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(start, BLOCK_ROWS)
                 labels, scores = told(part.column(at).to_pylist())

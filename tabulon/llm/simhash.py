@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import broadcast_if_small, drop_stage, free_name, stage, text_batches
+from tabulon.llm.common import broadcast_if_small, drop_stage, free_name, released, stage, text_batches
 
 #: Start and width of the segments of a fingerprint, from the lowest bit.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """``(doc_id, fp)``: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -301,7 +301,7 @@ def keyed_rows(docs: DataFrame, words: int) -> DataFrame:
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [np.unique(shingle_hashes(t.as_py() or "", words)) for t in part.column(2)]
@@ -340,7 +340,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """``(fp, shingles)``: the distinct shingle hashes of each row of ``texts (fp, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in part.column(1)]

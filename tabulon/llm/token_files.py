@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import new_path, text_batches
+from tabulon.llm.common import new_path, released, text_batches
 
 # Fixed values of the public seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -337,7 +337,7 @@ def write_token_files(
                 schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("frames", pa.int32())]),
             )
 
-        for batch in _slices(batches):
+        for batch in _slices(released(batches)):
             coded = encode(batch.column(2))
             for k, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), coded, strict=True):
                 if k != now:

@@ -44,15 +44,34 @@ def sniff_bytes(content: bytes, path: str) -> tuple[str, str, list[str]]:
 
 
 def sniff_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, encoding, delimiter, header``, one row per file; the files' first 4 MB are read where they lie."""
-    files = spark.read.format("binaryFile").load(paths).select("path", F.substring("content", 1, _SAMPLE).alias("content"))
+    """``path, encoding, delimiter, header``, one row per file, from its first 4 MB.
+
+    Files up to that size are read where they lie; of each larger one the driver
+    reads the head, one at a time, and keeps what it found.
+    """
+    listed = spark.read.format("binaryFile").load(paths)
+    files = listed.filter(F.col("length") <= _SAMPLE).select("path", "content")
+    large = [r["path"] for r in listed.filter(F.col("length") > _SAMPLE).select("path").collect()]  # names only
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [sniff_bytes(bytes(c), p) for p, c in zip(f["path"], f["content"], strict=True)]
             yield pd.DataFrame([(p, *x) for p, x in zip(f["path"], found, strict=True)], columns=["path", "encoding", "delimiter", "header"])
 
-    return files.mapInPandas(run, SNIFFED)
+    found = files.mapInPandas(run, SNIFFED)
+    if not large:
+        return found
+    return found.unionByName(spark.createDataFrame([(p, *sniff_bytes(_head(spark, p), p)) for p in large], SNIFFED))
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first 4 MB of a file that has more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, _SAMPLE))
+    finally:
+        stream.close()
 
 
 _JAVA = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}

@@ -161,3 +161,10 @@ def test_grid_and_compaction(spark, tmp_path):
     lake.run_load("t", spark.range(40).selectExpr("cast(id as string) id").repartition(4), "replace", "L1", ["id"])
     assert lake.compact("t", "C1", min_files=2) and not lake.compact("t", "C2", min_files=2)
     assert lake.current("t").count() == 40 and lake.expired().count() == 0
+
+
+def test_sniffing_reads_the_head_of_large_files(spark, tmp_path):
+    (tmp_path / "large.csv").write_text("a;b\n" + "1;x\n" * 1_100_000)
+    (tmp_path / "small.csv").write_text("c,d\n1,2\n")
+    found = {r["path"].rpartition("/")[2]: (r["delimiter"], r["header"]) for r in files.sniff_files(spark, [str(tmp_path)]).collect()}
+    assert found == {"large.csv": (";", ["a", "b"]), "small.csv": (",", ["c", "d"])}

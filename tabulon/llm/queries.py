@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality, sharding, simhash, token_files, warc
+from tabulon.llm import decontaminate, exact_dedup, hard_negatives, html_extract, langid, mixing, packing, prefix_trie, quality, sharding, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extraction_report(_table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negative_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(_table(spark, sf_dir, "conversations"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_files, op2_exact_dedup, op3_revisits, op4_quality, op5_simhash, op6_decontaminate, op7_language, op8_mixing, op9_sharding, op10_html_text, pipeline]
+    own = [op1_token_files, op2_exact_dedup, op3_revisits, op4_quality, op5_simhash, op6_decontaminate, op7_language, op8_mixing, op9_sharding, op10_html_text, op11_hard_negatives, op12_prefix_trie, op13_packing, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -141,5 +153,63 @@ FROM found WHERE k = 1
 """
 
 
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.w, b.w) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+PREFIX_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS pos, k, chars
+  FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars
+        FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda crc, b:
+           list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, k, chars FROM c JOIN t ON t.conv_id = base AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, k, chars FROM c JOIN t USING (conv_id) WHERE pos >= h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(k, '') OVER w AS path, chars FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+q AS (
+  SELECT conv_id, depth, path, chars, lag(path) OVER w AS parent, lead(path) OVER w IS NULL AS last FROM p
+  WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (
+  SELECT path, depth, max(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM q GROUP BY path, depth),
+kids AS (SELECT parent AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+sums AS (
+  SELECT up.path, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved_tokens
+  FROM f JOIN q AS up ON up.conv_id = f.conv_id AND up.depth <= f.depth GROUP BY up.path)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, above.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN sums USING (path) LEFT JOIN n AS above ON above.path = f.parent AND f.depth > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": DEDUP_SQL, "op3_revisits": REVISITS_SQL, "op6_decontaminate": DECONTAMINATE_SQL}
+    return {
+        "op2_exact_dedup": DEDUP_SQL,
+        "op3_revisits": REVISITS_SQL,
+        "op6_decontaminate": DECONTAMINATE_SQL,
+        "op11_hard_negatives": HARD_NEGATIVES_SQL,
+        "op12_prefix_trie": PREFIX_TRIE_SQL,
+    }

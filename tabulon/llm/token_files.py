@@ -3,8 +3,9 @@
 A file is a run of zstandard frames followed by two skippable frames::
 
     data frame 0 .. n-1    ids of whole documents, little-endian uint32
-    skippable frame        document index: (doc_id int64, frame uint32,
-                           first id within the frame uint64, ids uint64)
+    skippable frame        document index: (doc_id int64, 1 if it is null uint8,
+                           frame uint32, first id within the frame uint64,
+                           ids uint64)
     skippable frame        seek table of the public seekable format: for each
                            frame compressed size, size, low 32 bits of XXH64;
                            then frame count, descriptor byte, magic number
@@ -20,7 +21,7 @@ a repeated task replaces the same bytes. Paths are URIs of any store that
 pyarrow reaches.
 
 Defined cases: a null text is an empty text and yields the end id only; a null
-id sorts first (stored as the lowest int64 and read back as null); repeated ids
+id sorts first and is read back as null; repeated ids
 stay separate documents, ordered by text; a document longer than a frame gets a
 frame of its own; an empty table gives no files and an empty report.
 """
@@ -48,8 +49,7 @@ INDEX_MAGIC = 0x184D2A50
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-INDEX_ENTRY = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
-NULL_ID = -(2**63)
+INDEX_ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 
 FILES_SCHEMA = "file string, part int, docs long, tokens long, bytes long, frames int"
 
@@ -77,14 +77,19 @@ class CachedEncoder:
 
     Words that come again are remembered, in two generations; a full one
     replaces the older, so frequent words stay and memory is bounded.
+
+    Strings of the vocabulary's special tokens get those tokens' ids, as in the
+    library's plain call; with ``special=False`` they are ordinary text.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 600_000, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole_only = [t.content for t in added if special or not t.special]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, k in vocab.items():
@@ -154,6 +159,8 @@ class CachedEncoder:
         of these texts once; the ids of all occurrences are then gathered.
         """
         unsafe = np.array([_UNSAFE.search(t) is not None for t in texts.to_pylist()], dtype=bool)
+        for mark in self.whole_only:
+            unsafe |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         for k in np.flatnonzero(unsafe).tolist():
             out[k] = self.whole([texts[k].as_py()])[0]
@@ -202,10 +209,10 @@ class FrameFile:
         self.buffer, self.held, self.table, self.index = [], 0, [], []
         self.size = self.tokens = 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.held and self.held + len(ids) > self.frame_bytes:
             self.flush()
-        self.index.append((doc_id, len(self.table), self.held // 4, len(ids) // 4))
+        self.index.append((doc_id or 0, doc_id is None, len(self.table), self.held // 4, len(ids) // 4))
         self.buffer.append(ids)
         self.held += len(ids)
         self.tokens += len(ids) // 4
@@ -221,7 +228,7 @@ class FrameFile:
         self.buffer, self.held = [], 0
 
     def finish(self) -> None:
-        if self.index and self.index[-1][1] == len(self.table):
+        if self.index and self.index[-1][2] == len(self.table):
             self.flush()
         index = _skippable(INDEX_MAGIC, np.array(self.index, dtype=INDEX_ENTRY).tobytes())
         rows = b"".join(struct.pack("<III", *row) for row in self.table)
@@ -271,13 +278,13 @@ class FrameReader:
         return np.frombuffer(self.frame(int(e["frame"])), dtype="<u4")[int(e["first"]) : int(e["first"] + e["n"])]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of ``rows`` rows; of fewer, down to one, where a part has over ``chars`` bytes of text."""
+def batch_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, chars: int = 8 << 20, column: int = 2) -> Iterator[pa.RecordBatch]:
+    """Parts of ``rows`` rows; of fewer, down to one, where a part has over ``chars`` bytes of text in ``column``."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            if rows > 1 and pc.sum(pc.binary_length(part.column(2))).as_py() > chars:
-                yield from _slices(iter([part]), -(-rows // 8), chars)
+            if rows > 1 and pc.sum(pc.binary_length(part.column(column))).as_py() > chars:
+                yield from batch_slices(iter([part]), -(-rows // 8), chars, column)
             else:
                 yield part
 
@@ -319,7 +326,7 @@ def write_token_files(
     part = F.lit(0)
     for half in _halves(bounds, 0):
         part = half
-    rows = rows.select(F.coalesce(part, F.lit(0)).cast("int").alias("part"), "doc_id", "text")
+    rows = rows.select(F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int").alias("part"), "doc_id", "text")
     rows = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
@@ -337,7 +344,7 @@ def write_token_files(
                 schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("frames", pa.int32())]),
             )
 
-        for batch in _slices(released(batches)):
+        for batch in batch_slices(released(batches)):
             coded = encode(batch.column(2))
             for k, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), coded, strict=True):
                 if k != now:
@@ -347,7 +354,7 @@ def write_token_files(
                     names = f"{root}/.part-{k:06d}-{os.urandom(8).hex()}", f"{root}/part-{k:06d}.tok.zst"
                     stream = store.open_output_stream(names[0])
                     file = FrameFile(stream, frame_bytes, level)
-                file.add(NULL_ID if doc_id is None else doc_id, ids + end)
+                file.add(doc_id, ids + end)
         if file:
             yield close()
 
@@ -393,7 +400,7 @@ def read_token_files(files: DataFrame, with_ids: bool = False, spread: int | Non
                 rows = reader.index[lo:hi]
                 cuts = [raw[4 * int(e["first"]) : 4 * int(e["first"] + e["n"])] for e in rows]
                 cols = [
-                    pa.array(rows["doc_id"], mask=rows["doc_id"] == NULL_ID),
+                    pa.array(rows["doc_id"], mask=rows["null"] == 1),
                     pa.array([file] * len(rows)),
                     pa.array([part] * len(rows), pa.int32()),
                     pa.array(np.arange(lo, hi, dtype=np.int64)),

@@ -68,7 +68,6 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     out = f"file://{tmp_path}/tok"
     listed = token_files.write_token_files(docs, out, tokenizer_path(), files=3, frame_bytes=2000)
     got = token_files.with_starts(token_files.read_token_files(listed, with_ids=True), listed).orderBy("start").collect()

@@ -111,10 +111,13 @@ def evolve_contract(stored: list[ContractColumn], incoming: list[ContractColumn]
     return out + [ContractColumn(c.name, c.kind, c.transform, True) for c in now.values()]
 
 
-def typed_rows(raw: DataFrame, contract: list[ContractColumn], load_id: str, loaded_at: Column | None = None) -> DataFrame:
-    """Contract columns in their types (absent ones null) and the three bookkeeping columns."""
+def typed_rows(raw: DataFrame, contract: list[ContractColumn], load_id: str, loaded_at: Column | None = None, keep: str | None = None) -> DataFrame:
+    """Contract columns in their types (absent ones null) and the three bookkeeping columns.
+
+    ``keep`` names a struct that holds each row's raw values beside them.
+    """
     cols = [(c.value(F.col(f"`{c.name}`")) if c.name in raw.columns else F.lit(None)).cast(SPARK_TYPE[c.kind]).alias(c.name) for c in contract]
-    t = raw.select(*cols)
+    t = raw.select(*cols, *([F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias(keep)] if keep else []))
     stamp = loaded_at if loaded_at is not None else F.current_timestamp()
     return t.withColumn("__load_id", F.lit(load_id)).withColumn("__row_hash", expr.row_hash(*[F.col(f"`{c.name}`") for c in contract])).withColumn("__loaded_at", stamp)
 

@@ -1,8 +1,10 @@
-"""Dataset loads: replace, append, keyed merge, history, versions, rollback, compaction.
+"""Dataset loads: replace, append, keyed merge, history, versions, rollback, pulls, compaction.
 
-A dataset is a folder of immutable versions; the ledger, a table with one row
-per load, names the current one. A load writes its version first and its ledger
-row last, so a job that dies leaves nothing that counts. One writer per dataset.
+A dataset is a folder of immutable versions. The ledger, a table of events with
+one or two rows a load, names the current one: the version of the newest load
+that succeeded and was not rolled back. A load writes its version first and its
+ledger row last, so a job that dies leaves nothing that counts; the row of a
+pull commits version and cursor together. One writer per dataset.
 """
 
 from __future__ import annotations
@@ -11,13 +13,19 @@ import json
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators import contract as C
 from tabulon.operators import relational as R
+from tabulon.sources import files
 
-LEDGER = "load_id string, dataset string, mode string, status string, version string, parent string, created_at timestamp, counts map<string,bigint>, checks string, keys array<string>"
+LEDGER = (
+    "load_id string, dataset string, mode string, status string, version string, parent string, created_at timestamp, recorded_at timestamp, counts map<string,bigint>, "
+    "checks string, keys array<string>, source string, cursor_from string, cursor string"
+)
+#: Loads that reached the lake; their rows stand in a version, in the quarantine or did both.
+LANDED = ("succeeded", "quarantined", "rolled_back")
 
 
 def _on(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -72,45 +80,84 @@ class Lake:
         return self.spark.read.schema(LEDGER).parquet(path) if self._exists(path) else self.spark.createDataFrame([], LEDGER)
 
     def _record(self, **row: object) -> None:
-        cells = {"load_id": None, "dataset": None, "mode": None, "status": None, "version": None, "parent": None, "counts": {}, "checks": None, "keys": None} | row
-        one = self.spark.createDataFrame([tuple(cells.values())], "load_id string, dataset string, mode string, status string, version string, parent string, counts map<string,bigint>, checks string, keys array<string>")
-        one.withColumn("created_at", F.current_timestamp()).select(*[f.split()[0] for f in LEDGER.split(", ")]).write.mode("append").parquet(f"{self.root}/_ledger")
-
-    def _last(self, dataset: str):
-        return self.ledger().filter((F.col("dataset") == dataset) & F.col("status").isin("succeeded", "rolled_back")).orderBy(F.desc("created_at"), F.desc("load_id")).first()
+        names = [f.split()[0] for f in LEDGER.split(", ")]
+        schema = ", ".join(f for f in LEDGER.split(", ") if f.split()[0] not in ("created_at", "recorded_at"))
+        cells = {n: row.get(n, {} if n == "counts" else None) for n in names if n not in ("created_at", "recorded_at")}
+        one = self.spark.createDataFrame([tuple(cells.values())], schema)
+        begun = F.lit(row["created_at"]).cast("timestamp") if row.get("created_at") else F.current_timestamp()
+        one.withColumn("created_at", begun).withColumn("recorded_at", F.current_timestamp()).select(*names).write.mode("append").parquet(f"{self.root}/_ledger")
+
+    def loads(self, dataset: str | None = None) -> DataFrame:
+        """One row a load: its newest event."""
+        rows = self.ledger().filter(F.col("dataset") == dataset) if dataset else self.ledger()
+        newest = rows.groupBy("dataset", "load_id").agg(F.max_by(F.struct(*rows.columns), F.struct("recorded_at", F.col("status") != "started")).alias("row"))
+        return newest.select("row.*")
+
+    def _newest(self, dataset: str, condition: Column) -> Row | None:
+        return self.loads(dataset).filter(condition).orderBy(F.desc("created_at"), F.desc("load_id")).first()
+
+    def _last(self, dataset: str) -> Row | None:
+        """The load whose version is current."""
+        return self._newest(dataset, (F.col("status") == "succeeded") & F.col("version").isNotNull())
 
     def current(self, dataset: str) -> DataFrame | None:
         last = self._last(dataset)
-        return self.spark.read.parquet(last["version"]) if last and last["version"] else None
+        return self.spark.read.parquet(last["version"]) if last else None
 
     def history(self, dataset: str) -> DataFrame | None:
         path = f"{self.root}/{dataset}/_history"
         return self.spark.read.option("mergeSchema", True).parquet(path) if self._exists(path) else None
 
-    def run_load(self, dataset: str, raw: DataFrame, mode: str, load_id: str, keys: list[str] | None = None, history: bool = False) -> str:
+    def run_load(self, dataset: str, raw: DataFrame, mode: str, load_id: str, keys: list[str] | None = None, history: bool = False, samples: list[dict] | None = None, **state: str | None) -> str:
         """One load of raw text rows: contract, gate, typed rows, new version, ledger row. Returns its status.
 
-        Running the same ``load_id`` again does nothing.
+        Rows with ``_corrupt`` set are malformed: they are counted for the gate and
+        left out; ``samples`` (file, line, fields) go to the ledger with the checks.
+        ``state`` (source, cursor_from, cursor) is committed by the same ledger row.
+        Raw rows are read twice: by the type probe, and to stage them beside their
+        typed values, which gate, version and history are read from. Running the
+        same ``load_id`` again does nothing.
         """
         keys = keys or []
-        done = self.ledger().filter((F.col("load_id") == load_id) & (F.col("dataset") == dataset)).first()
+        if mode not in ("replace", "append", "merge"):
+            raise ValueError(f"unknown mode {mode!r}")
+        done = self.loads(dataset).filter((F.col("load_id") == load_id) & (F.col("status") != "started")).first()
         if done:
             return done["status"]
         last, current = self._last(dataset), self.current(dataset)
-        shape = C.infer_contract(raw)
+        base = {"load_id": load_id, "dataset": dataset, "mode": mode, "keys": keys, "parent": last["version"] if last else None, **state}
+        marked = "_corrupt" in raw.columns
+        good = raw.filter("_corrupt is null").drop("_corrupt") if marked else raw
+        shape = C.infer_contract(good)
         if current is not None and mode != "replace":
             stored = [C.ContractColumn(n, next(k for k, v in C.SPARK_TYPE.items() if v == t)) for n, t in current.dtypes if not n.startswith("__")]
             try:
                 shape = C.evolve_contract(stored, shape)
             except ValueError as e:
-                return self._reject(dataset, raw, mode, load_id, str(e))
-        present = [c for c in shape if c.name in raw.columns]
-        checks = [r.asDict() for r in C.quality_gate(raw, present, keys).collect()]  # seven rows
-        if any(c["severity"] == "fail" and not c["passed"] for c in checks):
-            return self._reject(dataset, raw, mode, load_id, json.dumps(checks))
-        incoming = C.typed_rows(raw, shape, load_id)
-        version = f"{self.root}/{dataset}/v-{load_id}"
-        counts = {}
+                return self._reject(base, raw, str(e))
+        staging = f"{self.root}/{dataset}/_staging/{load_id}"
+        typed = C.typed_rows(good, shape, load_id, keep="__raw")
+        if marked:
+            bad = raw.filter("_corrupt is not null").select(F.struct(*[F.col(f"`{c}`") for c in good.columns]).alias("__raw"), "_corrupt")
+            typed = typed.withColumn("_corrupt", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+        typed.write.option("compression", "zstd").mode("overwrite").parquet(staging)
+        staged = self.spark.read.schema(typed.schema).parquet(staging)
+        malformed = staged.filter("_corrupt is not null").count() if marked else 0
+        staged = staged.filter("_corrupt is null").drop("_corrupt") if marked else staged
+        present = [c for c in shape if c.name in good.columns]
+        checks = [r.asDict() for r in C.quality_gate(staged.select("__raw.*"), present, keys, malformed).collect()]  # seven rows
+        found = json.dumps({"checks": checks, "malformed_samples": samples or []})
+        try:
+            if any(c["severity"] == "fail" and not c["passed"] for c in checks):
+                return self._reject(base, raw, found)
+            return self._curate(base | {"checks": found}, staged.drop("__raw"), current, shape, history, malformed)
+        finally:
+            self._remove(staging)
+
+    def _curate(self, base: dict, incoming: DataFrame, current: DataFrame | None, shape: list[C.ContractColumn], history: bool, malformed: int) -> str:
+        """Write the new version of a batch that passed its gate, and commit it."""
+        dataset, mode, keys = base["dataset"], base["mode"], base["keys"]
+        version, counts = f"{self.root}/{dataset}/v-{base['load_id']}", {}
         if current is not None and mode != "replace":
             # A contract that grew changes every row's hash; compare on equal terms.
             aligned = R.align_to_schema(current, [(c.name, C.SPARK_TYPE[c.kind]) for c in shape] + [("__load_id", "string"), ("__loaded_at", "timestamp")])
@@ -123,40 +170,108 @@ class Lake:
             n = new.count()
             counts = {"inserted": n, "skipped": incoming.count() - n}
             out, changes = current.unionByName(new, allowMissingColumns=True), new.withColumn("__change", F.lit("insert"))
-            if not n:
-                self._record(load_id=load_id, dataset=dataset, mode=mode, status="succeeded", version=last["version"], parent=last["version"], counts=counts, keys=keys)
-                return "succeeded"
-        elif mode == "merge":
+        else:
             classified = R.classify_merge(incoming, current, keys)
             counts = {r["change"]: r["rows"] for r in load_counts(classified).collect()}
             out, changes = load_merge(current, incoming, keys), classified.filter("__change <> 'unchanged'")
-        else:
-            raise ValueError(f"unknown mode {mode!r}")
+        counts["rejected"] = malformed
+        if mode == "append" and current is not None and not counts["inserted"]:
+            self._record(**base, status="succeeded", counts=counts)  # nothing new: no version
+            return "succeeded"
         out.write.option("compression", "zstd").mode("overwrite").parquet(version)
         if history:
             changes.withColumn("__valid_from", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/{dataset}/_history")
-        self._record(load_id=load_id, dataset=dataset, mode=mode, status="succeeded", version=version, parent=last["version"] if last else None, counts=counts, checks=json.dumps(checks), keys=keys)
+        self._record(**base, status="succeeded", version=version, counts=counts)
         return "succeeded"
 
-    def _reject(self, dataset: str, raw: DataFrame, mode: str, load_id: str, reason: str) -> str:
-        quarantine(raw, reason, f"{self.root}/{dataset}/_quarantine/{load_id}")
-        self._record(load_id=load_id, dataset=dataset, mode=mode, status="quarantined", checks=reason)
+    def _reject(self, base: dict, raw: DataFrame, reason: str) -> str:
+        quarantine(raw, reason, f"{self.root}/{base['dataset']}/_quarantine/{base['load_id']}")
+        self._record(**base | {"checks": reason}, status="quarantined")
         return "quarantined"
 
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    # ------------------------------------------------------------ files and pulls
+
+    def load_files(self, dataset: str, paths: list[str], mode: str, load_id: str, keys: list[str] | None = None, history: bool = False) -> str:
+        """Load delimited files of one shape: sniffed, read, malformed rows counted and sampled by file and line."""
+        found = files.sniff_files(self.spark, paths).orderBy("path").first()
+        how = (found["header"], found["delimiter"], found["encoding"])
+        raw = files.read_delimited(self.spark, paths, *how)
+        samples = [] if found["encoding"] == "utf-16" else [r.asDict() for r in files.malformed_lines(self.spark, paths, len(found["header"]), found["delimiter"]).orderBy("file", "line").limit(20).collect()]
+        return self.run_load(dataset, raw, mode, load_id, keys, history, samples)
+
+    def connector_state(self, dataset: str | None = None) -> DataFrame:
+        """Per dataset and source: the cursor, and the last run with its status, load and rows."""
+        rows = self.loads(dataset).filter("source is not null")
+        by, landed = F.struct("created_at", "load_id"), F.col("status").isin(*LANDED)
+        taken = F.aggregate(F.map_values(F.col("counts")), F.lit(0).cast("bigint"), lambda a, b: a + b)
+        return rows.groupBy("dataset", "source").agg(
+            F.max_by(F.when(landed, F.col("cursor")), F.when(landed & F.col("cursor").isNotNull(), by)).alias("cursor"),
+            F.count_if(F.col("status") != "started").alias("runs"),
+            F.max_by("status", by).alias("last_status"),
+            F.max_by("created_at", by).alias("last_run_at"),
+            F.max_by(F.when(landed, F.col("load_id")), F.when(landed, by)).alias("last_load_id"),
+            F.coalesce(F.max_by(F.when(landed, taken), F.when(landed, by)), F.lit(0)).alias("last_rows"),
+        )
+
+    def pull(self, dataset: str, source: str, rows: DataFrame, cursor: str | None, load_id: str, mode: str = "append", keys: list[str] | None = None, limit: int = 200_000, history: bool = False) -> str:
+        """Load what ``rows`` holds beyond the source's stored cursor; ``empty`` if nothing is new.
+
+        The range is recorded before the load starts. A pull that died is taken up
+        by its load id and reads the same range, whatever the source has gained;
+        another load id starts from the last cursor that landed. Cursors of
+        quarantined and rolled back loads stay: their rows were taken.
+        """
+        known = self.loads(dataset).filter(F.col("load_id") == load_id).first()
+        if known and known["status"] != "started":
+            return known["status"]
+        if known:
+            first, last = known["cursor_from"], known["cursor"]
+        else:
+            state = self.connector_state(dataset).filter(F.col("source") == source).first()
+            first, last = state["cursor"] if state else None, None
+        if cursor is not None:
+            kind = rows.schema[cursor].dataType
+            typed = lambda text: F.lit(text).cast(kind)
+            if not known:
+                end = files.extract_incremental(rows, cursor, None if first is None else typed(first), limit)[1]
+                last = end.select(F.col("cursor").cast("string")).first()[0]
+                if last is None:
+                    self._record(load_id=load_id, dataset=dataset, mode=mode, status="empty", source=source, cursor_from=first, cursor=first)
+                    return "empty"
+                self._record(load_id=load_id, dataset=dataset, mode=mode, status="started", source=source, cursor_from=first, cursor=last)
+            within = F.col(cursor) <= typed(last)
+            rows = rows.filter(within if first is None else within & (F.col(cursor) > typed(first)))
+        elif not rows.limit(1).count():
+            self._record(load_id=load_id, dataset=dataset, mode=mode, status="empty", source=source)
+            return "empty"
+        text = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
+        return self.run_load(dataset, text, mode, load_id, keys, history, source=source, cursor_from=first, cursor=last)
+
+    # ------------------------------------------------------------ versions
+
     def snapshots(self, dataset: str) -> DataFrame:
-        """Versions with parent, mode and load id; ``is_current`` marks the one that counts."""
-        own = self.ledger().filter((F.col("dataset") == dataset) & F.col("version").isNotNull())
-        now = own.agg(F.max_by("version", F.struct("created_at", "load_id")).alias("now"))
-        return own.filter("status = 'succeeded'").join(now, F.lit(True)).select("version", "parent", "mode", "load_id", "created_at", "counts", (F.col("version") == F.col("now")).alias("is_current"))
+        """Versions with parent, mode, load id and status; ``is_current`` marks the one that counts."""
+        own = self.loads(dataset).filter(F.col("version").isNotNull())
+        good = F.col("status") == "succeeded"
+        now = own.agg(F.max_by(F.when(good, F.col("version")), F.when(good, F.struct("created_at", "load_id"))).alias("now"))
+        return own.join(F.broadcast(now), F.lit(True)).select("version", "parent", "mode", "load_id", "status", "created_at", "counts", F.coalesce(F.col("version") == F.col("now"), F.lit(False)).alias("is_current"))
 
     def rollback(self, dataset: str, load_id: str) -> None:
-        """Make the parent of the latest successful load current again."""
-        last = self._last(dataset)
-        if not last or last["load_id"] != load_id or last["status"] != "succeeded":
+        """Undo the newest successful load: it reads ``rolled_back`` from then on, and its parent is current again.
+
+        Newer loads are rolled back first; a load that brought nothing new has no
+        version to undo and is only marked.
+        """
+        last = self._newest(dataset, F.col("status") == "succeeded")
+        if not last or last["load_id"] != load_id:
             raise ValueError("only the latest successful load can be rolled back")
         if not last["parent"]:
             raise ValueError("the first version has no parent")
-        self._record(load_id=f"{load_id}-rollback", dataset=dataset, mode="rollback", status="rolled_back", version=last["parent"], parent=last["version"])
+        self._record(**{**last.asDict(), "status": "rolled_back"})
 
     def compact(self, dataset: str, load_id: str, target_mb: int = 128, min_files: int = 8) -> bool:
         """Rewrite a fragmented current version into files of about ``target_mb``."""
@@ -172,10 +287,11 @@ class Lake:
 
     def expired(self, days: int = 30) -> DataFrame:
         """Versions that are neither current nor younger than ``days``."""
-        rank = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("created_at")))
-        old = self.ledger().filter("version is not null").withColumn("rn", rank)
-        live = old.filter("rn = 1").select("version")
-        return old.filter(F.col("created_at") < F.current_timestamp() - F.expr(f"interval {days} days")).select("dataset", "version").distinct().join(live, "version", "left_anti")
+        good = F.col("status") == "succeeded"
+        rank = F.row_number().over(Window.partitionBy("dataset").orderBy(good.desc(), F.desc("created_at"), F.desc("load_id")))
+        known = self.loads().filter("version is not null").withColumn("rn", rank)
+        live = known.filter((F.col("rn") == 1) & good).select("version")
+        return known.filter(F.col("created_at") < F.current_timestamp() - F.expr(f"interval {days} days")).select("dataset", "version").distinct().join(live, "version", "left_anti")
 
 
 def load_report(ledger: DataFrame, until: Column | None = None) -> DataFrame:

@@ -40,12 +40,40 @@ def daily(df: DataFrame, keys: list[str], ok: Column, failed: Column, duration:
     )
 
 
+def daily_pipeline(loads: DataFrame) -> DataFrame:
+    """Loads by day and project: outcomes, rows, bytes and durations."""
+    n, total = F.count(F.lit(1)), lambda c: F.coalesce(F.sum(c), F.lit(0))
+    quarantined = F.count_if(F.col("status") == "quarantined")
+    return loads.groupBy("dt", "project_id").agg(
+        n.alias("loads"),
+        F.count_if(F.col("status") == "succeeded").alias("succeeded"),
+        quarantined.alias("quarantined"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.round(quarantined / n, 4).alias("quarantine_rate"),
+        total("rows_out").alias("rows_loaded"),
+        total("rows_rejected").alias("rows_rejected"),
+        total("raw_bytes").alias("raw_bytes"),
+        F.round(F.avg("duration_ms")).alias("avg_duration_ms"),
+        F.percentile("duration_ms", 0.95).alias("p95_duration_ms"),
+        F.max("duration_ms").alias("max_duration_ms"),
+    )
+
+
 def dataset_health(loads: DataFrame) -> DataFrame:
-    """Per dataset: loads, failures and the last successful one."""
-    keys = ["project_id", "dataset"]
-    totals = loads.groupBy(*keys).agg(F.count(F.lit(1)).alias("loads"), F.count_if(F.col("status") != "succeeded").alias("not_succeeded"), F.coalesce(F.sum("rows_out"), F.lit(0)).alias("rows_out"))
-    good = loads.filter("status = 'succeeded'").select(*keys, "load_id", F.col("created_at").alias("last_success_at"), F.col("rows_out").alias("last_rows"))
-    return R.left_join_latest(totals, good, keys, "load_id", ["load_id", "last_success_at", "last_rows"])
+    """Per dataset: loads by outcome, first and last load, and the state of the last that succeeded."""
+    ok, status = F.col("status") == "succeeded", F.col("status")
+    last = lambda c: F.max_by(F.when(ok, F.col(c)), F.when(ok, F.col("load_id")))
+    return loads.groupBy("project_id", "dataset").agg(
+        F.count(F.lit(1)).alias("loads"),
+        *[F.count_if(status == k).alias(k) for k in ("succeeded", "quarantined", "failed")],
+        F.min("created_at").alias("first_load_at"),
+        F.max("created_at").alias("last_load_at"),
+        last("load_id").alias("last_success_load_id"),
+        last("rows_out").alias("last_rows_out"),
+        last("quality_status").alias("last_quality_status"),
+        F.coalesce(F.sum("rows_rejected"), F.lit(0)).alias("rows_rejected_total"),
+        F.round(F.avg("duration_ms")).alias("avg_duration_ms"),
+    )
 
 
 def recent_window(mart: DataFrame, until: Column, days: int = 30, project: str | None = None) -> DataFrame:
@@ -237,3 +265,59 @@ def token_cap(events: DataFrame, cap: float, tokens: str) -> DataFrame:
     return events.withColumn("admitted", F.coalesce(F.sum(tokens).over(w), F.lit(0)) < cap)
 
 
+def usage_budget(events: DataFrame, user_requests: int = 0, user_tokens: float = 0, global_requests: int = 0, global_tokens: float = 0, tokens: str = "tokens", slice_seconds: int = 60) -> DataFrame:
+    """``events`` (user_id, event_id, ts, tokens) with ``admitted`` and ``reason``; a ceiling of 0 is none.
+
+    Requests of a UTC day are taken in the order of (ts, event_id). One is rejected
+    by the first ceiling that the day's admitted requests have reached: tokens of
+    all, tokens of the user, requests of the user, requests of all. A rejected
+    request uses nothing, also where it passed the user's ceilings and failed a
+    global one. A null token count is none; negative ones are not usage either.
+
+    Counts only grow, so a user's ceilings admit a first run of the user's
+    requests, and the global ones a first run of those. Whether a request lies in
+    that run follows from running sums: per user and day, and over the day by
+    slices of time. Only in the slice where a global ceiling is reached are
+    requests ordered one by one; no window spans a day.
+    """
+    most = {n: (v if v > 0 else float("inf")) for n, v in (("ur", user_requests), ("ut", user_tokens), ("gr", global_requests), ("gt", global_tokens))}
+    day = F.to_date("ts")
+    used = F.greatest(F.coalesce(F.col(tokens).cast("double"), F.lit(0.0)), F.lit(0.0))
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (slice_seconds * 1_000_000))
+    rows = events.withColumns({"__day": day, "__used": used, "__slice": at})
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+
+    mine = before("user_id", "__day")
+    rows = rows.withColumns({"__n": F.row_number().over(Window.partitionBy("user_id", "__day").orderBy("ts", "event_id")) - 1, "__u": summed("__used", mine)})
+    rows = rows.withColumn("__own", (F.col("__n") < most["ur"]) & (F.col("__u") < most["ut"]))
+
+    own = F.col("__own")
+    slices = rows.groupBy("__day", "__slice").agg(F.count_if(own).alias("__k"), F.sum(F.when(own, F.col("__used")).otherwise(0.0)).alias("__s"))
+    order = Window.partitionBy("__day").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a day has a bounded number of slices
+    slices = slices.withColumns({"__k0": summed("__k", order), "__s0": summed("__s", order)})
+    reached = lambda k, s: (k >= most["gr"]) | (s >= most["gt"])
+    slices = slices.withColumns({"__shut": reached(F.col("__k0"), F.col("__s0")), "__turns": reached(F.col("__k0") + F.col("__k"), F.col("__s0") + F.col("__s"))})
+    rows = rows.join(slices.drop("__k", "__s"), (rows["__day"].eqNullSafe(slices["__day"])) & (rows["__slice"].eqNullSafe(slices["__slice"]))).drop(slices["__day"]).drop(slices["__slice"])
+
+    turning = ~F.col("__shut") & F.col("__turns")
+    ahead = before("__day", "__slice")
+    exact = rows.filter(turning).withColumns({"__k1": F.col("__k0") + summed(F.when(own, 1).otherwise(0), ahead), "__s1": F.col("__s0") + summed(F.when(own, F.col("__used")).otherwise(0.0), ahead)})
+    exact = exact.withColumn("__shut", reached(F.col("__k1"), F.col("__s1"))).drop("__k1", "__s1")
+    rows = rows.filter(~turning).unionByName(exact).withColumn("admitted", own & ~F.col("__shut"))
+
+    # What a rejected request met: its user's admitted requests all came before it, and if a global
+    # ceiling was reached by then, so did the day's.
+    took = rows.groupBy("user_id", "__day").agg(F.count_if("admitted").alias("__n1"), F.sum(F.when(F.col("admitted"), F.col("__used")).otherwise(0.0)).alias("__u1"))
+    days = took.groupBy("__day").agg(F.sum("__u1").alias("__all"))
+    same = lambda a, b, keys: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+    rows = rows.join(took, same(rows, took, ("user_id", "__day"))).drop(took["user_id"]).drop(took["__day"])
+    rows = rows.join(days, same(rows, days, ("__day",))).drop(days["__day"])
+    reason = (
+        F.when(F.col("admitted"), None)
+        .when(F.col("__shut") & (F.col("__all") >= most["gt"]), "global_tokens")
+        .when(F.col("__u1") >= most["ut"], "user_tokens")
+        .when(F.col("__n1") >= most["ur"], "user_requests")
+        .otherwise("global_requests")
+    )
+    return rows.select(*events.columns, "admitted", reason.alias("reason"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon import session
 from tabulon.functions import expr
 from tabulon.operators import catalog, cleaning, insights, loads, marts, profile
 from tabulon.operators import contract as C
 from tabulon.operators import relational as R
-from tabulon.plans.base import TEXT_ORDERS, Registry, text_orders
+from tabulon.plans.base import RATE_LIMIT_SQL, TEXT_ORDERS, Registry, text_orders
+from tabulon.sources import files
 from tabulon.streaming import streams
 
 r = Registry()
@@ -105,6 +108,69 @@ r.add("clean_preview", f"WITH {TEXT_ORDERS}, c AS (SELECT DISTINCT status, paid,
 r.add("clean_apply", f"WITH {TEXT_ORDERS} SELECT DISTINCT CASE WHEN status = 'n/a' THEN NULL ELSE trim(status) END AS status, CASE paid WHEN 'Yes' THEN 'true' ELSE 'false' END AS paid, TRY_CAST(grade AS DOUBLE) AS grade FROM text_orders", "orders")(
     lambda o: cleaning.apply_cleaning(text_orders(o).select("status", "paid", "grade"), cleaning.CleaningActions(numbers=["grade"], booleans=["paid"]))
 )
+_DIRTY = ["status", "paid", "grade", "amount"]
+_WRITE = cleaning.CleaningActions(numbers=["grade", "amount"], booleans=["paid"])
+
+
+def _counters(o: DataFrame) -> DataFrame:
+    """What the write of a cleaned copy counted, and the rows that it wrote."""
+    spark, path = o.sparkSession, session.work_path(o.sparkSession, "cleaned")
+    told = cleaning.write_cleaned(text_orders(o).select(*_DIRTY), _WRITE, path)
+    cells = [F.lit(v).cast("bigint").alias(k) for k, v in sorted(told.items())]
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_read")).select("rows_read", *cells)
+
+
+r.add(
+    "clean_counters",
+    f"""WITH {TEXT_ORDERS}, d AS (SELECT DISTINCT CASE WHEN status <> 'n/a' THEN trim(status) END, paid, CASE WHEN grade <> 'oops' THEN grade END, amount FROM text_orders)
+    SELECT (SELECT count(*) FROM d) AS rows_read, (SELECT count(*) FROM d) AS output_rows, count(*) AS input_rows, count(*) FILTER (status <> 'n/a') AS trimmed_cells, count(*) FILTER (status = 'n/a') AS standardised_nulls,
+    count(*) AS converted_numbers, count(*) FILTER (grade = 'oops') AS blanked_unparsed, count(*) AS converted_booleans, 0::BIGINT AS empty_rows FROM text_orders""",
+    "orders",
+)(_counters)
+r.add(
+    "cleaning_plan",
+    f"""WITH {TEXT_ORDERS}, d AS (SELECT DISTINCT status, paid, grade, amount FROM text_orders), n AS (SELECT count(*) AS n, count(*) FILTER (status <> 'n/a') AS trims, count(*) FILTER (status = 'n/a') AS nulls, count(*) FILTER (CAST(id AS BIGINT) % 40 = 0) AS bad FROM text_orders)
+    SELECT * FROM (SELECT 'normalize_headers' AS action, 2::BIGINT AS affected, '' AS columns UNION ALL SELECT 'trim_whitespace', trims, '' FROM n UNION ALL SELECT 'standardize_nulls', nulls, '' FROM n UNION ALL SELECT 'parse_numbers', n, 'amount' FROM n UNION ALL SELECT 'normalize_booleans', n, 'paid' FROM n
+    UNION ALL SELECT 'remove_duplicates', n - (SELECT count(*) FROM d), '' FROM n UNION ALL SELECT 'repair_row_width', bad, '' FROM n) WHERE affected > 0""",
+    "orders",
+)(
+    lambda o: cleaning.cleaning_plan(text_orders(o).select(*_DIRTY, F.when(F.col("id").cast("bigint") % 40 == 0, F.col("id")).alias("_corrupt")), ["status", " paid", "grade", "amount!"]).withColumn("columns", F.array_join("columns", ","))
+)
+r.add("missing_by_column", f"WITH {TEXT_ORDERS} SELECT 'status' AS \"column\", count(*) FILTER (status = 'n/a') AS missing FROM text_orders UNION ALL SELECT unnest(['paid', 'grade', 'amount']), 0", "orders")(lambda o: cleaning.missing_by_column(text_orders(o).select(*_DIRTY)))
+r.add("formatted_examples", f"WITH {TEXT_ORDERS} SELECT 'amount' AS \"column\", array_to_string((SELECT list(amount ORDER BY amount)[1:3] FROM (SELECT DISTINCT amount FROM text_orders)), ';') AS examples", "orders")(
+    lambda o: cleaning.formatted_examples(text_orders(o).select(*_DIRTY), ["amount", "grade"]).withColumn("examples", F.array_join("examples", ";"))
+)
+
+
+def _repaired(o: DataFrame) -> DataFrame:
+    """Rows of another width, kept: short ones padded, long ones cut."""
+    spark, path = o.sparkSession, session.work_path(o.sparkSession, "odd-rows")
+    k = F.col("o_orderkey")
+    line = F.concat_ws(",", k, F.when(k % 5 != 0, F.col("o_orderstatus")), F.when(k % 5 == 1, F.lit("extra")))
+    head = spark.range(4).select(F.col("id").alias("bucket"), F.lit(-1).cast("bigint").alias("at"), F.lit("id,status").alias("value"))
+    rows = o.select((k % 4).alias("bucket"), k.alias("at"), line.alias("value")).unionByName(head)
+    rows.repartition("bucket").sortWithinPartitions("bucket", "at").select("bucket", "value").write.partitionBy("bucket").text(path)
+    return files.repair_row_width(files.read_delimited(spark, [f"{path}/bucket={b}" for b in range(4)], ["id", "status"]))
+
+
+r.add("repaired_rows", "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status FROM orders", "orders")(_repaired)
+
+
+def _guarded(o: DataFrame) -> DataFrame:
+    """Cleaning that is refused because the source changed, and cleaning of the same source."""
+    t = text_orders(o).select("status", "paid")
+    seen = tuple(cleaning.fingerprint(t).first())
+    try:
+        cleaning.apply_if_unchanged(t.filter("paid = 'Yes'"), cleaning.CleaningActions(), seen)
+        refused = False
+    except ValueError:
+        refused = True
+    return cleaning.apply_if_unchanged(t, cleaning.CleaningActions(), seen).withColumn("changed_refused", F.lit(refused))
+
+
+r.add("guarded_cleaning", f"WITH {TEXT_ORDERS} SELECT DISTINCT CASE WHEN status <> 'n/a' THEN trim(status) END AS status, paid, true AS changed_refused FROM text_orders", "orders")(_guarded)
+
+
 r.add("numeric_text_columns", f"WITH {TEXT_ORDERS} SELECT 'amount' AS \"column\", count(*) AS filled, count(*) AS numeric, count(*) AS formatted FROM text_orders", "orders")(lambda o: cleaning.numeric_text_columns(text_orders(o)))
 r.add("boolean_text_columns", f"WITH {TEXT_ORDERS} SELECT 'paid' AS \"column\", count(*) AS filled FROM text_orders", "orders")(lambda o: cleaning.boolean_text_columns(text_orders(o)))
 r.add("parse_currency", f"WITH {TEXT_ORDERS} SELECT id, CAST(replace(amount, '$', '') AS DOUBLE) AS amount FROM text_orders", "orders")(lambda o: text_orders(o).select("id", expr.parse_currency(F.col("amount")).alias("amount")))
@@ -175,7 +241,17 @@ r.add("request_cap", "SELECT event_id, row_number() OVER (PARTITION BY user_id,
 r.add("token_cap", "SELECT event_id, coalesce(sum(CAST(round(value) AS BIGINT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60 AS admitted FROM events", "events")(
     lambda e: marts.token_cap(e.withColumn("tokens", F.round("value").cast("bigint")), 60, "tokens").select("event_id", "admitted")
 )
-r.add("rate_limit_audit", None, "events")(lambda e: streams.rate_limit_audit(e, 2, 86_400.0))
+r.add("rate_limit_audit", RATE_LIMIT_SQL, "events")(lambda e: streams.rate_limit_audit(e, 2, 86_400.0).drop("ts"))
+r.add(
+    "usage_budget",
+    """WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS d, ts, CAST(round(value) AS BIGINT) AS t FROM events),
+    u AS (SELECT *, row_number() OVER w - 1 < 3 AND coalesce(sum(t) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 150 AS own FROM e WINDOW w AS (PARTITION BY user_id, d ORDER BY ts, event_id)),
+    g AS (SELECT *, coalesce(count(*) FILTER (own) OVER b, 0) >= 200 OR coalesce(sum(t) FILTER (own) OVER b, 0) >= 9900 AS shut FROM u WINDOW b AS (PARTITION BY d ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    a AS (SELECT *, own AND NOT shut AS admitted FROM g),
+    c AS (SELECT *, coalesce(sum(t) FILTER (admitted) OVER (PARTITION BY d), 0) AS all_t, coalesce(sum(t) FILTER (admitted) OVER (PARTITION BY user_id, d), 0) AS user_t, count(*) FILTER (admitted) OVER (PARTITION BY user_id, d) AS user_n FROM a)
+    SELECT event_id, admitted, CASE WHEN admitted THEN NULL WHEN shut AND all_t >= 9900 THEN 'global_tokens' WHEN user_t >= 150 THEN 'user_tokens' WHEN user_n >= 3 THEN 'user_requests' ELSE 'global_requests' END AS reason FROM c""",
+    "events",
+)(lambda e: marts.usage_budget(e.withColumn("tokens", F.round("value").cast("bigint")), 3, 150, 200, 9900, slice_seconds=600).select("event_id", "admitted", "reason"))
 r.add("unique_violations", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1", "lineitem")(lambda li: C.expect_unique(li, ["l_orderkey"]))
 r.add("accepted_violations", "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O')", "orders")(lambda o: C.expect_accepted(o, "o_orderstatus", ["F", "O"]).select("o_orderkey"))
 _KNOWN = ", ".join(f"'{w}'" for w in ("[value]", "[number]", *sorted({*expr.INTENT_WORDS} - {*expr.STOP_WORDS})))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon import session
 from tabulon.operators import loads, marts
-from tabulon.plans.base import TEXT_ORDERS, Registry, table, text_orders
+from tabulon.plans.base import RATE_LIMIT_SQL, TEXT_ORDERS, Registry, table, text_orders
 from tabulon.sources import files
 from tabulon.streaming import streams
 
@@ -61,6 +61,95 @@ r.add("lake_history", "SELECT CASE WHEN c = 1 THEN 'insert' ELSE 'update' END AS
 r.add("lake_rollback", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 < 7", "orders")(_rolled_back)
 
 
+def _with_bad_lines(o: DataFrame, every: int) -> str:
+    """Orders as four CSV files; of each ``every`` lines one has a field too many and one lacks a field."""
+    k, path = F.col("o_orderkey"), session.work_path(o.sparkSession, "bad-lines")
+    line = F.concat_ws(",", k, "o_orderstatus", F.when(k % every != 1, F.concat(F.lit('"'), "o_orderpriority", F.lit(', say"'))), F.when(k % every == 0, F.lit("more")))
+    rows = o.select((k % 4).alias("bucket"), k.alias("at"), line.alias("value"))
+    head = o.sparkSession.range(4).select(F.col("id").alias("bucket"), F.lit(-1).cast("bigint").alias("at"), F.lit("id,status,priority").alias("value"))
+    rows.unionByName(head).repartition("bucket").sortWithinPartitions("bucket", "at").select("bucket", "value").write.partitionBy("bucket").text(path)
+    return path
+
+
+def _bad_lines(o: DataFrame) -> DataFrame:
+    found = files.malformed_lines(o.sparkSession, _with_bad_lines(o, 32), 3)
+    return found.select(F.regexp_extract("file", "bucket=([0-9])", 1).cast("bigint").alias("bucket"), "line", "fields")
+
+
+def _loads_with_bad_lines(o: DataFrame) -> DataFrame:
+    """Files with a thirty-second of bad lines are loaded without them, those with an eighth are quarantined."""
+    spark = o.sparkSession
+    lake = loads.Lake(spark, session.work_path(spark, "lake"))
+    for load_id, every in (("F1", 64), ("F2", 16)):
+        lake.load_files("orders", [f"{_with_bad_lines(o, every)}/bucket={b}" for b in range(4)], "replace", load_id, ["id"])
+    loaded = lake.current("orders").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"), F.max("priority").alias("last")).withColumn("load_id", F.lit("F1"))
+    gate = F.explode(F.from_json("checks", "checks array<struct<check:string,severity:string,rows:bigint>>, malformed_samples array<struct<line:bigint,fields:int>>")["checks"])
+    told = lake.loads("orders").withColumn("samples", F.size(F.from_json("checks", "malformed_samples array<struct<line:bigint,fields:int>>")["malformed_samples"]))
+    bad = told.select("load_id", "status", "samples", gate.alias("c")).filter("c.check = 'malformed_rows'").select("load_id", "status", "samples", F.col("c.rows").alias("malformed"), "c.severity")
+    return bad.join(loaded, "load_id", "left")
+
+
+r.add("malformed_lines", "SELECT bucket, line, fields FROM (SELECT o_orderkey AS k, o_orderkey % 4 AS bucket, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) + 1 AS line, CAST(CASE WHEN o_orderkey % 32 = 0 THEN 4 ELSE 2 END AS INTEGER) AS fields FROM orders) WHERE k % 32 IN (0, 1)", "orders")(_bad_lines)
+r.add(
+    "malformed_loads",
+    """WITH b AS (SELECT 'F1' AS load_id, 64 AS every UNION ALL SELECT 'F2', 16),
+    c AS (SELECT load_id, count(*) FILTER (o_orderkey % every IN (0, 1)) AS malformed, count(*) AS n, count(*) FILTER (o_orderkey % every NOT IN (0, 1)) AS rows, max(o_orderpriority || ', say') FILTER (o_orderkey % every NOT IN (0, 1)) AS last FROM orders, b GROUP BY 1)
+    SELECT load_id, CASE WHEN malformed > 0.05 * n THEN 'quarantined' ELSE 'succeeded' END AS status, CAST(least(malformed, 20) AS INTEGER) AS samples, malformed, CASE WHEN malformed > 0.05 * n THEN 'fail' ELSE 'warn' END AS severity,
+      CASE WHEN malformed <= 0.05 * n THEN rows END AS rows, CASE WHEN malformed <= 0.05 * n THEN rows END AS ids, CASE WHEN malformed <= 0.05 * n THEN last END AS last FROM c""",
+    "orders",
+)(_loads_with_bad_lines)
+
+
+# ---------------------------------------------------------------- pulls with a stored cursor
+
+
+def _pulled(o: DataFrame) -> loads.Lake:
+    """Orders pulled by key in thirds; the second pull dies once before its version, and is run again after the source grew."""
+    lake = loads.Lake(o.sparkSession, session.work_path(o.sparkSession, "lake"))
+    rows = _orders_text(o).withColumn("id", F.col("id").cast("bigint"))
+    limit = -(-rows.count() // 3)
+    lake.pull("orders", "shop", rows, "id", "P1", limit=limit)
+    whole, lake.run_load = lake.run_load, _dies
+    try:
+        lake.pull("orders", "shop", rows, "id", "P2", limit=limit)
+    except InterruptedError:
+        lake.run_load = whole
+    for load_id in ("P2", "P2", "P3", "P4"):
+        lake.pull("orders", "shop", rows, "id", load_id, limit=limit + 7 * (load_id == "P2"))  # a new limit does not move a recorded range
+    return lake
+
+
+def _dies(*_: object, **__: object) -> str:
+    raise InterruptedError
+
+
+r.add("cursor_pulls", "SELECT o_orderkey AS id, o_orderstatus AS status, 'P' || CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // CAST(ceil(count(*) OVER () / 3) AS BIGINT) + 1 AS VARCHAR) AS load_id FROM orders", "orders")(
+    lambda o: _pulled(o).current("orders").select("id", "status", F.col("__load_id").alias("load_id"))
+)
+r.add("connector_state", "SELECT 'orders' AS dataset, 'shop' AS source, CAST(max(o_orderkey) AS VARCHAR) AS \"cursor\", 4::BIGINT AS runs, 'empty' AS last_status, 'P3' AS last_load_id, count(*) - 2 * CAST(ceil(count(*) / 3) AS BIGINT) AS last_rows FROM orders", "orders")(
+    lambda o: _pulled(o).connector_state("orders").drop("last_run_at")
+)
+
+
+def _versions(o: DataFrame) -> DataFrame:
+    """Two loads, one that brings nothing new, and rollbacks of all but the first: loads, versions and what is current."""
+    lake = _loaded(o)
+    last = F.col("id").cast("bigint") % 10
+    lake.run_load("orders", _orders_text(o).filter(last < 5), "append", "L3", ["id"])
+    lake.rollback("orders", "L3")
+    lake.rollback("orders", "L2")
+    n = lake.current("orders").count()
+    return lake.loads("orders").join(lake.snapshots("orders").select("load_id", "is_current"), "load_id", "left").select("load_id", "status", F.col("version").isNotNull().alias("has_version"), "is_current", F.when(F.col("is_current"), n).alias("rows"), F.col("counts")["inserted"].alias("inserted"), F.col("counts")["skipped"].alias("skipped"))
+
+
+r.add(
+    "lake_versions",
+    """SELECT 'L1' AS load_id, 'succeeded' AS status, true AS has_version, true AS is_current, count(*) FILTER (o_orderkey % 10 < 7) AS rows, count(*) FILTER (o_orderkey % 10 < 7) AS inserted, NULL::BIGINT AS skipped FROM orders
+    UNION ALL SELECT 'L2', 'rolled_back', true, false, NULL, NULL, NULL UNION ALL SELECT 'L3', 'rolled_back', false, NULL, NULL, 0, count(*) FROM orders WHERE o_orderkey % 10 < 5""",
+    "orders",
+)(_versions)
+
+
 # ---------------------------------------------------------------- the load ledger and its marts
 
 
@@ -75,7 +164,9 @@ def _ledger(o: DataFrame) -> DataFrame:
         status.alias("status"),
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
         (k % 100).alias("duration_ms"),
-        F.struct((k % 1000).alias("rows_in"), (k % 900).alias("rows_out")).alias("counts"),
+        F.when(k % 7 > 0, k * 10).alias("raw_bytes"),
+        F.struct((k % 1000).alias("rows_in"), (k % 900).alias("rows_out"), F.when(k % 5 > 0, k % 13).alias("rows_rejected")).alias("counts"),
+        F.struct(F.element_at(F.array(*map(F.lit, ("passed", "warned", None))), (k % 3 + 1).cast("int")).alias("status")).alias("quality"),
     )
     path = session.work_path(o.sparkSession, "ledger-json")
     rows.write.json(path)
@@ -83,29 +174,33 @@ def _ledger(o: DataFrame) -> DataFrame:
 
 
 _LOADS = """l AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS load_id, 'p' || CAST(o_orderkey % 3 AS VARCHAR) AS project_id, o_orderpriority AS dataset,
-  CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'failed' ELSE 'quarantined' END AS status, CAST(o_orderdate AS DATE) AS dt, o_orderkey % 100 AS duration_ms, o_orderkey % 900 AS rows_out FROM orders)"""
+  CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'failed' ELSE 'quarantined' END AS status, CAST(o_orderdate AS DATE) AS dt, o_orderkey % 100 AS duration_ms, o_orderkey % 900 AS rows_out,
+  CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey * 10 END AS raw_bytes, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 13 END AS rows_rejected, ['passed', 'warned', NULL][o_orderkey % 3 + 1] AS quality_status FROM orders)"""
 
 r.add("fct_loads", f"WITH {_LOADS} SELECT load_id, project_id, dataset, status, dt, duration_ms, rows_out, CASE WHEN duration_ms > 0 THEN round(rows_out * 1000 / duration_ms, 2) END AS rows_per_s FROM l", "orders")(
     lambda o: marts.fct_loads(_ledger(o)).select("load_id", "project_id", "dataset", "status", "dt", "duration_ms", "rows_out", "rows_per_s")
 )
 r.add(
     "daily_pipeline",
-    f"""WITH {_LOADS} SELECT dt, project_id, count(*) AS runs, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, round(count(*) FILTER (status = 'failed') / count(*), 4) AS failure_rate,
-    round(avg(duration_ms), 2) AS avg_duration, round(quantile_cont(duration_ms, 0.95), 4) AS p95_duration, max(duration_ms) AS max_duration FROM l GROUP BY 1, 2""",
+    f"""WITH {_LOADS} SELECT dt, project_id, count(*) AS loads, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'failed') AS failed,
+    round(count(*) FILTER (status = 'quarantined') / count(*), 4) AS quarantine_rate, CAST(coalesce(sum(rows_out), 0) AS BIGINT) AS rows_loaded, CAST(coalesce(sum(rows_rejected), 0) AS BIGINT) AS rows_rejected, CAST(coalesce(sum(raw_bytes), 0) AS BIGINT) AS raw_bytes,
+    round(avg(duration_ms)) AS avg_duration_ms, CAST(quantile_cont(duration_ms, 0.95) AS DOUBLE) AS p95_duration_ms, max(duration_ms) AS max_duration_ms FROM l GROUP BY 1, 2""",
     "orders",
-)(lambda o: marts.daily(marts.fct_loads(_ledger(o)), ["dt", "project_id"], F.col("status") == "succeeded", F.col("status") == "failed", "duration_ms"))
+)(lambda o: marts.daily_pipeline(marts.fct_loads(_ledger(o))))
 r.add(
     "dataset_health",
-    f"""WITH {_LOADS} SELECT project_id, dataset, count(*) AS loads, count(*) FILTER (status <> 'succeeded') AS not_succeeded, CAST(sum(rows_out) AS BIGINT) AS rows_out,
-    max(load_id) FILTER (status = 'succeeded') AS load_id, arg_max(dt, load_id) FILTER (status = 'succeeded') AS last_day, arg_max(rows_out, load_id) FILTER (status = 'succeeded') AS last_rows FROM l GROUP BY 1, 2""",
+    f"""WITH {_LOADS}, latest AS (SELECT project_id, dataset, max(load_id) AS last_success_load_id FROM l WHERE status = 'succeeded' GROUP BY 1, 2)
+    SELECT project_id, dataset, count(*) AS loads, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'failed') AS failed,
+    min(dt) AS first_load_at, max(dt) AS last_load_at, last_success_load_id, max(CASE WHEN load_id = last_success_load_id THEN rows_out END) AS last_rows_out, max(CASE WHEN load_id = last_success_load_id THEN quality_status END) AS last_quality_status,
+    CAST(coalesce(sum(rows_rejected), 0) AS BIGINT) AS rows_rejected_total, round(avg(duration_ms)) AS avg_duration_ms FROM l LEFT JOIN latest USING (project_id, dataset) GROUP BY project_id, dataset, last_success_load_id""",
     "orders",
-)(lambda o: marts.dataset_health(_ledger(o)).select("project_id", "dataset", "loads", "not_succeeded", "rows_out", "load_id", F.to_date("last_success_at").alias("last_day"), "last_rows"))
+)(lambda o: marts.dataset_health(_ledger(o)).withColumns({c: F.to_date(c) for c in ("first_load_at", "last_load_at")}))
 _DONE = "count(*) FILTER (status IN ('succeeded', 'quarantined', 'failed'))"
 r.add(
     "load_report",
     f"""WITH {_LOADS}, s AS (SELECT * FROM l WHERE status = 'succeeded'), p AS (SELECT duration_ms, row_number() OVER (ORDER BY duration_ms) - 1 AS pos, count(*) OVER () - 1 AS n FROM s),
     a AS (SELECT count(*) AS loads_total, count(*) FILTER (dt >= DATE '1998-01-01') AS loads_24h, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'failed') AS failed, 0 AS rolled_back, 0 AS other_status,
-      sum(rows_out) FILTER (status = 'succeeded') AS rows_loaded, 0 AS rows_rejected, 0 AS raw_bytes, floor(avg(duration_ms) FILTER (status = 'succeeded')) AS avg_ms, max(duration_ms) FILTER (status = 'succeeded') AS max_ms,
+      sum(rows_out) FILTER (status = 'succeeded') AS rows_loaded, sum(rows_rejected) AS rows_rejected, sum(raw_bytes) AS raw_bytes, floor(avg(duration_ms) FILTER (status = 'succeeded')) AS avg_ms, max(duration_ms) FILTER (status = 'succeeded') AS max_ms,
       round(sum(rows_out) FILTER (status = 'succeeded') / (sum(duration_ms) FILTER (status = 'succeeded') / 1000), 1) AS rows_per_s, round(count(*) FILTER (status = 'quarantined') / {_DONE}, 4) AS quarantine_rate, round(count(*) FILTER (status = 'failed') / {_DONE}, 4) AS failure_rate,
       (SELECT max(duration_ms) FROM p WHERE pos = round_even(0.5 * n, 0)) AS p50, (SELECT max(duration_ms) FROM p WHERE pos = round_even(0.95 * n, 0)) AS p95 FROM l)
     SELECT metric, CAST(value AS DOUBLE) AS value FROM (SELECT {{}} FROM a) UNPIVOT (value FOR metric IN (COLUMNS(*)))""".replace(
@@ -116,9 +211,9 @@ r.add(
 r.add(
     "loads_by_dataset",
     f"""WITH {_LOADS}, m AS (SELECT *, (dt, load_id) AS o FROM l) SELECT dataset, count(*) AS loads, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'failed') AS failed,
-    arg_max(load_id, o) AS last_load_id, arg_max(status, o) AS last_status, arg_max(rows_out, o) FILTER (status = 'succeeded') AS rows_current FROM m GROUP BY 1""",
+    arg_max(load_id, o) AS last_load_id, arg_max(status, o) AS last_status, arg_max_null(rows_out, o) FILTER (status = 'succeeded') AS rows_current, arg_max_null(quality_status, o) FILTER (status = 'succeeded') AS quality_status FROM m GROUP BY 1""",
     "orders",
-)(lambda o: loads.loads_by_dataset(_ledger(o)).drop("last_mode", "last_finished_at", "quality_status"))
+)(lambda o: loads.loads_by_dataset(_ledger(o)).drop("last_mode", "last_finished_at"))
 r.add("recent_loads", f"WITH {_LOADS} SELECT load_id, dataset, status, rows_out FROM l ORDER BY dt DESC, load_id DESC LIMIT 20", "orders")(lambda o: loads.recent_loads(_ledger(o)).select("load_id", "dataset", "status", "rows_out"))
 
 
@@ -266,7 +361,31 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(streams.rate_limit_stream(_arriving(spark, sf_dir, "events"), 2, 86_400.0), "append")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, streams.ROCKSDB)
+    try:
+        return _finished(streams.rate_limit_stream(_arriving(spark, sf_dir, "events"), 2, 86_400.0), "append").select("user_id", "event_id", "admitted")
+    finally:
+        spark.conf.set(key, before)
+
+
+def _late_mart(spark: SparkSession, sf_dir: str) -> streams.WindowedMart:
+    """Events in two arrivals: the second half of the month first, then the others."""
+    e, path = _events(table(spark, sf_dir, "events")), session.work_path(spark, "late")
+    mart = streams.WindowedMart(spark, f"{path}/mart", delay="3 days")
+    for early in (False, True):
+        e.filter((F.to_date("ts") < F.lit("2024-01-15").cast("date")) == early).write.mode("append").parquet(f"{path}/in")
+        mart.run(spark.readStream.schema(e.schema).parquet(f"{path}/in"), f"{path}/checkpoint").awaitTermination()
+    return mart
+
+
+def stream_late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on time with their counts, and days of late rows: together all events."""
+    mart = _late_mart(spark, sf_dir)
+    on_time = mart.counts().select(F.to_date("start").alias("day"), "event_type", "n", "total", "peak", F.lit(False).alias("late"))
+    late = mart.late_rows().select(F.to_date("start").alias("day"), F.lit(None).cast("string").alias("event_type"), "n", F.lit(None).cast("double").alias("total"), F.lit(None).cast("double").alias("peak"), F.lit(True).alias("late"))
+    return on_time.unionByName(late)
 
 
 def stream_event_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,10 +407,13 @@ def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.current("orders").select("id", "status")
 
 
-for f in (stream_daily_counts, stream_rate_limit, stream_event_sink, stream_load):
+for f in (stream_daily_counts, stream_late_counts, stream_rate_limit, stream_event_sink, stream_load):
     r.queries[f.__name__] = f
 r.sql |= {
     "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS peak FROM events GROUP BY 1, 2",
+    "stream_late_counts": """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, value, ts < TIMESTAMP '2024-01-15' AND CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events WHERE ts >= TIMESTAMP '2024-01-15') - INTERVAL 3 DAY AS late FROM events)
+    SELECT day, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS peak, false AS late FROM e WHERE NOT coalesce(late, false) GROUP BY 1, 2 UNION ALL SELECT day, NULL, count(*), NULL, NULL, true FROM e WHERE late GROUP BY 1""",
+    "stream_rate_limit": RATE_LIMIT_SQL,
     "stream_event_sink": "SELECT CAST(ts AS DATE) AS dt, count(*) AS runs, CAST(sum(event_id) AS BIGINT) AS input_tokens, 0::BIGINT AS output_tokens FROM events WHERE event_id % 2 = 0 GROUP BY 1",
     "stream_load": "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders",
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,48 +47,71 @@ def sniff_bytes(content: bytes, path: str) -> tuple[str, str, list[str]]:
 def sniff_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``path, encoding, delimiter, header``, one row per file, from its first 4 MB.
 
-    Files up to that size are read where they lie; of each larger one the driver
-    reads the head, one at a time, and keeps what it found.
+    Paths and sizes are listed; the heads are read and judged by tasks, each
+    through the store's own client. Where a store has none outside Spark, tasks
+    get the file's content from Spark instead.
     """
     listed = spark.read.format("binaryFile").load(paths)
-    files = listed.filter(F.col("length") <= _SAMPLE).select("path", "content")
-    large = [r["path"] for r in listed.filter(F.col("length") > _SAMPLE).select("path").collect()]  # names only
+    near = F.regexp_extract("path", "^([a-z0-9]+):", 1).isin(*_CLIENTS)
+    head = lambda path, _: _head(path)
+    whole = lambda _, content: bytes(content)[:_SAMPLE]
+    by_client = listed.filter(near).select("path", F.lit(None).cast("binary").alias("content")).mapInPandas(_sniffer(head), SNIFFED)
+    return by_client.unionByName(listed.filter(~near).select("path", "content").mapInPandas(_sniffer(whole), SNIFFED))
 
+
+def _sniffer(head):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [sniff_bytes(bytes(c), p) for p, c in zip(f["path"], f["content"], strict=True)]
-            yield pd.DataFrame([(p, *x) for p, x in zip(f["path"], found, strict=True)], columns=["path", "encoding", "delimiter", "header"])
+            found = [(p, *sniff_bytes(head(p, c), p)) for p, c in zip(f["path"], f["content"], strict=True)]
+            yield pd.DataFrame(found, columns=["path", "encoding", "delimiter", "header"])
+
+    return run
+
+
+#: Stores that pyarrow opens by their URI.
+_CLIENTS = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 
-    found = files.mapInPandas(run, SNIFFED)
-    if not large:
-        return found
-    return found.unionByName(spark.createDataFrame([(p, *sniff_bytes(_head(spark, p), p)) for p in large], SNIFFED))
 
+def _head(uri: str) -> bytes:
+    """The first 4 MB of a file."""
+    from pyarrow import fs
 
-def _head(spark: SparkSession, path: str) -> bytes:
-    """The first 4 MB of a file that has more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
-    try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, _SAMPLE))
-    finally:
-        stream.close()
+    # Hadoop writes local files as file:/a and names S3 after its own client.
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri.replace("s3a://", "s3://", 1)
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as f:
+        return f.read(_SAMPLE)
 
 
 _JAVA = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}
 
 
-def read_delimited(spark: SparkSession, path: str | list[str], header: list[str], delimiter: str = ",", encoding: str = "utf-8-sig") -> DataFrame:
-    """All-text rows with ``_corrupt`` set on rows of another width; cells trimmed, blank rows dropped."""
+def _odd_quotes(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.regexp_count("value", F.lit('"')) % 2 == 1)
+
+
+def has_quoted_breaks(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether some line holds an odd number of quotes, as the lines of a cell with a line break do."""
+    return _odd_quotes(spark.read.text(path)).limit(1).count() > 0
+
+
+def read_delimited(spark: SparkSession, path: str | list[str], header: list[str], delimiter: str = ",", encoding: str = "utf-8-sig", multiline: bool | None = None) -> DataFrame:
+    """All-text rows with ``_corrupt`` set on rows of another width; cells trimmed, blank rows dropped.
+
+    Files whose cells hold no line breaks are split over many tasks; with line
+    breaks a file is one task. Unless told, the lines' quotes are counted to tell.
+    """
     names = clean_headers(header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt", T.StringType())])
+    if multiline is None:
+        multiline = encoding == "utf-16" or has_quoted_breaks(spark, path)
     raw = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
         .option("sep", delimiter)
         .option("encoding", _JAVA.get(encoding, encoding))
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
@@ -98,6 +122,31 @@ def read_delimited(spark: SparkSession, path: str | list[str], header: list[str]
     return raw.select(*cells, "_corrupt").filter(~blank)
 
 
+def malformed_lines(spark: SparkSession, path: str | list[str], width: int, delimiter: str = ",") -> DataFrame:
+    """``file, line, fields`` of data lines whose number of fields is not ``width``; the header is line 1.
+
+    A block of a file is read in order by one task, so a line's number is the
+    count of lines in the blocks before it, and its place in its own. Blank lines
+    are counted but not told. Files without line breaks in cells.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quoted = r'"(?:[^"]|"")*"'
+    fields = F.regexp_count(F.regexp_replace("value", quoted, ""), F.lit(re.escape(delimiter))) + 1
+    blank = F.regexp_replace("value", rf'[\s"{re.escape(delimiter)}]', "") == ""
+    bad = lines.withColumn("fields", fields).filter((F.col("fields") != width) & ~blank)
+    numbered = bad.join(blocks.withColumn("before", before), ["file", "block"])
+    return numbered.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "fields").filter("line > 1")
+
+
+def malformed_counts(df: DataFrame) -> DataFrame:
+    """One row: ``rows`` of the header's width, ``malformed`` ones, and their ``share``."""
+    bad = F.count_if(F.col("_corrupt").isNotNull() & F.lit(True))
+    n = df.select("_corrupt", *df.columns[:1]).agg((F.count(F.lit(1)) - bad).alias("rows"), bad.alias("malformed"))
+    return n.withColumn("share", F.round(F.coalesce(F.try_divide("malformed", F.col("rows") + F.col("malformed")), F.lit(0.0)), 6))
+
+
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the header's width, and the others."""
     return df.filter("_corrupt is null").drop("_corrupt"), df.filter("_corrupt is not null")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tabulon.operators.loads import Lake
 
@@ -37,6 +36,55 @@ def windowed_counts(events: DataFrame, window: str = "1 day", slide: str | None
     return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("peak")).select(F.col("w.start").alias("start"), "event_type", "n", "total", "peak")
 
 
+class WindowedMart:
+    """Counts by type and window of a stream, with every late row counted beside them.
+
+    Each micro-batch adds its own partial counts under its number, so a batch that
+    is run again replaces what it wrote. A row is late if its window ended at or
+    before the watermark: the newest event time of the batches before, less
+    ``delay``. Late rows change no window; on time and late rows are all rows.
+    Rows without a time are counted as late of no window.
+    """
+
+    SCHEMA = "start timestamp, event_type string, late boolean, n bigint, total double, peak double, newest timestamp, batch bigint"
+
+    def __init__(self, spark: SparkSession, path: str, window: str = "1 day", slide: str | None = None, delay: str = "1 day"):
+        self.spark, self.path, self.window, self.slide, self.delay = spark, path.rstrip("/"), window, slide, delay
+
+    def parts(self) -> DataFrame:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/parts")
+        there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/parts") if there else self.spark.createDataFrame([], self.SCHEMA)
+
+    def watermark(self, batch: int) -> Column:
+        """What batches before ``batch`` have seen, as a literal; null for the first."""
+        newest = self.parts().filter(F.col("batch") < batch).agg(F.max("newest").cast("string")).first()[0]
+        return F.lit(newest).cast("timestamp") - F.expr(f"interval {self.delay}")
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        """One micro-batch, in one aggregation."""
+        w = F.window("ts", self.window, self.slide) if self.slide else F.window("ts", self.window)
+        timed = rows.filter("ts is not null").withColumn("w", w)
+        untimed = rows.filter("ts is null").withColumn("w", F.lit(None).cast(timed.schema["w"].dataType))
+        late = F.coalesce(F.col("w.end") <= self.watermark(batch), F.col("w").isNull())
+        found = timed.unionByName(untimed).groupBy(F.col("w.start").alias("start"), "event_type", late.alias("late"))
+        part = found.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("peak"), F.max("ts").alias("newest"))
+        part.write.mode("overwrite").parquet(f"{self.path}/parts/batch={batch}")
+
+    def run(self, events: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Work off what has arrived."""
+        return events.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def counts(self) -> DataFrame:
+        """``start, event_type, n, total, peak`` of the rows on time."""
+        g = self.parts().filter("not late").groupBy("start", "event_type")
+        return g.agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"), F.max("peak").alias("peak"))
+
+    def late_rows(self) -> DataFrame:
+        """``start, n``: rows that came too late for their window."""
+        return self.parts().filter("late").groupBy("start").agg(F.sum("n").alias("n"))
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
     """Sessions of each user."""
     g = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("s"), "user_id")
@@ -66,18 +114,49 @@ def rate_limit_audit(events: DataFrame, limit: int, seconds: float) -> DataFrame
     return rows.groupBy("user_id").applyInPandas(run, AUDIT)
 
 
-def rate_limit_stream(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """The same over a stream: the admitted times of each user are the state."""
+class _Limiter(StatefulProcessor):
+    """Admission of one user's events; the admitted times within the window are the state.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        for pdf in [pd.concat(list(frames))]:
-            pdf, out = pdf.sort_values(["ts", "event_id"]), []
-            for now in pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6:
-                ok, times = admit(times, now, limit, seconds)
-                out.append(ok)
-            state.update(([float(x) for x in times],))
-            yield pdf.assign(admitted=out)
+    A timer forgets the user once the watermark has passed the window of the last
+    admitted time, from where on no event can be affected by it.
+    """
 
-    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, AUDIT, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, limit: int, seconds: float):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getValueState("times", "times array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        times, out = list(self.times.get()[0]) if self.times.exists() else [], []
+        for now in pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6:
+            ok, times = admit(times, float(now), self.limit, self.seconds)
+            out.append(ok)
+        self.times.update(([float(x) for x in times],))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if times:
+            self.handle.registerTimer(int((max(times) + self.seconds) * 1000) + 1)
+        yield pdf.assign(admitted=out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that timers need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rate_limit_stream(events: DataFrame, limit: int, seconds: float, delay: str = "1 day") -> DataFrame:
+    """The same over a stream. Users idle beyond the window are forgotten; rows later than ``delay`` are dropped.
+
+    The session's state store must be RocksDB (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    return rows.groupBy("user_id").transformWithStateInPandas(_Limiter(limit, seconds), AUDIT, "Append", "EventTime")

@@ -58,31 +58,28 @@ FILES_SCHEMA = "file string, part int, docs long, tokens long, bytes long, frame
 
 #: A cut before such a space could part a run of white space.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
-#: A piece of plain words, each with its punctuation, in lines; and its parts.
-_PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]*(?:\n[^\W\d_]+[.,;:!?]*)*")
-_PARTS = re.compile(r"\n?[^\W\d_]+|[.,;:!?]+")
+#: Pieces that begin or end with white space, or are empty.
+_OPEN = r"^$|^\s|\s$"
 
 
-class CachedEncoder:
-    """Whole-text encoding with the tokenizers library, once for each new word.
+class DistinctEncoder:
+    """Whole-text encoding with the tokenizers library, once for each distinct word of some texts.
 
     The byte-level pre-tokenizer of the vocabulary never joins a space to what
     stands before it unless both are white space, so a text may be cut before
-    each single space and the ids of the pieces joined. A piece of plain words
-    is cut further, before its punctuation and before single line breaks, where
-    the pre-tokenizer cuts as well. Words repeat; the library encodes all new ones
-    of some texts in one call, and their ids are told apart by the bytes that
-    they stand for. Texts with a run of white space that a cut could part go to
-    the library whole. The result equals ``encode`` on every text (tested).
-
-    Words that come again are remembered, in two generations; a full one
-    replaces the older, so frequent words stay and memory is bounded.
+    each single space and the ids of the pieces joined. The distinct pieces of
+    some texts, each after its space, make one line; the library encodes it in
+    one call, and the ids of each piece are told apart by the bytes that they
+    stand for. Pieces that come again are remembered, ``max_pieces`` at most; then
+    those of the texts at hand stay. All of this is done on arrays. Texts with a run of white space that
+    a cut could part, or with the string of an added token, go to the library
+    whole. The result equals ``encode`` on every text (tested).
 
     Strings of the vocabulary's special tokens get those tokens' ids, as in the
     library's plain call; with ``special=False`` they are ordinary text.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000, special: bool = True):
+    def __init__(self, path: str, special: bool = True, max_pieces: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -94,70 +91,49 @@ class CachedEncoder:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, k in vocab.items():
             self.width[k] = len(token)  # one character stands for one byte
-        self.half, self.words, self.older = max_words // 2, {}, {}
-        self.seen = bytearray(1 << 23)  # by hash: words met once
+        self.max_pieces = max_pieces
+        self.known, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each of the distinct ``pieces`` after a space."""
-        cut: dict[str, list[str]] = {}
-        out: dict[str, bytes] = {}
-        single = []
-        for p in pieces:
-            if p.isalpha():
-                single.append(p)
-            elif _PLAIN.fullmatch(p):
-                first, *rest = _PARTS.findall(p)
-                cut[p] = [" " + first, *rest]
-            elif p and not p[0].isspace() and not p[-1].isspace():
-                single.append(p)
-            else:
-                out[p] = self.whole([" " + p])[0]
-        own = [" " + p for p in single]
-        known = self.word_ids({w for parts in cut.values() for w in parts}.union(own))
-        out.update(zip(single, map(known.__getitem__, own), strict=True))
-        for p, parts in cut.items():
-            out[p] = b"".join([known[w] for w in parts])
-        return list(map(out.__getitem__, pieces))
-
-    def word_ids(self, wanted: set[str]) -> dict[str, bytes]:
-        if len(self.words) > self.half:
-            self.words, self.older = {}, self.words
-        words, older, seen = self.words, self.older, self.seen
-        missing = wanted.difference(words)
-        again = [w for w in missing if w in older]
-        words.update(zip(again, map(older.__getitem__, again), strict=True))
-        # A word starts with its space or line break, so words may stand side by side; punctuation may not.
-        new, marks = [], []
-        for w in missing.difference(again):
-            (marks if w[0] in ".,;:!?" else new).append(w)
-        fresh = dict(zip(marks, self.whole(marks), strict=True))
-        if new:
-            line = "".join(new)
-            ids = np.frombuffer(self.whole([line])[0], dtype="<u4")
-            sizes = list(map(len, new)) if line.isascii() else [len(w.encode("utf-8", "surrogatepass")) for w in new]
-            cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1)).tolist()]
-            raw = ids.tobytes()
-            fresh.update(zip(new, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        for w, ids in fresh.items():
-            at = hash(w) & 0x7FFFFF
-            if seen[at]:
-                words[w] = ids
-            else:
-                seen[at] = 1
-        held = wanted.difference(fresh)
-        fresh.update(zip(held, map(words.__getitem__, held), strict=True))
-        return fresh
+    def line_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, each after a space, and how many each has.
 
-    def __call__(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers.
-
-        Pieces are told apart as arrays, so Python handles each distinct piece
-        of these texts once; the ids of all occurrences are then gathered.
+        No piece is empty, or begins or ends with white space.
         """
+        if not len(pieces):
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        line = " " + " ".join(pieces.to_pylist())
+        ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum(pc.binary_length(pieces).to_numpy() + 1)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1, prepend=0)
+
+    def learn(self, pieces: pa.Array) -> np.ndarray:
+        """Places of the pieces among those remembered, after the new ones were encoded."""
+        found = pc.index_in(pieces, value_set=self.known)
+        if len(self.known) + found.null_count > self.max_pieces:
+            self._keep(np.unique(found.drop_null().to_numpy()))
+            found = pc.index_in(pieces, value_set=self.known)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        place = found.fill_null(0).to_numpy().astype(np.int64)
+        place[new] = len(self.known) + np.arange(new.sum())
+        added = pieces.filter(pa.array(new))
+        ids, sizes = self.line_ids(added)
+        self.known = pa.concat_arrays([self.known, added])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        return place
+
+    def _keep(self, some: np.ndarray) -> None:
+        """Forget all pieces but those at these places."""
+        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[some]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(starts[some] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.known, self.sizes = self.known.take(pa.array(some)), sizes
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
         unsafe = np.array([_UNSAFE.search(t) is not None for t in texts.to_pylist()], dtype=bool)
         for mark in self.whole_only:
             unsafe |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
@@ -170,12 +146,19 @@ class CachedEncoder:
         parts = pc.split_pattern(texts.take(pa.array(rows)), " ")
         bounds = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
-        which, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        firsts = self.whole([pieces[k] for k in which[bounds[:-1]]])  # a first piece has no space before it
-        which[bounds[:-1]] = len(pieces) + np.arange(len(rows))
-        ids = [*self.piece_ids(pieces), *firsts]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        source, starts = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
+        which, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        # Three kinds of pieces, numbered one after the other: those remembered, those alone, and first ones.
+        alone = pc.match_substring_regex(pieces, _OPEN).to_numpy(zero_copy_only=False)
+        learnt = self.learn(pieces.filter(pa.array(~alone)))
+        ids, sizes = self.ids, self.sizes
+        firsts = pieces.take(pa.array(which[bounds[:-1]])).to_pylist()  # no space before them
+        other = self.whole([" " + p for p in pieces.filter(pa.array(alone)).to_pylist()] + firsts)
+        place = np.empty(len(pieces), dtype=np.int64)
+        place[~alone], place[alone] = learnt, len(sizes) + np.arange(alone.sum())
+        which = place[which]
+        which[bounds[:-1]] = len(sizes) + alone.sum() + np.arange(len(rows))
+        sizes = np.concatenate([sizes, np.fromiter(map(len, other), dtype=np.int64, count=len(other)) // 4])
+        source, starts = np.concatenate([ids, np.frombuffer(b"".join(other), dtype="<u4")]), np.cumsum(sizes) - sizes
         lengths = sizes[which]
         ends = np.cumsum(lengths)
         joined = source[np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(ends[-1])]
@@ -186,9 +169,9 @@ class CachedEncoder:
 
 
 @cache
-def cached_encoder(path: str) -> CachedEncoder:
+def cached_encoder(path: str) -> DistinctEncoder:
     """One encoder for all tasks of a Python worker."""
-    return CachedEncoder(path)
+    return DistinctEncoder(path)
 
 
 # ---------------------------------------------------------------- one file

@@ -82,7 +82,7 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
 
 @pytest.mark.parametrize("text", ["a  b", " a", "a ", "a \n b", "a\n\n  b\tc", "x   y", "  x 　 y", "", " ", "<|endoftext|> a", "é è 中文 字"])
 def test_cached_encoder_equals_the_library(text):
-    e = token_files.CachedEncoder(tokenizer_path())
+    e = token_files.DistinctEncoder(tokenizer_path())
     texts = ["warm up " + text, text, "up.\nwarm, " + text]
     assert e(pa.array(texts)) == e.whole(texts) == e(pa.array(texts))
 

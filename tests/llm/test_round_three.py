@@ -238,10 +238,10 @@ def test_cuts_follow_the_classes():
 
 def test_special_strings_are_tokens_unless_told(spark):
     texts = pa.array(["a <|endoftext|> b<|endoftext|>", "plain text", "<|endoftext|>"])
-    plain = token_files.CachedEncoder(tokenizer_path())
+    plain = token_files.DistinctEncoder(tokenizer_path())
     assert np.frombuffer(plain(texts)[2], dtype="<u4").tolist() == [50256]
     assert plain(texts) == plain.whole(texts.to_pylist())
-    text = token_files.CachedEncoder(tokenizer_path(), special=False)
+    text = token_files.DistinctEncoder(tokenizer_path(), special=False)
     assert 50256 not in np.frombuffer(text(texts)[0], dtype="<u4")
     assert text(texts) == text.whole(texts.to_pylist())
 

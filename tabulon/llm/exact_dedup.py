@@ -100,7 +100,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFr
     if low is None:
         low = high = 0
     width = max(1, -(-(high - low + 1) // batches))
-    nth = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / width), F.lit(batches - 1))
+    nth = F.lit(batches - 1)  # null ids come last
+    for k in reversed(range(batches - 1)):
+        # Ids may span all 64 bits, so ranges are told by their ends, not by differences.
+        nth = F.when(F.col("doc_id") > F.lit(max(high - width * (k + 1), -(2**63))), k).otherwise(nth)
     for k in range(batches):
         index.add(rows.filter(nth == k))
     return index.decide(rows)

@@ -47,6 +47,7 @@ BLOCK = frozenset(
 BOILER_TAGS = frozenset("nav header footer aside menu dialog form".split())
 CONTENT_TAGS = frozenset("article main".split())
 TEXT_TAGS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd dt td th figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # What an open element of the first kind is closed by, besides its end.
 CLOSED_BY = {
     "p": BLOCK - {"html", "body"},
@@ -64,7 +65,7 @@ FOREIGN = frozenset("svg math".split())
 NOT_FOREIGN = frozenset("article aside b blockquote body br center code dd div dl dt em figure footer h1 h2 h3 h4 h5 h6 header hr i img li main nav ol p pre section small span strong sub sup table u ul".split())
 INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget\w*|cookies?\w*|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|search|share\w*|social\w*|comments?|comment\w*|disqus|repl(?:y|ies)|respond|related\w*|recommend\w*|pagination|pager|toolbar|copyright|legal|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|alert|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget\w*|cookies?\w*|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|search|share\w*|social\w*|comments?|comment\w*|disqus|repl(?:y|ies)|respond|related\w*|recommend\w*|pagination|pager|toolbar|copyright|legal|skip)(?:$|[\s_-])",
     re.I,
 )
 # Words of names that say nothing of the element itself: what a page has or lacks, and the heads of content.
@@ -74,11 +75,15 @@ CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|s
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 
 # Weights of the block classifier, in units of the log-odds of content.
-BIAS, PER_LOG_WORD, LINKED, IN_CONTENT, IN_NAMED, IN_BOILER, NAMED_BOILER, TEXT_TAG, SENTENCES, RIGHTS = -2.0, 1.1, -5.0, 4.0, 2.0, -40.0, -8.0, 1.0, 0.8, -4.0
+BIAS, PER_LOG_WORD, LINKED, IN_CONTENT, IN_NAMED, IN_BOILER, NAMED_BOILER, TEXT_TAG, SENTENCES, RIGHTS, COOKIES = -2.0, 1.1, -5.0, 4.0, 2.0, -40.0, -8.0, 1.0, 0.8, -4.0, -8.0
 NEXT, SIBLING, COUSIN = 0.9, 0.6, 0.3
 
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
+_COOKIES = re.compile(r"\bcookies\b", re.I)
+_CONSENT = re.compile(r"\b(?:accept|agree|consent|by (?:using|continuing)|privacy policy|preferences|your experience)\b", re.I)
+_COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+|user\s+)?(?:comments?|responses?|repl(?:y|ies))\s*(?:\(\d+\))?:?", re.I)
+_UNCLOSED = re.compile(r"<[a-zA-Z/!?]")
 _RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved", re.I)
 
 
@@ -87,13 +92,19 @@ class Node:
     tag: str
     up: Node | None
     depth: int
-    boiler: bool = False
-    by_form: bool = False
+    hard: bool = False  # in an element that is boilerplate whatever is in it
+    form: Node | None = None  # the outermost form around it
     content: bool = False
     named: bool = False
     mark: Node | None = None  # the element whose name sounds like boilerplate
     wholes: int = 0  # articles and main elements directly below such a mark; at the top, articles below none
     whole: bool = False  # in one of these
+    words: int = 0  # of a form: words of the blocks in it
+    block: Node | None = None  # the nearest block element
+
+    @property
+    def boiler(self) -> bool:
+        return self.hard or self.form is not None
 
 
 @dataclass
@@ -103,6 +114,7 @@ class Block:
     linked: int = 0
     text: str = ""
     marked: bool = False
+    boiler: bool = False
 
 
 class BlockParser(HTMLParser):
@@ -201,31 +213,34 @@ class BlockParser(HTMLParser):
         return not self.skip
 
     def _enter(self, node: Node) -> None:
+        node.block = node if node.tag in BLOCK else node.up.block
         self.at = node
         self.open[node.tag] += 1
 
     def _open(self, tag: str, attrs: dict[str, str | None]) -> None:
         up = self.at
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        whole = tag in CONTENT_TAGS and up.by_form  # an article in a form that wraps the page
-        boiler = up.boiler and not whole or tag in BOILER_TAGS and not (tag == "header" and up.content) or (attrs.get("role") or "").lower() in BOILER_ROLES
+        role = (attrs.get("role") or "").lower()
+        whole = up.form is not None and (tag in CONTENT_TAGS or role == "main")  # the article of a form that wraps the page
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
-        boiler = boiler or hidden
-        content = up.content or tag in CONTENT_TAGS or attrs.get("role") == "main"
+        is_form = tag == "form" or role == "form"
+        hard = up.hard and not whole or hidden or tag in BOILER_TAGS and not is_form and not (tag == "header" and up.content) or role in BOILER_ROLES and not is_form
+        content = up.content or tag in CONTENT_TAGS or role == "main"
         named = up.named or bool(CONTENT_NAMES.search(names))
         mark, inside = up.mark, up.whole
         sounds = tag not in ("html", "body") and names.strip() != "" and self._sounds(names, up.content)
         if sounds and tag not in CONTENT_TAGS:  # what is around it says nothing of what is in it
             mark, inside, content, named = None, False, False, False
-        elif mark and not inside and not sounds and (tag in CONTENT_TAGS or attrs.get("role") == "main"):
+        elif mark and not inside and not sounds and (tag in CONTENT_TAGS or role == "main"):
             mark.wholes += 1
             inside = True
         elif sounds and mark and not inside:  # a comment or teaser that is an article of its own
             content, named = up.content, up.named
         elif not mark and tag == "article":
             self.top.wholes += 1
-        by_form = boiler and (up.by_form or tag == "form" and not up.boiler)
-        node = Node(tag, up, up.depth + 1, boiler, by_form, content, named, mark, 0, inside)
+        node = Node(tag, up, up.depth + 1, hard, None if whole else up.form, content, named, mark, 0, inside)
+        if is_form and not up.boiler:
+            node.form = node
         if sounds and tag not in CONTENT_TAGS:
             node.mark = node
         self._enter(node)
@@ -258,9 +273,7 @@ class BlockParser(HTMLParser):
                 return
 
     def _block_node(self) -> Node:
-        node = self.at
-        while node.up is not None and node.tag not in BLOCK:
-            node = node.up
+        node = self.at.block or self.top
         return self.at if self.at.boiler > node.boiler or self.at.mark is not node.mark else node
 
     def _end_block(self) -> None:
@@ -271,12 +284,35 @@ class BlockParser(HTMLParser):
             b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
             mark = b.node.mark
             b.marked = mark is not None and not (b.node.whole and mark.wholes == 1 and not self.top.wholes)
-        return [b for b in self.blocks if b.text]
+            if b.node.form:
+                b.node.form.words += len(b.text.split())
+        blocks = [b for b in self.blocks if b.text]
+        total = sum(len(b.text.split()) for b in blocks)
+        for b in blocks:  # a form that holds most of the page's words wraps it; then the cut decides
+            b.boiler = b.node.hard or b.node.form is not None and 2 * b.node.form.words <= total
+        self._mark_comments(blocks)
+        return blocks
+
+    @staticmethod
+    def _mark_comments(blocks: list[Block]) -> None:
+        """What follows a heading like "12 Comments" within the same element is said by readers."""
+        section: Node | None = None
+        for b in blocks:
+            if section is not None:
+                node = b.node
+                while node.up is not None and node.depth > section.depth:
+                    node = node.up
+                section = section if node is section else None
+            if b.node.tag in HEADINGS and _COMMENTS.fullmatch(b.text):
+                section = b.node.up
+            b.marked = b.marked or section is not None
 
 
 def parse_blocks(html: str) -> list[Block]:
     parser = BlockParser()
     parser.feed(html)
+    if _UNCLOSED.match(parser.rawdata):  # a tag or comment that the page does not end is no text, as in browsers
+        parser.rawdata = ""
     parser.close()
     return parser.finished()
 
@@ -289,8 +325,9 @@ def content_score(block: Block) -> float:
     words = len(block.text.split())
     node = block.node
     score = BIAS + PER_LOG_WORD * math.log1p(words) + LINKED * min(1.0, block.linked / max(1, words))
-    score += IN_CONTENT * node.content + IN_NAMED * node.named + IN_BOILER * node.boiler + NAMED_BOILER * block.marked + TEXT_TAG * (node.tag in TEXT_TAGS)
-    return score + SENTENCES * min(3, len(_SENTENCE.findall(block.text))) + RIGHTS * bool(words < 40 and _RIGHTS.search(block.text))
+    score += IN_CONTENT * node.content + IN_NAMED * node.named + IN_BOILER * block.boiler + NAMED_BOILER * block.marked + TEXT_TAG * (node.tag in TEXT_TAGS)
+    score += SENTENCES * min(3, len(_SENTENCE.findall(block.text))) + RIGHTS * bool(words < 40 and _RIGHTS.search(block.text))
+    return score + COOKIES * bool(words < 80 and _COOKIES.search(block.text) and _CONSENT.search(block.text))
 
 
 def edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -390,7 +427,7 @@ def main_text(html: str | None) -> str:
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """``pages`` with the main text of each row; the html is dropped."""
+    """``pages`` with the main text of each row in place of its html; a column of the text's name is replaced."""
     kept = [c for c in pages.columns if c not in (html_col, out_col)]
     rows = pages.select(*kept, F.col(html_col).alias("_html"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out_col, T.StringType())])

@@ -58,8 +58,47 @@ FILES_SCHEMA = "file string, part int, docs long, tokens long, bytes long, frame
 
 #: A cut before such a space could part a run of white space.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
-#: Pieces that begin or end with white space, or are empty.
-_OPEN = r"^$|^\s|\s$"
+#: Pieces that begin or end with white space, are empty, or hold the mark that cuts are made by.
+_ALONE = r"^$|^\s|\s$|\x00"
+#: Where a piece is cut further: before the punctuation that ends a word, before single line breaks.
+_CUTS = ((r"(\p{L})([.,;:!?]+)(\n|$)", "\\1\x00\\2\\3"), (r"([^\s\x00])\n([^\s])", "\\1\x00\n\\2"))
+
+Coded = tuple[np.ndarray, np.ndarray]  # ids of all rows, one after the other, and how many each row has
+
+
+def _gather(which: np.ndarray, bounds: np.ndarray, coded: Coded) -> Coded:
+    """Rows made of the coded ones ``which``, those between two ``bounds`` each."""
+    ids, sizes = coded
+    starts, lengths = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)], np.diff(np.concatenate([[0], ends])[bounds])
+
+
+class Remembered:
+    """Strings with their ids, ``most`` at most; then those that were asked for last stay."""
+
+    def __init__(self, encode: Callable[[pa.Array], Coded], most: int):
+        self.encode, self.most = encode, most
+        self.known: dict[str, int] = {}
+        self.coded: Coded = (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+
+    def places(self, strings: pa.Array) -> np.ndarray:
+        """Where the distinct ``strings`` stand, after the new ones were encoded."""
+        names = strings.to_pylist()
+        out = np.array([self.known.get(x, -1) for x in names], dtype=np.int64)
+        new = out < 0
+        if len(self.known) + new.sum() > self.most:
+            kept = out[~new]
+            self.coded = _gather(kept, np.arange(len(kept) + 1), self.coded)
+            out[~new] = np.arange(len(kept))
+            self.known = {x: k for x, k in zip(names, out.tolist(), strict=True) if k >= 0}
+        if new.any():
+            out[new] = first = len(self.known) + np.arange(new.sum())
+            added = strings.filter(pa.array(new))
+            self.coded = tuple(np.concatenate(x) for x in zip(self.coded, self.encode(added), strict=True))
+            self.known.update(zip(added.to_pylist(), first.tolist(), strict=True))
+        return out
 
 
 class DistinctEncoder:
@@ -67,19 +106,20 @@ class DistinctEncoder:
 
     The byte-level pre-tokenizer of the vocabulary never joins a space to what
     stands before it unless both are white space, so a text may be cut before
-    each single space and the ids of the pieces joined. The distinct pieces of
-    some texts, each after its space, make one line; the library encodes it in
-    one call, and the ids of each piece are told apart by the bytes that they
-    stand for. Pieces that come again are remembered, ``max_pieces`` at most; then
-    those of the texts at hand stay. All of this is done on arrays. Texts with a run of white space that
-    a cut could part, or with the string of an added token, go to the library
-    whole. The result equals ``encode`` on every text (tested).
+    each single space and the ids of the pieces joined. Pieces are cut further
+    before the punctuation that ends a word and before single line breaks, where
+    the pre-tokenizer cuts as well. The distinct new words, each after its space
+    or line break, make one line; the library encodes it in one call, and the ids
+    of each word are told apart by the bytes that they stand for. Words are
+    remembered, within a bound. Nearly all of it is done on arrays. Texts with a run
+    of white space that a cut could part, or with the string of an added token, go
+    to the library whole. The result equals ``encode`` on every text (tested).
 
     Strings of the vocabulary's special tokens get those tokens' ids, as in the
     library's plain call; with ``special=False`` they are ordinary text.
     """
 
-    def __init__(self, path: str, special: bool = True, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, special: bool = True, max_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -91,46 +131,32 @@ class DistinctEncoder:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, k in vocab.items():
             self.width[k] = len(token)  # one character stands for one byte
-        self.max_pieces = max_pieces
-        self.known, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def line_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces, each after a space, and how many each has.
-
-        No piece is empty, or begins or ends with white space.
-        """
-        if not len(pieces):
-            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
-        line = " " + " ".join(pieces.to_pylist())
-        ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.cumsum(pc.binary_length(pieces).to_numpy() + 1)
-        return ids, np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1, prepend=0)
-
-    def learn(self, pieces: pa.Array) -> np.ndarray:
-        """Places of the pieces among those remembered, after the new ones were encoded."""
-        found = pc.index_in(pieces, value_set=self.known)
-        if len(self.known) + found.null_count > self.max_pieces:
-            self._keep(np.unique(found.drop_null().to_numpy()))
-            found = pc.index_in(pieces, value_set=self.known)
-        new = found.is_null().to_numpy(zero_copy_only=False)
-        place = found.fill_null(0).to_numpy().astype(np.int64)
-        place[new] = len(self.known) + np.arange(new.sum())
-        added = pieces.filter(pa.array(new))
-        ids, sizes = self.line_ids(added)
-        self.known = pa.concat_arrays([self.known, added])
-        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
-        return place
-
-    def _keep(self, some: np.ndarray) -> None:
-        """Forget all pieces but those at these places."""
-        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[some]
-        ends = np.cumsum(sizes)
-        self.ids = self.ids[np.repeat(starts[some] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        self.known, self.sizes = self.known.take(pa.array(some)), sizes
+        self.words = Remembered(self._word_ids, max_words)
+
+    def whole(self, texts: list[str]) -> Coded:
+        found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *found]), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    def _piece_ids(self, pieces: pa.Array) -> Coded:
+        """Ids of pieces after a space; none is empty, or begins or ends with white space."""
+        cut = pc.binary_join_element_wise("", pieces, " ")
+        for pattern, marked in _CUTS:
+            cut = pc.replace_substring_regex(cut, pattern, marked)
+        parts = pc.split_pattern(cut, "\0")
+        words = parts.values.dictionary_encode()
+        return _gather(self.words.places(words.dictionary)[words.indices.to_numpy()], parts.offsets.to_numpy(), self.words.coded)
+
+    def _word_ids(self, words: pa.Array) -> Coded:
+        """Ids of words after their space or line break, and of punctuation."""
+        led = pc.match_substring_regex(words, r"^\s").to_numpy(zero_copy_only=False)
+        line, marks = words.filter(pa.array(led)), words.filter(pa.array(~led))
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(line.to_pylist())], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum(pc.binary_length(line).to_numpy())
+        sizes = np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1, prepend=0)
+        others = self.whole(marks.to_pylist())
+        order = np.empty(len(words), dtype=np.int64)
+        order[led], order[~led] = np.arange(len(line)), len(line) + np.arange(len(marks))
+        return _gather(order, np.arange(len(words) + 1), (np.concatenate([ids, others[0]]), np.concatenate([sizes, others[1]])))
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -139,7 +165,7 @@ class DistinctEncoder:
             unsafe |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         for k in np.flatnonzero(unsafe).tolist():
-            out[k] = self.whole([texts[k].as_py()])[0]
+            out[k] = self.whole([texts[k].as_py()])[0].tobytes()
         rows = np.flatnonzero(~unsafe)
         if not len(rows):
             return out
@@ -147,24 +173,20 @@ class DistinctEncoder:
         bounds = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
         which, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        # Three kinds of pieces, numbered one after the other: those remembered, those alone, and first ones.
-        alone = pc.match_substring_regex(pieces, _OPEN).to_numpy(zero_copy_only=False)
-        learnt = self.learn(pieces.filter(pa.array(~alone)))
-        ids, sizes = self.ids, self.sizes
+        # Three kinds of pieces, numbered one after the other: those cut into words, those alone, and first ones.
+        alone = pc.match_substring_regex(pieces, _ALONE).to_numpy(zero_copy_only=False)
+        place = np.empty(len(pieces), dtype=np.int64)
+        place[~alone] = np.arange(len(pieces) - alone.sum())
+        known = self._piece_ids(pieces.filter(pa.array(~alone)))
+        place[alone] = len(known[1]) + np.arange(alone.sum())
         firsts = pieces.take(pa.array(which[bounds[:-1]])).to_pylist()  # no space before them
         other = self.whole([" " + p for p in pieces.filter(pa.array(alone)).to_pylist()] + firsts)
-        place = np.empty(len(pieces), dtype=np.int64)
-        place[~alone], place[alone] = learnt, len(sizes) + np.arange(alone.sum())
         which = place[which]
-        which[bounds[:-1]] = len(sizes) + alone.sum() + np.arange(len(rows))
-        sizes = np.concatenate([sizes, np.fromiter(map(len, other), dtype=np.int64, count=len(other)) // 4])
-        source, starts = np.concatenate([ids, np.frombuffer(b"".join(other), dtype="<u4")]), np.cumsum(sizes) - sizes
-        lengths = sizes[which]
-        ends = np.cumsum(lengths)
-        joined = source[np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        cuts = np.concatenate([[0], ends])[bounds].tolist()
-        for k, a, b in zip(rows.tolist(), cuts, cuts[1:], strict=False):
-            out[k] = joined[a:b].tobytes()
+        which[bounds[:-1]] = len(known[1]) + alone.sum() + np.arange(len(rows))
+        ids, sizes = _gather(which, bounds, (np.concatenate([known[0], other[0]]), np.concatenate([known[1], other[1]])))
+        ends = np.cumsum(sizes)
+        for k, a, b in zip(rows.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+            out[k] = ids[a:b].tobytes()
         return out
 
 

@@ -84,7 +84,7 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
 def test_cached_encoder_equals_the_library(text):
     e = token_files.DistinctEncoder(tokenizer_path())
     texts = ["warm up " + text, text, "up.\nwarm, " + text]
-    assert e(pa.array(texts)) == e.whole(texts) == e(pa.array(texts))
+    assert e(pa.array(texts)) == [e.whole([t])[0].tobytes() for t in texts] == e(pa.array(texts))
 
 
 def test_damaged_frame_is_noticed(spark, docs, tmp_path):

@@ -16,16 +16,16 @@ PRIVACY = (
 IDENTIFIER_NAME = r"(?i)(^id$|_id$|_key$|^key$)"
 TIME_PART_NAME = r"(?i)^(year|month|day|week|quarter|hour)$"
 TIME_NAME = r"(?i)(^|_)(date|time|timestamp|created|updated|modified|occurred|completed)(_|$)"
-STRONG_MEASURE = "total|amount|revenue|sales|price|spend|profit|income|salary|value|balance|gmv|turnover"
-MEASURE = "cost|quantity|qty|fee|units|volume|score|rating|duration|hours|minutes|count|weight|distance|discount|tax|margin|clicks|views|visits"
-WEAK_MEASURE = "age|year|month|day|week|pct|percent|rate|ratio|temperature|height|bmi"
-PER_UNIT = "unit_|price|_per_|per_unit|rating|score"
-NOT_MEASURE = "code|number|phone|zip|postal|lat|lon|longitude|latitude|ssn"
-DIMENSION = "status|category|type|segment|channel|region|state|country|city|gender|department|class|tier|plan|source|method|kind|group|brand|product|team|stage|priority|level|industry|role|market|store|branch"
-NOT_DIMENSION = "name|email|address|description|comment|note|url|title|phone|id|uuid|hash|token|password"
-TEMPORAL = "date|time|timestamp|_at|_on|created|updated|year|month"
-ENTITY = "name|title|product|customer|vendor|supplier|employee|item|sku|company|merchant"
-NOT_ENTITY = "first|last|surname|given|middle|nick"
+STRONG_MEASURE = ("total", "amount", "revenue", "sales", "price", "spend", "profit", "income", "salary", "value", "balance", "gmv", "turnover")
+MEASURE = ("cost", "quantity", "qty", "fee", "units", "volume", "score", "rating", "duration", "hours", "minutes", "count", "weight", "distance", "discount", "tax", "margin", "clicks", "views", "visits")
+WEAK_MEASURE = ("age", "year", "month", "day", "week", "pct", "percent", "rate", "ratio", "temperature", "height", "bmi")
+PER_UNIT = ("unit_", "price", "_per_", "per_unit", "rating", "score")
+NOT_MEASURE = ("code", "number", "phone", "zip", "postal", "lat", "lon", "longitude", "latitude", "ssn")
+DIMENSION = ("status", "category", "type", "segment", "channel", "region", "state", "country", "city", "gender", "department", "class", "tier", "plan", "source", "method", "kind", "group", "brand", "product", "team", "stage", "priority", "level", "industry", "role", "market", "store", "branch")
+NOT_DIMENSION = ("name", "email", "address", "description", "comment", "note", "url", "title", "phone", "id", "uuid", "hash", "token", "password")
+TEMPORAL = ("date", "time", "timestamp", "_at", "_on", "created", "updated", "year", "month")
+ENTITY = ("name", "title", "product", "customer", "vendor", "supplier", "employee", "item", "sku", "company", "merchant")
+NOT_ENTITY = ("first", "last", "surname", "given", "middle", "nick")
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -55,10 +55,10 @@ def column_table(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
     base = spark.createDataFrame(rows, "table string, column string, type string, numeric boolean, position int")
     name, low = F.col("column"), F.lower("column")
     ident = name.rlike(IDENTIFIER_NAME)
-    temporal = low.rlike(TEMPORAL) & ~F.col("numeric")
-    measure = F.when(F.col("numeric") & ~ident & ~low.rlike(NOT_MEASURE), F.when(low.rlike(STRONG_MEASURE), 4).when(low.rlike(MEASURE), 3).when(low.rlike(WEAK_MEASURE), 1).otherwise(2))
-    dimension = F.when(~F.col("numeric") & ~ident & ~temporal & ~low.rlike(NOT_DIMENSION), F.when(low.rlike(DIMENSION), 3).otherwise(2))
-    entity = ~F.col("numeric") & ~ident & ~temporal & low.rlike(ENTITY) & ~low.rlike(NOT_ENTITY)
+    temporal = low.rlike("|".join(TEMPORAL)) & ~F.col("numeric")
+    measure = F.when(F.col("numeric") & ~ident & ~low.rlike("|".join(NOT_MEASURE)), F.when(low.rlike("|".join(STRONG_MEASURE)), 4).when(low.rlike("|".join(MEASURE)), 3).when(low.rlike("|".join(WEAK_MEASURE)), 1).otherwise(2))
+    dimension = F.when(~F.col("numeric") & ~ident & ~temporal & ~low.rlike("|".join(NOT_DIMENSION)), F.when(low.rlike("|".join(DIMENSION)), 3).otherwise(2))
+    entity = ~F.col("numeric") & ~ident & ~temporal & low.rlike("|".join(ENTITY)) & ~low.rlike("|".join(NOT_ENTITY))
     return base.select(
         "table",
         "column",
@@ -71,7 +71,7 @@ def column_table(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
         dimension.alias("dimension_score"),
         temporal.alias("temporal"),
         entity.alias("entity"),
-        (measure.isNotNull() & ((measure == 1) | low.rlike(PER_UNIT))).alias("average_only"),
+        (measure.isNotNull() & ((measure == 1) | low.rlike("|".join(PER_UNIT)))).alias("average_only"),
     )
 
 
@@ -86,12 +86,14 @@ def column_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
 
 
 def infer_links(columns: DataFrame) -> DataFrame:
-    """Candidate links: identifier columns of one name, where the name's stem is the other table's."""
+    """Candidate links: identifier columns of one name, where the name's stem is in the other table's name."""
     ids = columns.filter(F.col("column").rlike(IDENTIFIER_NAME)).select("table", "column")
     a, b = ids.toDF("from_table", "column"), ids.toDF("to_table", "column")
-    stem = F.regexp_replace(F.lower("column"), "(_id|_key)$", "")
+    stem, to = F.regexp_replace(F.lower("column"), "_*(id|key)$", ""), F.lower("to_table")
+    bare = lambda c: F.regexp_replace(c, "s+$", "")
     both = a.join(b, "column").filter("from_table <> to_table")
-    return both.filter(F.regexp_replace(F.lower("to_table"), "s$", "") == F.regexp_replace(stem, "s$", "")).select("from_table", F.col("column").alias("from_column"), "to_table", F.col("column").alias("to_column"))
+    fits = (stem != "") & (F.contains(to, stem) | (bare(to) == bare(stem)))
+    return both.filter(fits).select("from_table", F.col("column").alias("from_column"), "to_table", F.col("column").alias("to_column"))
 
 
 def mask_columns(df: DataFrame, mode: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,25 @@ def clean_headers(names: list[str], longest: int = 64) -> list[str]:
     return out
 
 
+def cleaned_header_table(names: DataFrame, order: str, raw: str) -> DataFrame:
+    """`clean_headers` for a table of any number of headers: ``order`` and ``name``.
+
+    Each name is cleaned where it lies; equal ones, without regard to case, are
+    numbered in their order. (A number that meets a name of its own kind, such as
+    a second ``a_2``, is for `clean_headers` to resolve.)
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(name=[clean_headers([n])[0] if str(n or "").strip() else "" for n in f[raw]])[[order, "name"]]
+
+    kind = names.schema[order].dataType.simpleString()
+    each = names.select(order, raw).mapInPandas(run, f"`{order}` {kind}, name string")
+    nth = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(order))
+    n = F.col("nth").cast("string")
+    return each.withColumn("nth", nth).select(order, F.when(F.col("nth") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), n)).alias("name"))
+
+
 @dataclass
 class CleaningActions:
     trim: bool = True

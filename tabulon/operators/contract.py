@@ -36,20 +36,33 @@ class ContractColumn:
         return expr.typed(c, self.kind, self.transform)
 
 
-def type_probe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def _fits(cells: DataFrame) -> DataFrame:
+    """``column, rows, present, about`` and a count for each candidate type, of ``cells`` (column, v)."""
+    fits = [F.count(expr.typed(F.col("v"), k, t)).alias(t or k) for k, t in LADDER]
+    return cells.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("present"), F.approx_count_distinct("v", 0.03).alias("about"), *fits)
+
+
+def type_probe(df: DataFrame, columns: list[str] | None = None, keys: bool = True) -> DataFrame:
     """``column, rows, present, distinct`` and how many values fit each candidate type.
 
-    Cells are counted in long form, so each distinct value of a column is parsed
-    once and the generated code does not grow with the columns.
+    One pass in long form, so the generated code does not grow with the columns;
+    partial counts meet by column, no cell is shuffled. ``distinct`` is exact,
+    and null where a sketch of the same pass shows that the column is no key:
+    only columns without nulls whose estimate comes near the row count have
+    their values counted (with ``keys``), by one shuffle of theirs.
     """
     columns = columns or df.columns
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), expr.null_if_marker(F.col(f"`{c}`")).alias("v")) for c in columns])
-    values = df.select(F.inline(pairs)).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    held = lambda c: F.sum(F.when(c.isNotNull(), F.col("n")))
-    fits = [held(expr.typed(F.col("v"), k, t)).alias(t or k) for k, t in LADDER]
-    found = values.groupBy("column").agg(F.sum("n").alias("rows"), held(F.col("v")).alias("present"), F.count("v").alias("distinct"), *fits)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(found, "column", "left").na.fill(0)
+    spark, cell = df.sparkSession, lambda c: F.struct(F.lit(c).alias("column"), expr.null_if_marker(F.col(f"`{c}`")).alias("v"))
+    found = _fits(df.select(F.inline(F.array(*map(cell, columns)))))
+    names = spark.createDataFrame([(c,) for c in columns], "column string")
+    told = names.join(found, "column", "left").na.fill(0)
+    told = spark.createDataFrame(told.collect(), told.schema)  # one row a column
+    likely = [r["column"] for r in told.filter("present = rows and about >= 0.85 * rows").collect()] if keys else []
+    if not likely:
+        return told.withColumn("distinct", F.when(F.col("rows") == 0, 0).cast("bigint")).drop("about")
+    values = df.select(F.inline(F.array(*map(cell, likely)))).groupBy("column", "v").agg(F.lit(1).alias("one"))
+    exact = values.groupBy("column").agg(F.count("v").alias("distinct"))
+    return told.join(exact, "column", "left").drop("about")
 
 
 def chosen_types(probe: DataFrame, tolerance: float = 0.05) -> DataFrame:
@@ -67,7 +80,7 @@ def chosen_types(probe: DataFrame, tolerance: float = 0.05) -> DataFrame:
     pick = F.when(F.col("present") == 0, "str").otherwise(pick)
     kind = F.when(pick.isin("date_us", "date_us_short"), "date").when(pick == "currency", "float").otherwise(pick)
     transform = F.when(pick.isin("date_us", "date_us_short", "currency"), pick)
-    key = (F.col("present") == F.col("rows")) & (F.col("distinct") == F.col("rows")) & kind.isin("int", "str")
+    key = (F.col("present") == F.col("rows")) & F.coalesce(F.col("distinct") == F.col("rows"), F.lit(False)) & kind.isin("int", "str")
     return probe.select("column", kind.alias("kind"), transform.alias("transform"), (F.col("present") < F.col("rows")).alias("nullable"), key.alias("candidate_key"))
 
 
@@ -79,7 +92,7 @@ def infer_contract(df: DataFrame, tolerance: float = 0.05) -> list[ContractColum
 def infer_simple_types(df: DataFrame) -> DataFrame:
     """``column, kind`` on the ladder int, float, str; never-seen columns are str."""
     kind = F.when(F.col("present") == 0, "str").when(F.col("int") == F.col("present"), "int").when(F.col("float") == F.col("present"), "float").otherwise("str")
-    return type_probe(df).select("column", kind.alias("kind"))
+    return type_probe(df, keys=False).select("column", kind.alias("kind"))
 
 
 def diff_contract(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -110,25 +110,3 @@ def dedupe_findings(found: DataFrame) -> DataFrame:
     one = found.withColumn("rn", F.row_number().over(Window.partitionBy(scope, key).orderBy("id"))).filter("rn = 1").drop("rn")
     by = [F.desc("table_rows"), order, F.desc("cross"), F.desc(F.size(F.array_distinct("values"))), F.col("id")]
     return one.withColumn("priority", F.row_number().over(Window.orderBy(*by)))
-
-
-def auto_insights(df: DataFrame, columns: DataFrame, top: int = 8, max_groups: int = 2000) -> dict[str, DataFrame]:
-    """Findings for one table, chosen by the scores of its `column_table` rows.
-
-    Columns of over ``max_groups`` values (as estimated) get none; ``skipped``
-    lists them with that number.
-    """
-    c = columns.orderBy("position").collect()
-    best = lambda f: [r["column"] for r in sorted((r for r in c if r[f]), key=lambda r: -r[f])]
-    measures, dims = best("measure_score"), best("dimension_score")
-    dates, entities = [r["column"] for r in c if r["temporal"]], [r["column"] for r in c if r["entity"]]
-    averaged = {r["column"] for r in c if r["average_only"]}
-    if not measures:
-        return {}
-    m, op = measures[0], "avg" if measures[0] in averaged else "sum"
-    sizes = df.agg(*[F.approx_count_distinct(d).alias(d) for d in [*dims, *entities]]).first().asDict() if dims or entities else {}
-    out = {f"breakdown:{d}": breakdown(df, m, d, op, top) for d in dims if sizes[d] <= max_groups}
-    out |= {f"trend:{d}": trend(df, m, d) for d in dates} | {f"ranking:{e}": ranking(df, m, e) for e in entities if sizes[e] <= max_groups}
-    skipped = [(c, int(n)) for c, n in sizes.items() if n > max_groups]
-    out["skipped"] = df.sparkSession.createDataFrame(skipped, "column string, values long")
-    return out | {f"distribution:{m}": distribution(df, m)}

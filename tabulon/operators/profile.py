@@ -21,25 +21,27 @@ def unpivot_row(row: DataFrame, parts: list[tuple[str, list[tuple[str, Column]]]
     return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias(label), *[c.alias(k) for k, c in cells]) for n, cells in parts])))
 
 
-def missingness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column, missing, rate``; missing is null or empty text. One pass."""
-    columns = columns or df.columns
+Parts = list[tuple[str, list[tuple[str, Column]]]]
+
+
+def _missing_cells(df: DataFrame, columns: list[str]) -> tuple[list[Column], Parts]:
+    """Aggregates of missing values, and how their row is told by column."""
     text = {c for c, t in df.dtypes if t == "string"}
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull() | (F.col(c) == "") if c in text else F.col(c).isNull()).alias(f"m{k}") for k, c in enumerate(columns)])
+    q = lambda c: F.col(f"`{c}`")
+    cells = [F.count(F.lit(1)).alias("n"), *[F.count_if(q(c).isNull() | (q(c) == "") if c in text else q(c).isNull()).alias(f"m{k}") for k, c in enumerate(columns)]]
     rate = lambda k: F.round(F.coalesce(F.try_divide(F.col(f"m{k}"), F.col("n")), F.lit(0.0)), 6)
-    return unpivot_row(row, [(c, [("missing", F.col(f"m{k}")), ("rate", rate(k))]) for k, c in enumerate(columns)])
+    return cells, [(c, [("missing", F.col(f"m{k}")), ("rate", rate(k))]) for k, c in enumerate(columns)]
 
 
-def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 4) -> DataFrame:
-    """Count, invalid, quartiles, moments (population) and zeros of each column; rounded to ``digits`` unless None.
+def missingness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``column, missing, rate``; missing is null or empty text. One pass."""
+    cells, parts = _missing_cells(df, columns or df.columns)
+    return unpivot_row(df.agg(*cells), parts)
 
-    Quartiles are exact and come from ranks of the distinct values, all else
-    from one pass.
-    """
+
+def _moment_cells(df: DataFrame, columns: list[str], digits: int | None) -> tuple[list[Column], Parts]:
+    """Aggregates of numbers, and how their row is told by column."""
     shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    q = R.quantiles(df, {c: R._numeric(df, c).cast("double") for c in columns}, list(quarters.values()))
-    q = q.groupBy(F.col("column").alias("of")).agg(*[shown(F.max(F.when(F.col("share") == s, F.col("value")))).alias(n) for n, s in quarters.items()])
     cells, parts = [], []
     for k, c in enumerate(columns):
         v = R._numeric(df, c)
@@ -57,17 +59,40 @@ def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 4) -
         skew = F.when((F.col(f"count{k}") > 2) & (F.col(f"std{k}") > 0), F.round(finite_or_null(F.col(f"m3{k}")), 4))
         plain = [(n, F.col(f"{n}{k}")) for n in ("count", "invalid", "zeros")]
         parts.append((c, [*plain, *[(n, shown(F.col(f"{n}{k}"))) for n in ("min", "mean", "max", "std")], ("skewness", skew)]))
-    both = unpivot_row(df.agg(*cells), parts).join(q, F.col("column") == F.col("of"), "left")  # one row a column
+    return cells, parts
+
+
+def _with_quartiles(df: DataFrame, columns: list[str], digits: int | None, moments: DataFrame) -> DataFrame:
+    shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    q = R.quantiles(df, {c: R._numeric(df, c).cast("double") for c in columns}, list(quarters.values()))
+    q = q.groupBy(F.col("column").alias("of")).agg(*[shown(F.max(F.when(F.col("share") == s, F.col("value")))).alias(n) for n, s in quarters.items()])
+    both = moments.join(q, F.col("column") == F.col("of"), "left")  # one row a column
     return both.select("column", "count", "invalid", "zeros", "min", "q1", "median", "mean", "q3", "max", "std", "skewness")
 
 
+def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 4) -> DataFrame:
+    """Count, invalid, quartiles, moments (population) and zeros of each column; rounded to ``digits`` unless None.
+
+    Quartiles are exact and come from ranks of the distinct values, all else
+    from one pass.
+    """
+    cells, parts = _moment_cells(df, columns, digits)
+    return _with_quartiles(df, columns, digits, unpivot_row(df.agg(*cells), parts))
+
+
 def finite_or_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
 def iqr_outliers(df: DataFrame, columns: list[str], least: int = 30) -> DataFrame:
     """Values beyond 1.5 IQR of the quartiles and a label of the tails; needs ``least`` values."""
-    q = numeric_summary(df, columns, digits=None).select("column", "count", "q1", "q3", "skewness")
+    return tails(df, columns, numeric_summary(df, columns, digits=None), least)
+
+
+def tails(df: DataFrame, columns: list[str], summary: DataFrame, least: int = 30) -> DataFrame:
+    """`iqr_outliers` by an unrounded `numeric_summary` that is there already."""
+    q = summary.select("column", "count", "q1", "q3", "skewness")
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), R._numeric(df, c).alias("v")) for c in columns])
     span = F.col("q3") - F.col("q1")
     out = F.count_if((F.col("v") < F.col("q1") - 1.5 * span) | (F.col("v") > F.col("q3") + 1.5 * span))
@@ -89,26 +114,40 @@ def categorical_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return totals.join(top, "column").select("column", "non_null", "distinct", high.alias("high_cardinality"), "top")
 
 
-def time_summary(df: DataFrame, column: str) -> DataFrame:
-    """Span and busiest and quietest period of a time column: months if over 92 days, else days."""
+def _days(df: DataFrame, column: str) -> DataFrame:
+    """``d, given, n``: rows by day; a given cell that is no date has no day."""
     t = F.col(column) if dict(df.dtypes)[column] in ("timestamp_ntz", "timestamp", "date") else expr.parse_datetime(F.col(column))
-    days = df.select(F.to_date(t).alias("d"), F.col(column).isNotNull().alias("given")).groupBy("d", "given").agg(F.count(F.lit(1)).alias("n"))
-    ends = days.agg(F.min("d").alias("first"), F.max("d").alias("last"), F.sum(F.when(F.col("d").isNotNull(), F.col("n"))).alias("parsed"), F.sum(F.when(F.col("given"), F.col("n"))).alias("given_rows"))
-    both = days.filter("d is not null").join(F.broadcast(ends.withColumn("span_days", F.datediff("last", "first"))), F.lit(True))
+    given = ~expr.is_blank(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column).isNotNull()
+    return df.select(F.to_date(t).alias("d"), given.alias("given")).groupBy("d", "given").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _periods(days: DataFrame) -> DataFrame:
+    """``period, n`` and figures of the whole: months if the span is over 92 days, else days."""
+    ends = days.agg(F.min("d").alias("first"), F.max("d").alias("last"), F.coalesce(F.sum(F.when(F.col("d").isNotNull(), F.col("n"))), F.lit(0)).alias("parsed"), F.coalesce(F.sum(F.when(F.col("given"), F.col("n"))), F.lit(0)).alias("given_rows"))
+    ends = ends.filter("parsed >= 0.8 * given_rows and parsed > 0").withColumns({"span_days": F.datediff("last", "first"), "invalid": F.col("given_rows") - F.col("parsed")})
+    both = days.filter("d is not null").join(F.broadcast(ends), F.lit(True))  # one row
     period = F.when(F.col("span_days") > 92, F.date_format("d", "yyyy-MM")).otherwise(F.date_format("d", "yyyy-MM-dd"))
-    p = both.groupBy(period.alias("period")).agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("first", "last", "span_days", "parsed", "given_rows")])
-    out = p.agg(
-        *[F.first(c).alias(c) for c in ("first", "last", "span_days", "parsed", "given_rows")],
+    return both.groupBy(period.alias("period")).agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("first", "last", "span_days", "parsed", "invalid")])
+
+
+def time_summary(df: DataFrame, column: str) -> DataFrame:
+    """Span and busiest and quietest period of a time column: months if over 92 days, else days."""
+    whole = ("first", "last", "span_days", "parsed", "invalid")
+    return _periods(_days(df, column)).groupBy(*whole).agg(
         F.count(F.lit(1)).alias("periods"),
         F.min_by("period", F.struct((-F.col("n")).alias("n"), "period")).alias("busiest"),
         F.max("n").alias("busiest_rows"),
         F.min_by("period", F.struct("n", "period")).alias("quietest"),
     )
-    return out.filter("parsed >= 0.8 * given_rows").drop("given_rows")
 
 
-def correlations(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
-    """Pearson's r of each pair of columns over rows that hold both; constants have none. The ``top`` strongest, by default ten."""
+def time_series(df: DataFrame, column: str, last: int = 120) -> DataFrame:
+    """``period, n``: rows of the last ``last`` periods that have any."""
+    return _periods(_days(df, column)).select("period", "n").orderBy(F.desc("period")).limit(last)
+
+
+def _pair_cells(df: DataFrame, columns: list[str]) -> tuple[list[Column], Parts]:
+    """Aggregates of pairs of columns, and how their row is told by pair."""
     cells, parts = [], []
     for k, (a, b) in enumerate(combinations(columns, 2)):
         x, y = R._numeric(df, a), R._numeric(df, b)
@@ -117,7 +156,17 @@ def correlations(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
         cells += [F.count(x).alias(f"n{k}"), F.covar_pop(x, y).alias(f"c{k}"), F.stddev_pop(x).alias(f"x{k}"), F.stddev_pop(y).alias(f"y{k}")]
         r = F.round(F.try_divide(F.col(f"c{k}"), F.col(f"x{k}") * F.col(f"y{k}")), 6)
         parts.append((a, [("other", F.lit(b)), ("n", F.col(f"n{k}")), ("r", F.when(F.col(f"n{k}") >= 3, r))]))
-    return unpivot_row(df.agg(*cells), parts).filter("r is not null").orderBy(F.desc(F.abs("r")), "column", "other").limit(top)
+    return cells, parts
+
+
+def correlations(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
+    """Pearson's r of each pair of columns over rows that hold both; constants have none. The ``top`` strongest, by default ten."""
+    cells, parts = _pair_cells(df, columns)
+    return _strongest(unpivot_row(df.agg(*cells), parts), top)
+
+
+def _strongest(pairs: DataFrame, top: int) -> DataFrame:
+    return pairs.filter("r is not null").orderBy(F.desc(F.abs("r")), "column", "other").limit(top)
 
 
 def missingness_patterns(df: DataFrame, targets: list[str], groups: list[str]) -> DataFrame:
@@ -139,23 +188,16 @@ def missingness_patterns(df: DataFrame, targets: list[str], groups: list[str]) -
 
 def findings(df: DataFrame, numeric: list[str], columns: list[str] | None = None) -> DataFrame:
     """Sentences on missing values, duplicates, tails and strong correlations."""
-    m = missingness(df, columns).filter("missing > 0").orderBy(F.desc("missing"), "column").limit(3)
-    m = m.select(F.lit("missing").alias("kind"), F.format_string("%s is missing in %d rows", "column", "missing").alias("finding"))
-    d = R.duplicate_rows(df, columns).filter("duplicate_rows > 0").select(F.lit("duplicates").alias("kind"), F.format_string("%d rows repeat another", "duplicate_rows").alias("finding"))
-    o = iqr_outliers(df, numeric).filter("outliers > 0").select(F.lit("tails").alias("kind"), F.format_string("%s has %d values in its tails", "column", "outliers").alias("finding"))
-    c = correlations(df, numeric).filter("abs(r) >= 0.8").select(F.lit("correlation").alias("kind"), F.format_string("%s and %s move together", "column", "other").alias("finding"))
-    return m.unionByName(d).unionByName(o).unionByName(c)
-
-
-def eda_report(df: DataFrame, roles: dict[str, str]) -> dict[str, DataFrame]:
-    """All sections for one table as lazy frames; ``roles`` as in the column catalogue."""
-    by = lambda *r: [c for c in df.columns if roles.get(c) in r]
-    numeric, categorical = by("numeric_measure"), by("categorical")
-    out = {"missingness": missingness(df), "duplicates": R.duplicate_rows(df)}
-    if numeric:
-        out |= {"numeric": numeric_summary(df, numeric), "outliers": iqr_outliers(df, numeric), "findings": findings(df, numeric)}
-    if len(numeric) > 1:
-        out["correlations"] = correlations(df, numeric)
-    if categorical:
-        out["categorical"] = categorical_summary(df, categorical)
-    return out | {f"time:{c}": time_summary(df, c) for c in by("datetime")}
+    return told(missingness(df, columns), R.duplicate_rows(df, columns), iqr_outliers(df, numeric), correlations(df, numeric))
+
+
+def told(missing: DataFrame, duplicates: DataFrame, outliers: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
+    """`findings` of sections that are there already."""
+    m = missing.filter("missing > 0").orderBy(F.desc("missing"), "column").limit(3)
+    out = m.select(F.lit("missing").alias("kind"), F.format_string("%s is missing in %d rows", "column", "missing").alias("finding"))
+    out = out.unionByName(duplicates.filter("duplicate_rows > 0").select(F.lit("duplicates").alias("kind"), F.format_string("%d rows repeat another", "duplicate_rows").alias("finding")))
+    if outliers is not None:
+        out = out.unionByName(outliers.filter("outliers > 0").select(F.lit("tails").alias("kind"), F.format_string("%s has %d values in its tails", "column", "outliers").alias("finding")))
+    if pairs is not None:
+        out = out.unionByName(pairs.filter("abs(r) >= 0.8").select(F.lit("correlation").alias("kind"), F.format_string("%s and %s move together", "column", "other").alias("finding")))
+    return out

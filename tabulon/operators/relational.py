@@ -7,6 +7,7 @@ column, since a scan has no order on a cluster.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -243,29 +244,34 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
-def running_totals(counts: DataFrame, by: str, value: str, n: str, ranges: int = 64) -> DataFrame:
+def running_totals(counts: DataFrame, by: str, value: str, n: str, ranges: int = 64, wanted: Callable[[Column], list[Column]] | None = None) -> DataFrame:
     """``counts`` with ``before``, the sum of ``n`` over smaller values of the same ``by``, and ``total``, that over all.
 
     Values are cut into ranges at their quantiles; ranks run within a range and
     start at the sums of the ranges before, so no task sorts all values. The
-    ends of the ranges are one small row for each ``by``.
+    ends of the ranges are one small row for each ``by``. Where only the rows at
+    some places are ``wanted`` (indexes, given the total), ranges that hold none
+    of them are left out before anything is sorted.
     """
     shares = [k / ranges for k in range(1, ranges)]
     ends = counts.groupBy(by).agg(F.percentile_approx(value, shares).alias("__ends"), F.sum(n).alias("total"))
     placed = counts.join(F.broadcast(ends), by).withColumn("__range", F.size(F.filter("__ends", lambda e: e < F.col(value)))).drop("__ends")
     earlier = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(by, "__range").agg(F.sum(n).alias("__sum"))
-    sums = sums.select(by, "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    sums = sums.select(by, "__range", "__sum", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
     within = Window.partitionBy(by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(F.broadcast(sums), [by, "__range"])
-    return out.withColumn("before", F.col("__start") + F.coalesce(F.sum(n).over(within), F.lit(0))).drop("__range", "__start")
+    if wanted is not None:
+        held = [(at >= F.col("__start")) & (at < F.col("__start") + F.col("__sum")) for at in wanted(F.col("total"))]
+        out = out.filter(reduce(lambda a, b: a | b, held))
+    return out.withColumn("before", F.col("__start") + F.coalesce(F.sum(n).over(within), F.lit(0))).drop("__range", "__start", "__sum")
 
 
-def ranked_values(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+def ranked_values(df: DataFrame, columns: dict[str, Column], wanted: Callable[[Column], list[Column]] | None = None) -> DataFrame:
     """``column, value, n, before, total``: how often each distinct value of the named expressions occurs, and its place."""
     pairs = F.array(*[F.struct(F.lit(name).alias("column"), c.alias("value")) for name, c in columns.items()])
     counts = df.select(F.inline(pairs)).filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return running_totals(counts, "column", "value", "n")
+    return running_totals(counts, "column", "value", "n", wanted=wanted)
 
 
 def _element(at: Column) -> Column:
@@ -275,16 +281,22 @@ def _element(at: Column) -> Column:
 
 def nearest_rank_percentile(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     """``share, value``: the element at index round(share * (n - 1)) of the sorted column."""
-    ranked = ranked_values(df, {column: F.col(column)}).withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    return ranked.groupBy("share").agg(_element(F.bround(F.col("share") * (F.col("total") - 1))).alias("value"))
+    at = lambda total: [F.bround(F.lit(float(s)) * (total - 1)) for s in shares]
+    found = ranked_values(df, {column: F.col(column)}, at).groupBy("column").agg(*[_element(x).alias(f"v{k}") for k, x in enumerate(at(F.col("total")))])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.col(f"v{k}").alias("value")) for k, s in enumerate(shares)])))
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> DataFrame:
     """``column, share, value``: exact quantiles, interpolated between the two nearest values."""
-    ranked = ranked_values(df, columns).withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    ranked = ranked.withColumn("at", F.col("share") * (F.col("total") - 1))
-    ends = ranked.groupBy("column", "share").agg(F.max("at").alias("at"), _element(F.floor("at")).alias("low"), _element(F.ceil("at")).alias("high"))
-    return ends.select("column", "share", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))
+    places = lambda total: [F.lit(float(s)) * (total - 1) for s in shares]
+    both = lambda total: [f(at) for at in places(total) for f in (F.floor, F.ceil)]
+    cells = [_element(at).alias(f"e{k}") for k, at in enumerate(both(F.col("total")))]
+    found = ranked_values(df, columns, both).groupBy("column").agg(F.max("total").alias("total"), *cells)
+    told = []
+    for k, (s, at) in enumerate(zip(shares, places(F.col("total")), strict=True)):
+        low, high = F.col(f"e{2 * k}"), F.col(f"e{2 * k + 1}")
+        told.append(F.struct(F.lit(float(s)).alias("share"), (low + (high - low) * (at - F.floor(at))).alias("value")))
+    return found.select("column", F.inline(F.array(*told)))
 
 
 def aggregate_headline(df: DataFrame, label: str, value: str) -> DataFrame:

@@ -37,15 +37,20 @@ r.add(
     SELECT 'o_orderpriority' AS "column", CAST(sum(n) AS BIGINT) AS non_null, count(*) AS "distinct", sum(n) >= 50 AND count(*) / sum(n) > 0.5 AS high_cardinality, string_agg(v || '=' || n, ';' ORDER BY rn) FILTER (rn <= 5) AS top FROM s""",
     "orders",
 )(lambda o: profile.categorical_summary(o, ["o_orderpriority"]))
+_DAYS = "d AS (SELECT CASE WHEN o_orderkey % 50 > 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders), p AS (SELECT strftime(d, '%Y-%m') AS m, count(*) AS n FROM d WHERE d IS NOT NULL GROUP BY 1)"
+_days = lambda o: o.select(F.when(F.col("o_orderkey") % 50 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon").alias("day"))
 r.add(
     "time_summary",
-    """WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b, count(*) AS k FROM orders)
-    SELECT a AS first, b AS last, date_diff('day', a, b) AS span_days, k AS parsed, count(*) AS periods, arg_min(m, (-n, m)) AS busiest, max(n) AS busiest_rows, arg_min(m, (n, m)) AS quietest FROM p, e GROUP BY a, b, k""",
+    f"""WITH {_DAYS}, e AS (SELECT min(d) AS a, max(d) AS b, count(d) AS k, count(*) - count(d) AS bad FROM d)
+    SELECT a AS first, b AS last, date_diff('day', a, b) AS span_days, k AS parsed, bad AS invalid, count(*) AS periods, arg_min(m, (-n, m)) AS busiest, max(n) AS busiest_rows, arg_min(m, (n, m)) AS quietest FROM p, e GROUP BY a, b, k, bad""",
     "orders",
-)(lambda o: profile.time_summary(o, "o_orderdate").withColumn("span_days", F.col("span_days").cast("bigint")))
+)(lambda o: profile.time_summary(_days(o), "day").withColumn("span_days", F.col("span_days").cast("bigint")))
+r.add("time_series", f"WITH {_DAYS} SELECT m AS period, n FROM p ORDER BY 1 DESC LIMIT 120", "orders")(lambda o: profile.time_series(_days(o), "day"))
 _COR = "SELECT '{a}' AS \"column\", '{b}' AS other, count(*) AS n, round(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})), 6) AS r FROM lineitem"
 r.add("correlations", " UNION ALL ".join(_COR.format(a=a, b=b) for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))), "lineitem")(lambda li: profile.correlations(li, ["l_quantity", "l_extendedprice", "l_discount"]))
-r.add("missingness_patterns", "SELECT 'price' AS target, 'o_orderstatus' AS group_col, 1.0::DOUBLE AS strength", "orders")(lambda o: profile.missingness_patterns(_holes(o), ["price"], ["o_orderstatus", "o_orderpriority"]))
+r.add("missingness_patterns", f"""WITH {_HOLES}, g AS (SELECT 'o_orderstatus' AS group_col, o_orderstatus AS v, count(*) AS n, count(*) FILTER (price IS NULL) AS m FROM h GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*), count(*) FILTER (price IS NULL) FROM h GROUP BY 2),
+    s AS (SELECT group_col, max(m / n) FILTER (n >= 5) - min(m / n) FILTER (n >= 5) AS strength FROM g GROUP BY 1 HAVING count(*) BETWEEN 2 AND 10 AND sum(m) >= 10 AND sum(m) >= 0.01 * sum(n))
+    SELECT 'price' AS target, group_col, round(strength, 4) AS strength FROM s WHERE strength >= 0.5 ORDER BY s.strength DESC, group_col LIMIT 1""", "orders")(lambda o: profile.missingness_patterns(_holes(o), ["price"], ["o_orderstatus", "o_orderpriority"]))
 _FOUND_IN = ("price", "net", "tail")
 _TAILS = "SELECT '{0}' AS c, count(*) FILTER ({0} < a - 1.5 * (b - a) OR {0} > b + 1.5 * (b - a)) AS n FROM x, (SELECT quantile_cont({0}, 0.25) AS a, quantile_cont({0}, 0.75) AS b FROM x)"
 _PAIR = "SELECT '{0}' AS a, '{1}' AS b, covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) AS r FROM x"

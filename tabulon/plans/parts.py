@@ -28,7 +28,7 @@ r.add("dataset_slug", "SELECT p_partkey, rtrim(substr(trim(regexp_replace(lower(
     lambda p: p.select("p_partkey", expr.dataset_slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(").csv"))).alias("slug"))
 )
 _BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
-r.add("ulid_timestamp", "SELECT event_id, CAST(epoch_ms(ts) AS BIGINT) AS ms FROM events", "events")(
+r.add("ulid_timestamp", "SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms FROM events", "events")(
     lambda e: e.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).select(
         "event_id", expr.ulid_timestamp_ms(F.concat(*[F.substring(F.lit(_BASE32), (F.shiftright("ms", 45 - 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(10)], F.lit("0000000000000000"))).alias("ms")
     )
@@ -37,9 +37,20 @@ r.add("display_round", "SELECT event_id, round(value / 3, 4) AS shown FROM event
 r.add("parse_datetime", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS t FROM orders", "orders")(
     lambda o: o.select("o_orderkey", expr.parse_datetime(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "M/d/yyyy"))).alias("t"))
 )
-r.add("clean_headers", "SELECT CAST(r_regionkey AS BIGINT) AS k, CASE r_regionkey WHEN 0 THEN 'a' ELSE 'a_' || (r_regionkey + 1) END AS name FROM region", "region")(
-    lambda g: g.select(F.col("r_regionkey").cast("long").alias("k"), F.element_at(F.array(*map(F.lit, cleaning.clean_headers(["a"] * 5))), F.col("r_regionkey").cast("int") + 1).alias("name"))
-)
+
+
+def _headers(p: DataFrame) -> DataFrame:
+    """Part names with odd signs and cases as the headers of a file: told apart, cleaned, numbered."""
+    odd = p.select(F.col("p_partkey").alias("k"), F.concat(F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")), F.lit("!  ~"), F.lit(" x\t")).alias("raw"))
+    return cleaning.cleaned_header_table(odd, "k", "raw")
+
+
+r.add(
+    "clean_headers",
+    """WITH h AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END || ' x' AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY k) AS nth FROM h)
+    SELECT k, CASE WHEN nth = 1 THEN base ELSE base || '_' || nth END AS name FROM n""",
+    "part",
+)(_headers)
 
 
 # ---------------------------------------------------------------- links, contracts, findings
@@ -136,7 +147,8 @@ def _checked(g: DataFrame) -> DataFrame:
 
 
 def _snapshots(o: DataFrame) -> DataFrame:
-    return _loaded(o).snapshots("orders").select("load_id", "mode", "is_current")
+    c = F.col("counts")
+    return _loaded(o).snapshots("orders").select("load_id", "mode", "is_current", F.coalesce(c["inserted"], c["insert"]).alias("inserted"), c["update"].alias("updated"))
 
 
 def _compacted(o: DataFrame) -> DataFrame:
@@ -154,7 +166,11 @@ def _quarantined(o: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{root}/orders/_quarantine/L1").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-r.add("lake_snapshots", "SELECT * FROM (VALUES ('L1', 'replace', false), ('L2', 'merge', true)) t(load_id, mode, is_current) WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 10 >= 7)", "orders")(_snapshots)
+r.add(
+    "lake_snapshots",
+    "SELECT 'L1' AS load_id, 'replace' AS mode, count(*) FILTER (o_orderkey % 10 >= 5) = 0 AS is_current, count(*) FILTER (o_orderkey % 10 < 7) AS inserted, NULL::BIGINT AS updated FROM orders UNION ALL SELECT 'L2', 'merge', count(*) FILTER (o_orderkey % 10 >= 5) > 0, count(*) FILTER (o_orderkey % 10 >= 7), count(*) FILTER (o_orderkey % 10 IN (5, 6)) FROM orders",
+    "orders",
+)(_snapshots)
 r.add("lake_compact", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders", "orders")(_compacted)
 r.add("lake_quarantine", "SELECT o_orderstatus AS status, 2 * count(*) AS n FROM orders GROUP BY 1", "orders")(_quarantined)
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "analysis", "flows", "parts")
+MODULES = ("relational", "analysis", "flows", "parts", "reports")
 
 
 def _modules():

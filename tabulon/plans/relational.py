@@ -36,9 +36,9 @@ _some = lambda o: o.withColumn("p", F.when(F.col("o_orderkey") % 4 != 0, F.col("
 r.add("filter_text_neq_keeps_null", f"SELECT o_orderkey FROM orders WHERE lower(coalesce({_SOME}, '')) <> '1-urgent'", "orders")(lambda o: R.filter_rows(_some(o), "p", "neq", "1-URGENT").select("o_orderkey"))
 r.add("filter_is_null", f"SELECT o_orderkey FROM orders WHERE {_SOME} IS NULL", "orders")(lambda o: R.filter_rows(_some(o), "p", "is_null").select("o_orderkey"))
 r.add("filter_not_null", f"SELECT o_orderkey FROM orders WHERE {_SOME} IS NOT NULL", "orders")(lambda o: R.filter_rows(_some(o), "p", "not_null").select("o_orderkey"))
-for op, sql in (("contains", "contains(lower(p_name), 're')"), ("starts_with", "starts_with(lower(p_type), 'eco')"), ("ends_with", "ends_with(lower(p_type), 's')")):
+for op, sql in (("contains", "contains(lower(p_name), 're')"), ("starts_with", "starts_with(lower(p_type), 'eco')"), ("ends_with", "ends_with(lower(p_type), 'y')")):
     col = "p_name" if op == "contains" else "p_type"
-    val = {"contains": "RE", "starts_with": "Eco", "ends_with": "S"}[op]
+    val = {"contains": "RE", "starts_with": "Eco", "ends_with": "Y"}[op]
     r.add(f"filter_{op}", f"SELECT p_partkey FROM part WHERE {sql}", "part")(lambda part, op=op, col=col, val=val: R.filter_rows(part, col, op, val).select("p_partkey"))
 
 r.add("project_known", "SELECT n_nationkey, n_name FROM nation", "nation")(lambda n: R.project(n, ["n_nationkey", "n_name", "absent"]))

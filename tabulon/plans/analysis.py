@@ -246,7 +246,7 @@ r.add("request_cap", "SELECT event_id, row_number() OVER (PARTITION BY user_id,
 r.add("token_cap", "SELECT event_id, coalesce(sum(CAST(round(value) AS BIGINT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60 AS admitted FROM events", "events")(
     lambda e: marts.token_cap(e.withColumn("tokens", F.round("value").cast("bigint")), 60, "tokens").select("event_id", "admitted")
 )
-r.add("rate_limit_audit", RATE_LIMIT_SQL, "events")(lambda e: streams.rate_limit_audit(e, 2, 86_400.0).drop("ts"))
+r.add("rate_limit_audit", RATE_LIMIT_SQL, "events")(lambda e: streams.rate_limit_audit(e, 2, 86_400.0).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 r.add(
     "usage_budget",
     """WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS d, ts, CAST(round(value) AS BIGINT) AS t FROM events),

@@ -54,8 +54,8 @@ TEXT_ORDERS = """text_orders AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, '$' |
   strftime(o_orderdate, '%m/%d/%Y') AS us_day FROM orders)"""
 
 
-RATE_LIMIT_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-s AS (SELECT user_id, rn, event_id, true AS admitted, [t] AS times FROM e WHERE rn = 1 UNION ALL
-  SELECT user_id, rn, event_id, len(held) < 2, CASE WHEN len(held) < 2 THEN list_append(held, t) ELSE held END
-  FROM (SELECT e.user_id, e.rn, e.event_id, e.t, list_filter(s.times, lambda x: x > e.t - 86400000000) AS held FROM s JOIN e ON e.user_id IS NOT DISTINCT FROM s.user_id AND e.rn = s.rn + 1))
-SELECT user_id, event_id, admitted FROM s"""
+RATE_LIMIT_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+s AS (SELECT user_id, rn, event_id, ts, true AS admitted, [t] AS times FROM e WHERE rn = 1 UNION ALL
+  SELECT user_id, rn, event_id, ts, len(held) < 2, CASE WHEN len(held) < 2 THEN list_append(held, t) ELSE held END
+  FROM (SELECT e.user_id, e.rn, e.event_id, e.ts, e.t, list_filter(s.times, lambda x: x > e.t - 86400000000) AS held FROM s JOIN e ON e.user_id IS NOT DISTINCT FROM s.user_id AND e.rn = s.rn + 1))
+SELECT user_id, event_id, ts, admitted FROM s"""

@@ -361,13 +361,8 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, streams.ROCKSDB)
-    try:
-        return _finished(streams.rate_limit_stream(_arriving(spark, sf_dir, "events"), 2, 86_400.0), "append").select("user_id", "event_id", "admitted")
-    finally:
-        spark.conf.set(key, before)
+    admitted = _finished(streams.rate_limit_stream(_arriving(spark, sf_dir, "events"), 2, 86_400.0), "append")
+    return admitted.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _late_mart(spark: SparkSession, sf_dir: str) -> streams.WindowedMart:

@@ -101,17 +101,27 @@ AUDIT = "user_id long, event_id long, ts timestamp, admitted boolean"
 
 
 def rate_limit_audit(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """Sequential admission per user over a table; state is at most ``limit`` times."""
+    """Sequential admission per user over a table.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, times, out = pdf.sort_values(["ts", "event_id"]), [], []
-        for now in pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6:
-            ok, times = admit(times, now, limit, seconds)
-            out.append(ok)
-        return pdf.assign(admitted=out)
+    A task goes through its users' events in order, batch by batch, and holds at
+    most ``limit`` times of one user, so a user may have any number of events.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, times = object(), []  # no user yet
+        for pdf in frames:
+            out = []
+            at = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+            for who, now in zip(pdf["user_id"].array, at.tolist(), strict=True):
+                who = None if pd.isna(who) else who
+                if who != user:
+                    user, times = who, []
+                ok, times = admit(times, now, limit, seconds)
+                out.append(ok)
+            yield pdf.assign(admitted=out)
 
     rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("user_id").applyInPandas(run, AUDIT)
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, AUDIT)
 
 
 class _Limiter(StatefulProcessor):
@@ -156,7 +166,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def rate_limit_stream(events: DataFrame, limit: int, seconds: float, delay: str = "1 day") -> DataFrame:
     """The same over a stream. Users idle beyond the window are forgotten; rows later than ``delay`` are dropped.
 
-    The session's state store must be RocksDB (``spark.sql.streaming.stateStore.providerClass``).
+    Timers need the RocksDB state store, so the session's streams use it from here on.
     """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
     return rows.groupBy("user_id").transformWithStateInPandas(_Limiter(limit, seconds), AUDIT, "Append", "EventTime")

@@ -68,24 +68,37 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert sum(n for n, _ in on_time.values()) + mart.late_rows().agg(F.sum("n")).first()[0] == sum(map(len, batches))
 
 
+def test_audit_equals_a_loop_over_batches(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, None]) if k % 3 else 7, k, START + dt.timedelta(seconds=rng.randint(0, 900))) for k in range(500)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "13")
+    try:
+        got = {r["event_id"]: r["admitted"] for r in streams.rate_limit_audit(spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp"), 3, 60.0).collect()}
+    finally:
+        spark.conf.set(key, before)
+    want = {}
+    for u in {r[0] for r in rows}:
+        times = []
+        for _, e, ts in sorted((r for r in rows if r[0] == u), key=lambda r: (r[2], r[1])):
+            want[e], times = streams.admit(times, (ts - START).total_seconds(), 3, 60.0)
+    assert got == want
+
+
 def test_limiter_forgets_idle_users(spark, tmp_path):
     rng = random.Random(3)
     rows = [(u, u * 1000 + k, START + dt.timedelta(seconds=int(t))) for u in range(4) for k, t in enumerate(sorted(rng.uniform(0, 300) for _ in range(30)))]
     late = [(9, 9999, START + dt.timedelta(seconds=5000))]
     schema = "user_id long, event_id long, ts timestamp"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    try:
-        counts = []
-        for part in (rows, late, [(9, 10000, START + dt.timedelta(seconds=5001))]):
-            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-            live = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-            q = streams.rate_limit_stream(live, 3, 60.0, "1 minute").writeStream.foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/out"))
-            q = q.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-            q.awaitTermination()
-            counts.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    counts = []
+    for part in (rows, late, [(9, 10000, START + dt.timedelta(seconds=5001))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        live = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = streams.rate_limit_stream(live, 3, 60.0, "1 minute").writeStream.foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/out"))
+        q = q.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        counts.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
     got = {r["event_id"]: r["admitted"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = {}
     for u in {r[0] for r in rows}:

@@ -173,7 +173,8 @@ def mix_units(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, scale: floa
     both = units.join(broadcast_if_small(rated, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")))
     both = both.withColumn("whole", F.floor("r")).withColumn("p", F.col("r") - F.col("whole")).withColumn("row", F.xxhash64("doc_id", "key"))
     weighed = both.filter("p > 0").select("row", "grp", F.col("rows").alias("rows_in_grp"), (F.col("size") * F.col("repeats")).alias("size"), "p")
-    drawn = balanced_sample(weighed, seed, block_rows).withColumnRenamed("row", "drawn")
+    # Rows whose 64-bit numbers meet share a decision; none is told twice.
+    drawn = balanced_sample(weighed, seed, block_rows).groupBy(F.col("row").alias("drawn")).agg(F.max("taken").alias("taken"))
     more = F.coalesce(F.col("taken").cast("long"), F.lit(0))
     decided = both.join(drawn, F.col("row") == F.col("drawn"), "left")
     return decided.select("doc_id", "key", "repeats", "size", "source_size", "target", (F.col("whole") + more).alias("copies"))

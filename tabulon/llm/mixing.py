@@ -119,8 +119,8 @@ def _walk(level: int, last: bool, leave: int):
         pdf = pdf.sort_values(["size", "order", "row"], kind="stable")  # the same order on every run
         p, x, order = (pdf[c].to_numpy() for c in ("p", "size", "order"))
         rng = np.random.default_rng([level, len(pdf), int(order.min()) & (2**63 - 1)])
-        # On the last level both totals are kept to the last three; two are open then.
-        p = flight(p, x, rng, 2 if last else leave)
+        # On the last level both totals are kept until four are open; the words alone from there.
+        p = flight(p, x, rng, 4 if last else leave)
         return pdf.assign(p=landing(p, x, rng) if last else p)
 
     return run

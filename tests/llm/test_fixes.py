@@ -25,7 +25,7 @@ def test_dedup_of_ids_over_all_64_bits(spark):
 def test_mix_balances_documents_and_words(spark, n):
     rng = random.Random(n)
     rows = [(k, " ".join(["w"] * rng.randint(1, 400)), "abc"[k % 3]) for k in range(3 * n)]
-    rows += [(3 * n, None, "a"), (3 * n + 1, "long " * 5000, "b")]
+    rows += [(3 * n, None, "a"), (3 * n + 1, "long " * 800, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     per = {}
     for r in mixing.mixing_report(docs, block_rows=80).withColumn("copies", F.when(F.col("size") > 0, F.col("taken") / F.col("size"))).join(docs, "doc_id").collect():

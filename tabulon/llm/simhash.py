@@ -24,7 +24,9 @@ Two bits of 64 are few: texts that share 0.8 of their shingles differ in about
 ten, and a distance only estimates that share. For a given similarity there is
 ``similar_nodes``: the Golay keys find the closest texts, and keys of min-wise
 hashes, of which two texts at 0.8 share at least one with a probability of
-1 - 3e-6, the others. The distinct shingles of both decide about every pair so
+1 - 3e-6, the others. Within a bucket of a large group, pairs are found by the
+rarest shingles in which texts depart from the group's centre, so that texts
+just below the share are not paired. The distinct shingles of both decide about every pair so
 found, so none is linked in error.
 
 Components come from repeated min-label steps over the links with pointer
@@ -45,7 +47,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import broadcast_if_small, drop_stage, free_name, released, stage, text_batches
@@ -366,6 +368,71 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, le
     return good
 
 
+def _differences(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(fp, hub, most, width, shingle)``: what sets ``(fp, shingles)`` have and their hubs lack, or the other way round.
+
+    Two sets differ in as much as their differences from one hub do. Where a
+    set differs from its hub in more than half of the hub's size, no hub (null)
+    is taken, so that all its shingles count. Sets up to a quarter of their own
+    size nearer come in both forms, since a similar set may lie beyond the half.
+    ``most`` is how much a similar set may differ.
+    """
+    own, hubs = sets.select("fp", "shingles"), sets.select(F.col("fp").alias("hub"), F.col("shingles").alias("of_hub"))
+    most = F.size("shingles") * ((1 - SIMILAR) / SIMILAR)
+    pairs = nodes.select("fp", F.explode("hubs").alias("hub")).filter("fp <> hub").join(own.hint("merge"), "fp").join(hubs.hint("merge"), "hub")
+    pairs = pairs.withColumn("apart", F.concat(F.array_except("shingles", "of_hub"), F.array_except("of_hub", "shingles"))).withColumn("width", F.size("apart"))
+    near, beyond = F.col("width") <= F.size("of_hub") / 2, F.col("width") > F.size("of_hub") / 2 - most
+    pairs = stage(pairs.select("fp", "hub", most.alias("most"), "width", F.when(near, F.col("apart")).alias("shingles"), beyond.alias("beyond")), "differences-from-hubs")
+    whole = own.join(pairs.filter("beyond").select("fp").distinct().hint("merge"), "fp")
+    whole = whole.select("fp", F.lit(None).cast("long").alias("hub"), most.alias("most"), F.size("shingles").alias("width"), "shingles")
+    both = pairs.filter("shingles is not null").select("fp", "hub", "most", "width", "shingles").unionByName(whole)
+    return both.select("fp", "hub", "most", "width", F.explode("shingles").alias("shingle"))
+
+
+def _rare_first(parts: DataFrame) -> DataFrame:
+    """``(fp, width, token, at)``: the first elements of each difference, with their places from 1; a token is a hub and a shingle.
+
+    The elements about a hub are in one order for all, rare ones first. Two
+    differences that have ``o`` elements in common share one of the first
+    ``width - o + 1`` of each, which is ``most + 1`` at most. Elements that only one has keep their places and
+    are left out.
+    """
+    token = F.when(F.col("hub").isNull(), F.col("shingle")).otherwise(F.xxhash64("hub", "shingle"))
+    parts = stage(parts.select("fp", "hub", "most", "width", token.alias("token")), "differences")
+    times = parts.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    common = stage(parts.join(times.hint("merge"), "token"), "shared-differences")
+    one = Window.partitionBy("fp", "hub")
+    at = F.col("width") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("times", "token"))
+    placed = common.select("fp", "most", "width", "token", at.cast("int").alias("at")).filter(F.col("at") <= F.col("most") + 1 + 1e-9)
+    rows = stage(placed.drop("most"), "rare-differences")
+    drop_stage(parts, common)
+    return rows
+
+
+def _similar_of_other_roots(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Similar pairs ``(a, b)`` of ``nodes (fp, root, outside, hubs, ..)`` that have a hub in common and different roots, one ``outside``.
+
+    Every node must have been compared with its hubs. Then at least one of a
+    pair of different roots is not similar to the hub, and so, if similar to
+    each other, their differences from it share an element: the members of a
+    group are told by how they depart from its centre, not by what all share.
+    """
+    texts = docs.select(text_key().alias("text_key"), "text").join(broadcast_if_small(nodes.select("fp", "text_key"), 100_000), "text_key")
+    sets = stage(shingle_sets(texts.dropDuplicates(["text_key"]), words), "shingle-sets-of-mixed-keys")
+    rows = _rare_first(_differences(nodes, sets))
+    rows = stage(rows.join(nodes.drop("hubs").hint("merge"), "fp"), "first-differences")
+    x, y = (_side(rows, side, "root", "outside", "width", "token", "at") for side in ("x", "y"))
+    once = ~F.col("y_outside") | (F.col("x_fp") < F.col("y_fp"))
+    left = F.least(F.col("x_width") - F.col("x_at"), F.col("y_width") - F.col("y_at")) + 1
+    may_differ = (F.col("x_size") + F.col("y_size")) * ((1 - SIMILAR) / (1 + SIMILAR))
+    enough = 2 * left >= F.col("x_width") + F.col("y_width") - may_differ - 1e-9
+    late = x.filter("x_outside").join(y.hint("merge"), (F.col("x_token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root")) & once & enough & _may_be_similar("x", "y"))
+    late = late.select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")).distinct()
+    good = _similar(late, nodes, docs, words)
+    drop_stage(sets, rows)
+    return good
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``(fp, root)`` of ``roots (fp, root)`` after ``links (a, b)`` between roots."""
     moved = components(links).withColumnRenamed("root", "least_root")
@@ -384,11 +451,12 @@ def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame
     them, as far as they share a key (see ``KEYS``).
 
     First each node is compared with the nodes of close fingerprints, found by
-    their Golay keys, and with the least member of each of its buckets, and
-    components are formed. Members of one component need no more links, so then
-    only those outside a bucket's main component are compared, with all of the
-    bucket; a pair is met in the bucket of its first common key only. No bucket
-    is capped.
+    their Golay keys, and with the hub of each of its buckets, and components
+    are formed. The hub is the member that is met most often, which in a group
+    of copies lies near what they are copies of. Members of one component need
+    no more links, so then only those outside a bucket's main component are
+    compared, with the members whose rarest differences from the hub they share
+    (see ``_similar_of_other_roots``). No bucket is capped.
     """
     rows = stage(keyed_rows(docs, words), "shingle-keys")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
@@ -397,10 +465,14 @@ def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame
     nodes = stage(nodes.select("fp", "least", "text_key", "facts.*"), "distinct-sets")
 
     keyed = nodes.select("fp", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("key", "low")
-    buckets = stage(buckets, "shared-keys")
+    buckets = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-keys")
     shared = stage(keyed.join(broadcast_if_small(buckets, BROADCAST_NODES), "key"), "nodes-of-keys")
-    by_key = shared.filter("fp > low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    rank = shared.groupBy("fp").agg(F.sum("n").alias("rank"))
+    ranked = stage(shared.join(rank.hint("merge"), "fp").select("key", "fp", "rank"), "ranks-in-keys")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("rank", "fp")).alias("hub"))
+    hubs = stage(hubs.select("key", F.col("hub.fp").alias("hub")), "hubs")
+    in_keys = stage(ranked.select("key", "fp").join(broadcast_if_small(hubs, BROADCAST_NODES), "key"), "nodes-and-hubs")
+    by_key = in_keys.filter("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
     marks = nodes.groupBy("simhash").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
     marks = stage(marks.withColumnRenamed("simhash", "mark"), "distinct-fingerprints")
     same = nodes.select("simhash", "fp").join(broadcast_if_small(marks.filter("low < high"), BROADCAST_NODES), F.col("simhash") == F.col("mark"))
@@ -412,32 +484,26 @@ def similar_nodes(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame
     stars = stage(by_key.union(same).union(close).distinct(), "first-pairs")
 
     met = shared.select("fp").union(stars.select("a")).union(stars.select("b")).distinct()
-    met = stage(nodes.drop("least", "simhash").join(met.hint("merge"), "fp"), "nodes-met")
+    met = stage(nodes.drop("least", "simhash", "keys").join(met.hint("merge"), "fp"), "nodes-met")
     pairs = stars.join(_side(met, "x").hint("merge"), F.col("a") == F.col("x_fp")).join(_side(met, "y").hint("merge"), F.col("b") == F.col("y_fp"))
     linked = _similar(pairs.filter(_may_be_similar("x", "y")), met, docs, words)
     roots = components(linked).withColumnRenamed("node", "fp")
     roots = met.select("fp").join(broadcast_if_small(roots, BROADCAST_NODES), "fp", "left")
     roots = stage(roots.withColumn("root", F.coalesce("root", "fp")), "first-roots")
 
-    member = shared.select("key", "fp").join(roots.hint("merge"), "fp")
+    member = in_keys.join(roots.hint("merge"), "fp")
     parts = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "main")
-    mixed = stage(member.join(mixed.hint("merge"), "key"), "mixed-keys")
+    mixed = member.join(mixed.hint("merge"), "key").groupBy("fp", "root").agg(F.max(F.col("root") != F.col("main")).alias("outside"), F.collect_set("hub").alias("hubs"))
     mixed = stage(mixed.join(met.hint("merge"), "fp"), "members-of-mixed-keys")
-    x, y = (_side(mixed, side, "root", "keys", "key", "main") for side in ("x", "y"))
-    once = (F.col("y_root") == F.col("y_main")) | (F.col("x_fp") < F.col("y_fp"))
-    first = F.element_at(F.array_intersect("x_keys", "y_keys"), 1) == F.col("x_key")
-    met_once = (F.col("x_root") != F.col("y_root")) & once & _may_be_similar("x", "y") & first
-    late = x.filter("x_root <> x_main").join(y.hint("merge"), (F.col("x_key") == F.col("y_key")) & met_once)
-    late = late.select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b"))
-    good = _similar(late, met, docs, words)
+    good = _similar_of_other_roots(mixed, docs, words)
     at = [roots.select(F.col("fp").alias(side), F.col("root").alias(f"r{side}")) for side in ("a", "b")]
     both = good.join(at[0].hint("merge"), "a").join(at[1].hint("merge"), "b")
     found = stage(_joined(roots, both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()), "last-roots")
     placed = nodes.select("fp", "least").join(broadcast_if_small(found, BROADCAST_NODES), "fp", "left")
     placed = stage(placed.withColumn("root", F.coalesce("root", "fp")), "placed-sets")
     kept = stage(rows.select("doc_id", "text_key", "fp"), "rows-of-sets")
-    drop_stage(rows, nodes, buckets, shared, marks, stars, met, linked, roots, mixed, good, found)
+    drop_stage(rows, nodes, buckets, shared, ranked, hubs, in_keys, marks, stars, met, linked, roots, mixed, good, found)
     return kept, placed
 
 

@@ -500,3 +500,22 @@ def test_pipeline_stages_keep_columns(spark, docs):
         out = step(spark, out, "/root/testdata/sf0.001")
         assert out.columns == docs.columns, name
     assert corpus_pipeline.STAGES[4][1](spark, out, "").filter(F.col("n_tokens") < 1).count() == 0
+
+
+def test_texts_just_below_the_threshold_are_not_paired(spark, monkeypatch):
+    rng = random.Random(16)
+    base, texts = random_words(rng, 150), []
+    for k in range(150):  # 20 words of their own: 146 of 186 shingles in common
+        texts.append(" ".join(base + random_words(rng, 20)))
+        if k % 10 == 0:  # linked to that one only
+            texts.append(texts[-1] + " " + " ".join(random_words(rng, 15)))
+    paired, similar = [], simhash._similar
+
+    def counted(pairs, *rest):
+        paired.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_similar", counted)
+    pairs, root = similar_pairs(texts)
+    assert len(pairs) == 15 and found_components(spark, texts) == root
+    assert sum(paired) <= 10 * len(texts)  # all 13,530 pairs pass the sketch

@@ -518,4 +518,4 @@ def test_texts_just_below_the_threshold_are_not_paired(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_similar", counted)
     pairs, root = similar_pairs(texts)
     assert len(pairs) == 15 and found_components(spark, texts) == root
-    assert sum(paired) <= 10 * len(texts)  # all 13,530 pairs pass the sketch
+    assert sum(paired) <= 10 * len(texts)  # 12,527 when all of a bucket were compared
